@@ -1,59 +1,37 @@
-"""Helpers that several corpus operators share.
-
-Staged tables live in the folder named by ``spark.checkpoint.dir``: every executor and the
-driver can read them, so a job survives the loss of any executor.
-"""
+"""Helpers that several corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an id list that may be broadcast (8 bytes a row); longer lists use a shuffle join.
-BROADCAST_IDS = 2_000_000
-
-#: Bytes of text that a vectorised helper works on at once.
-SLICE_BYTES = 1 << 21
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where none is set."""
-    global _own_dir
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own_dir
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..session import shared_dir, stage, stage_path
 
+__all__ = ["BROADCAST_IDS", "shared_dir", "shuffle_partitions", "stage", "stage_path", "with_ids", "without_ids"]
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of an id list that may be broadcast (8 bytes a row); longer lists use a shuffle join.
+BROADCAST_IDS = 2_000_000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _listed(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    ids = stage(ids.select(F.col(id_col).cast("long").alias("__listed")).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(id_col) == F.col("__listed"), how)
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in ``dropped``; rows with a null id stay.
 
     The id list is broadcast only when it is counted and found short.
     """
-    ids = stage(dropped.select(F.col(id_col).cast("long").alias("__drop")).distinct(), "dropped")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col(id_col) == F.col("__drop"), "left_anti")
+    return _listed(docs, dropped, id_col, "left_anti")
+
+
+def with_ids(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is in ``wanted``."""
+    return _listed(docs, wanted, id_col, "left_semi")

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .near_dedup import near_groups
 from .pii import find_pii, pii_digest
+from .quality import quality_scores
 from .url_filter import url_filter
 
 #: The rules that the url query applies.
@@ -18,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), k=2)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
 
@@ -26,14 +33,25 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "key string, verdict string"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
+    "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 _SPANS = """list_transform(list_transform(range(1, len({k}_v) + 1), lambda i: struct_pack(
@@ -57,6 +75,20 @@ _SAID = "list_transform({k}, lambda p: '{k}:' || p.s || ':' || p.e)"
 _BASE = ["email", "ip", "card", "phone"]
 
 ORACLE: dict[str, str] = {
+    "op2_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        h AS (SELECT doc_id, n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM s JOIN n USING (doc_id) GROUP BY doc_id, n),
+        r AS (SELECT h, min(doc_id) AS node, any_value(n) AS n FROM h GROUP BY h),
+        rs AS (SELECT node, n, s FROM r JOIN s ON node = doc_id),
+        p AS (SELECT x.node AS a, y.node AS b FROM rs x JOIN rs y ON x.s = y.s AND x.node < y.node AND 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n
+              GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        c(node, reach) AS (SELECT node, node FROM r UNION SELECT c.node, e.b FROM c JOIN e ON c.reach = e.a),
+        m AS (SELECT node, min(reach) AS component FROM c GROUP BY node)
+        SELECT d.doc_id, coalesce(h.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, d.doc_id = coalesce(component, d.doc_id) AS kept
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN r ON h.h = r.h LEFT JOIN m ON m.node = r.node""",
     "op3_pii": (
         "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (SELECT doc_id, "
         + ", ".join(f"regexp_extract_all(text, '{p}') AS {k}_v, string_split_regex(text, '{p}') AS {k}_g" for k, p in _SEEK.items())
@@ -74,6 +106,14 @@ ORACLE: dict[str, str] = {
         j AS (SELECT page_id, rule_host || rule_path AS rule, verdict FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
         b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM j GROUP BY page_id)
         SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (page_id)""",
+    "op8_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+        bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id)
+        SELECT doc_id, item_id, n_shingles, count(*) AS n_found FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles""",
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
         g AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
