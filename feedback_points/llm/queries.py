@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import stage_path
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
+from .packing import pack
 from .pii import find_pii, pii_digest
 from .quality import quality_scores
+from .token_store import read_token_shards, token_digest, write_token_shards
 from .url_filter import url_filter
 
 #: The rules that the url query applies.
@@ -21,6 +24,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "token-shards")
+    write_token_shards(_table(spark, sf_dir, "documents"), path, _vocabulary())
+    return token_digest(read_token_shards(spark, path))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), k=2)
 
@@ -33,6 +48,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "key string, verdict string"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,9 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
+    "op5_packing": op5_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
