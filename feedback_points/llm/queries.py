@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import stage_path
 from .decontaminate import contaminated
@@ -13,6 +14,7 @@ from .near_dedup import near_groups
 from .packing import pack
 from .pii import find_pii, pii_digest
 from .quality import quality_scores
+from .substring_dedup import substring_dedup
 from .token_store import read_token_shards, token_digest, write_token_shards
 from .url_filter import url_filter
 
@@ -52,6 +54,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
@@ -127,6 +135,16 @@ ORACLE: dict[str, str] = {
         j AS (SELECT page_id, rule_host || rule_path AS rule, verdict FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
         b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM j GROUP BY page_id)
         SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (page_id)""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p JOIN d USING (doc_id)),
+        m AS (SELECT h, min(doc_id) AS lo FROM g GROUP BY h),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM g JOIN m USING (h) WHERE doc_id > lo),
+        k AS (SELECT doc_id, list(j) AS gone FROM r GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op8_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
