@@ -4,7 +4,8 @@ A bucket (the ids under one key) first gives each member two pairs: with the sma
 with the one before it. Those that verify are links; a group of copies becomes one component this
 way, whatever its size. Links can then be missing only between members of a bucket that still
 belong to different components, so only those pairs are looked at, and no link between two
-components is lost.
+components is lost. In buckets of at most ``HOT`` members they are written as pairs, which is linear
+in the members; larger buckets are compared in blocks, inside tasks, where the caller can do that.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import stage
 
+#: Members up to which a bucket's pairs are written one by one.
+HOT = 64
 
-def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+
+def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, verify_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``id, component`` of every id that has a link.
 
     ``members`` has ``key`` and ``id``; ``verify`` takes pairs ``a, b`` (a < b, distinct) and
-    returns the true links among them. Ids under no shared key do not appear.
+    returns the true links among them. ``verify_blocks`` takes ``group, id, component`` and returns
+    links ``a, b`` that connect the components of a group that any true links connect. Ids under no
+    shared key do not appear.
     """
     by_key = Window.partitionBy("key").orderBy("id")
     buckets = stage(
@@ -35,16 +41,29 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     groups = connected_components(links)
 
     named = buckets.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    apart = stage(named.join(split, "key", "left_semi"), f"{name}-apart")
-    if apart.isEmpty():
+    split = (
+        named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+        .where("lo < hi").select("key", "n", "first")
+    )
+    apart = stage(named.join(split, "key"), f"{name}-apart")
+    few = apart if verify_blocks is None else apart.where(F.col("n") <= HOT)
+    more = stage(verify(stage(_across(few), f"{name}-across")), f"{name}-more")
+    if verify_blocks is not None:
+        many = apart.where(F.col("n") > HOT)
+        if not many.isEmpty():
+            # large buckets that share members are one group, so that no two members meet twice
+            group = connected_components(many.select(F.col("first").alias("a"), F.col("id").alias("b")))
+            grouped = many.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id")
+            more = more.unionByName(stage(verify_blocks(stage(grouped.select("group", "id", "component"), f"{name}-many")), f"{name}-blocks"))
+    if more.isEmpty():
         return groups
+    return connected_components(links.unionByName(more))
+
+
+def _across(apart: DataFrame) -> DataFrame:
+    """Pairs of a bucket whose components differ."""
     other = apart.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
-    across = (
+    return (
         apart.join(other, (apart["key"] == other["key"]) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("of_b")))
         .select(F.col("id").alias("a"), "b").distinct()
     )
-    more = stage(verify(stage(across, f"{name}-across")), f"{name}-more")
-    if more.isEmpty():
-        return groups
-    return connected_components(links.unionByName(more))
