@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import stage_path
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .line_dedup import line_digest, line_groups
 from .near_dedup import near_groups
 from .packing import pack
 from .pii import find_pii, pii_digest
@@ -54,6 +55,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_digest(docs, line_groups(docs))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
