@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_IDS, stage
 from .words import mix, slices, words
 
 DIM_BITS = 18
@@ -200,7 +201,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels, language, source and id are no features. Rows with several labels count once each;
     null ids, labels or texts take no part in learning (a null text is scored like an empty one).
     """
-    learn = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where(~held_out("__id"))
+    learn = stage(labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where(~held_out("__id")), "labels")
+    if learn.count() <= BROADCAST_IDS:  # texts then stay where they are
+        learn = F.broadcast(learn)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).where("text is not null")
     labelled = texts.join(learn, "__id").select(F.col("__id").alias("doc_id"), "text", "label")
     model = fit(labelled, max_rows=max_rows)
