@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,7 +35,7 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "token-shards")
-    write_token_shards(_table(spark, sf_dir, "documents"), path, _vocabulary())
+    write_token_shards(_table(spark, sf_dir, "documents"), path, vocabulary())
     return token_digest(read_token_shards(spark, path))
 
 
@@ -52,7 +52,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
