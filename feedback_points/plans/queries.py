@@ -173,8 +173,8 @@ def a12_label_crosstab(spark, d):
     return report.label_crosstab(g)
 
 
-@query(f"""WITH {GOLD} SELECT coalesce(g.conv_id, b.item_id) AS feedback_id, coalesce(n, 0) AS gold_n, CASE WHEN b.item_id IS NULL THEN 0 ELSE 1 END AS teacher_n,
-    d.text IS NULL OR coalesce(n, 0) = 0 AS faulty FROM g FULL JOIN benchmark b ON g.conv_id = b.item_id + 5 LEFT JOIN documents d ON d.doc_id = coalesce(g.conv_id, b.item_id + 5)""".replace("coalesce(g.conv_id, b.item_id) AS", "coalesce(g.conv_id, b.item_id + 5) AS"))
+@query(f"""WITH {GOLD} SELECT coalesce(g.conv_id, b.item_id + 5) AS feedback_id, coalesce(n, 0) AS gold_n, CASE WHEN b.item_id IS NULL THEN 0 ELSE 1 END AS teacher_n,
+    d.text IS NULL OR coalesce(n, 0) = 0 AS faulty FROM g FULL JOIN benchmark b ON g.conv_id = b.item_id + 5 LEFT JOIN documents d ON d.doc_id = coalesce(g.conv_id, b.item_id + 5)""")
 def j8_gold_with_teacher(spark, d):
     teacher = S.table(spark, d, "benchmark").select((F.col("item_id") + 5).alias("original_feedback_id"), F.array("text").alias("points"))
     source = S.table(spark, d, "documents").select(F.col("doc_id").alias("feedback_id"), F.col("text").alias("raw_text"))
@@ -203,7 +203,7 @@ def x11_split_scores(spark, d):
     return _split_scores(spark, d).select("doc_id", *[F.round(c, 6).alias(c) for c in ("coverage", "fidelity", "pronoun_rate")], "count_exact")
 
 
-@query(f"WITH {SPLIT_SQL} SELECT source, count(*) AS n, 1.0 AS pred_n, 1.0 AS count_exact, 0.0 AS over_split, 0.0 AS under_split, round(avg(coverage), 3) AS coverage, round(avg(fidelity), 3) AS fidelity, round(avg(pronoun_rate), 3) AS pronoun_rate, 0.0 AS parse_error_rate FROM m GROUP BY 1".replace("1.0 AS", "1.0::DOUBLE AS").replace("0.0 AS", "0.0::DOUBLE AS"))
+@query(f"WITH {SPLIT_SQL} SELECT source, count(*) AS n, 1.0::DOUBLE AS pred_n, 1.0::DOUBLE AS count_exact, 0.0::DOUBLE AS over_split, 0.0::DOUBLE AS under_split, round(avg(coverage), 3) AS coverage, round(avg(fidelity), 3) AS fidelity, round(avg(pronoun_rate), 3) AS pronoun_rate, 0.0::DOUBLE AS parse_error_rate FROM m GROUP BY 1")
 def a13_split_quality_summary(spark, d):
     return report.split_quality_summary(_split_scores(spark, d).withColumn("pred_n", F.lit(1)).withColumn("status", F.lit("ok")), ["source"])
 
@@ -243,9 +243,9 @@ def j4_live_topics(spark, d):
     return report.live_topics(S.topics(spark, d), S.points(spark, d)).select("id")
 
 
-@query("""WITH p AS (SELECT doc_id AS id, doc_id % 200 AS answer_id, left(text, 400) AS t FROM documents),
+@query("""WITH p AS (SELECT doc_id AS id, doc_id % 200 AS answer_id, text AS t FROM documents),
     n AS (SELECT DISTINCT answer_id FROM p WHERE regexp_matches(t, '\\b(users?|respondents?|the\\s+student|the\\s+writer)\\b|^\\s*request\\s+for\\b', 'i') OR id % 40 = 3)
-    SELECT id, answer_id FROM p WHERE answer_id IN (SELECT answer_id FROM n)""".replace("left(text, 400)", "text"))
+    SELECT id, answer_id FROM p WHERE answer_id IN (SELECT answer_id FROM n)""")
 def j5_points_of_narrated_answers(spark, d):
     p = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 200).alias("answer_id"), F.when(F.col("doc_id") % 40 == 3, F.concat(F.lit("the user says "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("point_text"))
     return queue.points_of_narrated_answers(p).select("id", "answer_id")
@@ -677,15 +677,15 @@ def v16_growth_curve(spark, d):
 
 
 TERMS = """w AS (SELECT lang AS t, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents WHERE text IS NOT NULL),
-    g AS (SELECT t, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w), n AS (SELECT t, term, count(*) AS n FROM g GROUP BY 1, 2)"""
+    g AS (SELECT t, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w), tc AS (SELECT t, term, count(*) AS n FROM g GROUP BY 1, 2)"""
 
 
-@query(f"WITH {TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, term) AS place FROM n) SELECT t AS lang, term, n, CAST(place AS INT) AS place FROM r WHERE place <= 10")
+@query(f"WITH {TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, term) AS place FROM tc) SELECT t AS lang, term, n, CAST(place AS INT) AS place FROM r WHERE place <= 10")
 def v9_top_words(spark, d):
     return words.top_words(S.table(spark, d, "documents").where("text is not null"), 10, "lang", stop=[])
 
 
-TFIDF = f"""{TERMS}, s AS (SELECT t, sum(n) AS s FROM n GROUP BY 1), a AS (SELECT term, sum(n) AS a FROM n GROUP BY 1), x AS (SELECT n.t, n.term, sqrt(n / s) * ln(1 + (SELECT avg(s) FROM s) / a) AS weight FROM n JOIN s USING (t) JOIN a USING (term)),
+TFIDF = f"""{TERMS}, s AS (SELECT t, sum(n) AS s FROM tc GROUP BY 1), a AS (SELECT term, sum(n) AS a FROM tc GROUP BY 1), x AS (SELECT tc.t, tc.term, sqrt(n / s) * ln(1 + (SELECT avg(s) FROM s) / a) AS weight FROM tc JOIN s USING (t) JOIN a USING (term)),
     k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(weight, 9) DESC, term) AS place FROM x)"""
 
 
@@ -701,7 +701,7 @@ def v10_class_tfidf(spark, d):
 @query(f"""WITH {TFIDF}, l AS (SELECT DISTINCT t, term FROM k WHERE place <= 10), h AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]{{1,}}')) AS term FROM documents) WHERE term IN (SELECT term FROM l)),
     f AS (SELECT term, count(*) AS f FROM h GROUP BY 1), b AS (SELECT x.term AS p, y.term AS q, count(*) AS b FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
     v AS (SELECT x.t, CASE WHEN b.b IS NULL THEN -1 WHEN b.b = n.n THEN 1 ELSE ln((b.b / n.n) / ((fx.f / n.n) * (fy.f / n.n))) / -ln(b.b / n.n) END AS v FROM l x JOIN l y ON x.t = y.t AND x.term < y.term JOIN f fx ON fx.term = x.term JOIN f fy ON fy.term = y.term LEFT JOIN b ON b.p = x.term AND b.q = y.term, n)
-    SELECT t AS lang, round(avg(v), 6) AS npmi FROM v GROUP BY 1""".replace(", n AS (SELECT t, term", ", n0 AS (SELECT t, term").replace("FROM n GROUP BY", "FROM n0 GROUP BY").replace("SELECT n.t, n.term, sqrt(n / s)", "SELECT n0.t, n0.term, sqrt(n / s)").replace("FROM n JOIN s", "FROM n0 JOIN s"))
+    SELECT t AS lang, round(avg(v), 6) AS npmi FROM v GROUP BY 1""")
 def v12_npmi(spark, d):
     docs = S.table(spark, d, "documents").where("text is not null")
     return words.npmi_by_topic(_tfidf(spark, d), docs, "lang", id_col="doc_id").withColumn("npmi", F.round("npmi", 6))
@@ -712,7 +712,7 @@ def v13_topic_diversity(spark, d):
     return words.topic_diversity(_tfidf(spark, d)).withColumn("diversity", F.round("diversity", 6))
 
 
-@query(f"""WITH {TERMS}, r AS (SELECT t, term, row_number() OVER (PARTITION BY t ORDER BY n DESC, term) AS place FROM n), f AS (SELECT t, string_agg(term, ', ' ORDER BY place) AS f FROM r WHERE place <= 3 GROUP BY 1)
+@query(f"""WITH {TERMS}, r AS (SELECT t, term, row_number() OVER (PARTITION BY t ORDER BY n DESC, term) AS place FROM tc), f AS (SELECT t, string_agg(term, ', ' ORDER BY place) AS f FROM r WHERE place <= 3 GROUP BY 1)
     SELECT t AS lang, CASE WHEN t = 'en' THEN 'own, words' ELSE f END AS name FROM f""")
 def v11_keyword_fallback(spark, d):
     top = words.top_words(S.table(spark, d, "documents").where("text is not null"), 3, "lang", stop=[])
@@ -741,7 +741,7 @@ IDENT = with_("points", "answers", "submissions") + f""", o AS (SELECT form_id,
     c AS (SELECT form_id, t, g, count(*) AS shared FROM n WHERE t IS NOT NULL GROUP BY ALL), z AS (SELECT *, sum(shared) OVER (PARTITION BY form_id, t) AS size FROM c), sh AS (SELECT form_id, t, g, shared, shared / size AS share FROM z WHERE g IS NOT NULL),
     b AS (SELECT *, row_number() OVER (PARTITION BY form_id, g ORDER BY share DESC, t) AS r FROM sh), q AS (SELECT *, row_number() OVER (PARTITION BY form_id, t ORDER BY share DESC, shared DESC, g) AS w FROM b WHERE r = 1 AND share >= 0.5), ca AS (SELECT form_id, t, g FROM q WHERE w = 1),
     mo AS (SELECT sh.form_id, sh.t, ca.t AS s, share, row_number() OVER (PARTITION BY sh.form_id, sh.t ORDER BY share DESC, ca.t) AS r FROM sh JOIN ca ON sh.form_id = ca.form_id AND sh.g = ca.g WHERE share >= 0.2 AND NOT EXISTS (SELECT 1 FROM ca x WHERE x.form_id = sh.form_id AND x.t = sh.t)), me AS (SELECT form_id, t, s FROM mo WHERE r = 1),
-    tp AS (SELECT DISTINCT form_id, id FROM o0) """.replace("tp AS (SELECT DISTINCT form_id, id FROM o0)", "tp AS (SELECT form_id, u AS t FROM (SELECT DISTINCT form_id FROM o), range(25) AS x(u))")
+    tp AS (SELECT form_id, u AS t FROM (SELECT DISTINCT form_id FROM o), range(25) AS x(u)) """
 
 
 @query(IDENT + "SELECT form_id, t AS old_topic_id, g AS topic_key, shared, round(share, 6) AS share FROM sh")
@@ -817,7 +817,7 @@ def l4_score_labelled(spark, d):
     return labels.score_summary(labels.score_labelled(_cases(spark, d)))
 
 
-@query(with_("pool") + f"SELECT CAST(t AS DOUBLE) AS threshold, {CONF.format(l='category <> $none$none$none$', s='score >= t')} FROM pool, (VALUES (0.05::DOUBLE), (0.08::DOUBLE), (0.12::DOUBLE), (0.5::DOUBLE)) AS x(t) GROUP BY 1".replace("$none$none$none$", "'none'"))
+@query(with_("pool") + f"SELECT CAST(t AS DOUBLE) AS threshold, {CONF.format(l="category <> 'none'", s="score >= t")} FROM pool, (VALUES (0.05::DOUBLE), (0.08::DOUBLE), (0.12::DOUBLE), (0.5::DOUBLE)) AS x(t) GROUP BY 1")
 def l5_threshold_sweep(spark, d):
     scored = S.scored_documents(spark, d).select("score", (F.col("category") != "none").cast("int").alias("label"))
     return labels.threshold_sweep(scored, [0.05, 0.08, 0.12, 0.5])
