@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Code points before and after a span in which context words count.
 NEAR = 40
 
@@ -83,19 +85,20 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 
 
 def _spans(text: Column, kind: Kind) -> Column:
-    hits = F.regexp_extract_all(text, F.lit(kind.seek), F.lit(0))
-    gaps = F.split(text, kind.seek, -1)
+    found = F.struct(F.regexp_extract_all(text, F.lit(kind.seek), F.lit(0)).alias("hits"), F.split(text, kind.seek, -1).alias("gaps"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def place(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
-        span = F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(m: Column) -> Column:
+        def place(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(m["gaps"], i))
+            end = start + F.length(F.get(m["hits"], i))
+            span = F.struct(start.alias("start"), end.alias("end"), F.get(m["hits"], i).alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(m["hits"]) - 1), start, place)["out"]
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, place)["out"]
-    right = F.filter(placed, lambda s: _confirmed(kind.name, s["value"]))
+    right = F.filter(let(found, placed), lambda s: _confirmed(kind.name, s["value"]))
 
     def scored(s: Column) -> Column:
         before = F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))

@@ -115,7 +115,7 @@ def segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple
     ends = np.cumsum(made)
     at = np.arange(len(least))
     row = np.repeat(np.arange(len(counts)), made)[: len(least)]
-    valid = np.flatnonzero(ends[row] - at >= wide) if len(least) else at
+    valid = np.flatnonzero((ends[row] - at >= wide) & (counts[row] >= window)) if len(least) else at
     row, key = row[valid], least[valid]
     new = np.ones(len(valid), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
