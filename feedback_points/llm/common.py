@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, stage, stage_path
 
-__all__ = ["BROADCAST_IDS", "shared_dir", "shuffle_partitions", "stage", "stage_path", "with_ids", "without_ids"]
+__all__ = ["BROADCAST_IDS", "bounded_batches", "shared_dir", "shuffle_partitions", "stage", "stage_path", "with_ids", "without_ids"]
 
 #: Rows of an id list that may be broadcast (8 bytes a row); longer lists use a shuffle join.
 BROADCAST_IDS = 2_000_000
 
+#: Rows of an Arrow batch of texts; with 10,000 rows a batch of long texts takes much of a worker's memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering its session's Arrow batches to at most ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

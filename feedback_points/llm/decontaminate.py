@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, without_ids
+from .common import bounded_batches, stage, without_ids
 from .words import distinct_sets, mix, shingles, slices, words
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -129,7 +129,7 @@ def _search(docs: DataFrame, id_col: str, text_col: str, ids: list, texts: list,
                     ["doc_id", "item_id", "n_shingles", "n_found"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(search, "doc_id long, item_id long, n_shingles long, n_found long")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(search, "doc_id long, item_id long, n_shingles long, n_found long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

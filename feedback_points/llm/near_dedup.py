@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, with_ids, without_ids
+from .common import bounded_batches, stage, with_ids, without_ids
 from .linking import link_components
 from .words import distinct_sets, mix, shingles, slices, words
 
@@ -92,7 +92,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "print", "sign"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, print binary, sign binary")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, print binary, sign binary")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 sets = distinct_sets(*shingles(h, counts, k))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, set binary")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, set binary")
 
 
 def _linked_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, stage
+from .common import BROADCAST_IDS, bounded_batches, stage
 from .words import mix, slices, words
 
 DIM_BITS = 18
@@ -90,14 +90,16 @@ def dual_descent(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray, c
     """Weights and bias of a squared-hinge model over ratio-scaled indicators of unit row length."""
     w = np.zeros(len(ratio))
     bias = 0.0
-    values = [ratio[x] / np.sqrt(max(len(x), 1)) for x in rows]
+    root = [np.sqrt(max(len(x), 1)) for x in rows]  # values are worked out when needed, to hold one copy of the rows
     diag = 0.5 / (cost * np.where(signs > 0, 1.0, max(1.0, (signs > 0).sum() / max(1, (signs < 0).sum()))))
-    norm = np.array([v @ v + 1.0 for v in values]) + diag
+    square = ratio * ratio
+    norm = np.array([square[x].sum() / (r * r) + 1.0 for x, r in zip(rows, root, strict=True)]) + diag
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)).tolist():
-            x, v, y = rows[i], values[i], signs[i]
+            x, y = rows[i], signs[i]
+            v = ratio[x] / root[i]
             gap = y * (w[x] @ v + bias) - 1 + diag[i] * alpha[i]
             new = max(alpha[i] - gap / norm[i], 0.0)
             step = (new - alpha[i]) * y
@@ -128,7 +130,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", k
 
     ``key_col`` only orders the rows by hash where the sample is drawn; it is no feature.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(key_col), F.lit("fit")).alias("key"))
+    rows = bounded_batches(labelled).where(F.col(label_col).isin(0, 1)).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(key_col), F.lit("fit")).alias("key"))
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             parts = [shared.value.score(features(data, at, bits)) for _, _, data, at in slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*parts, np.zeros(0)]))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, with_ids, without_ids
+from .common import bounded_batches, stage, with_ids, without_ids
 from .words import mix, shingles, slices, words
 
 WINDOW, GRAM = 50, 10
@@ -251,7 +251,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id are neither changed nor used as a reference; rows that repeat an id are no
     smaller than each other. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = stage(_survey(rows, window, gram), "survey")
     owners = survey.where(f"doc_id is not null and n_words >= {window}").groupBy("print").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     copies = stage(

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import bounded_batches, shuffle_partitions
 from .tokens import END_ID, encode_column
 
 #: A shard is closed when it holds so many ids; a longer document is a shard of its own.
@@ -159,7 +159,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     A null text is an empty one and holds the end id alone. Rows with a null id come first; rows
     that repeat an id all stay, side by side. Other columns are not stored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

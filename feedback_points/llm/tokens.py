@@ -17,7 +17,7 @@ from .words import mix, slices
 
 END_ID = 2
 #: Pre-tokens that a worker remembers; at that many it starts anew.
-MAX_PIECES = 1_500_000
+MAX_PIECES = 1 << 20
 
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNSURE = range(5)
 #: Code points whose class is the same in all Unicode versions of the last decades.
@@ -102,7 +102,7 @@ class Encoder:
         if 2 * len(self.known) > len(self.slots):
             size = len(self.slots)
             while 2 * len(self.known) > size:
-                size *= 4
+                size *= 2
             self.slots, self.value = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._place(self.known, np.arange(len(self.known), dtype=np.int32))
         else:
