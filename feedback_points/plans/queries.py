@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import clustering, components, identity, labels, queue, report, scoring, splitting, vectors, words
+from ..session import stage_path
 from ..sources import io
 from ..streaming import ingest
 from . import standins as S
@@ -833,3 +834,110 @@ def st3_retry_ledger(spark, d):
     outcome = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "view", "unreachable").otherwise("failed")
     attempts = S.table(spark, d, "events").select(F.col("user_id").alias("answer_id"), F.col("ts").alias("at"), outcome.alias("outcome"))
     return ingest.retry_ledger(attempts).withColumn("delay", ingest.retry_delay(F.col("failures")))
+
+
+# --- the rest of the inventory ------------------------------------------------------------------
+
+
+@query(with_("answers") + "SELECT id % 10 AS part, count(*) FILTER (WHERE decomposed_at IS NULL) = 0 AS all_decomposed FROM answers GROUP BY 1")
+def f8_all_decomposed(spark, d):
+    """The check of one id list, asked for ten lists at once."""
+    a = S.answers(spark, d)
+    parts = [a.sparkSession.createDataFrame([(p, queue.all_decomposed(a, a.where(F.col("id") % 10 == p).select("id")))], "part long, all_decomposed boolean") for p in range(10)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || '|x' WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE 'x' END AS points,
+    CASE WHEN o_orderkey % 3 = 2 THEN 'ok_fallback' ELSE 'ok' END AS status FROM orders""")
+def x5_parse_output(spark, d):
+    k = F.col("o_orderkey") % 3
+    variant = F.when(k == 0, "count").when(k == 1, "annotated").otherwise("v2")
+    raw = F.when(k == 0, F.concat(F.lit('{"points": ["'), F.col("o_orderpriority"), F.lit('", "x"]}'))).when(k == 1, F.concat(F.lit('see ["a"] Points: ["'), F.col("o_orderpriority"), F.lit('"]'))).otherwise(F.lit('{"points": ["x"]}'))
+    return S.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), X.parse_output(variant, raw).alias("p")).select("id", F.array_join("p.points", "|").alias("points"), "p.status")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS title FROM orders")
+def x6_parse_object(spark, d):
+    k = F.col("o_orderkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit('Here: {"title": "'), F.col("o_orderpriority"), F.lit('"} done'))).when(k == 1, F.lit("[1]")).otherwise(F.lit("{broken"))
+    return S.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), X.parse_object(raw, "title string")["title"].alias("title"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '\\b(users?|respondents?|the\\s+student|the\\s+writer)\\b|^\\s*request\\s+for\\b', 'i') AS narrated FROM documents WHERE text IS NOT NULL")
+def x8_narrated(spark, d):
+    return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.narrated(F.col("text")).alias("narrated"))
+
+
+@query("""SELECT o_orderkey AS answer_id, CASE o_orderkey % 4 WHEN 0 THEN 'ok+repaired' WHEN 1 THEN 'ok+repair_shape' WHEN 2 THEN 'ok+repair_error' ELSE 'ok' END AS status,
+    CASE WHEN o_orderkey % 4 = 0 THEN 'I want ' || o_orderpriority ELSE 'The user wants ' || o_orderpriority END AS point FROM orders""")
+def x10_accept_repair(spark, d):
+    o = S.table(spark, d, "orders")
+    k, p = F.col("o_orderkey") % 4, F.col("o_orderpriority")
+    before = o.select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("I want "), p).alias("answer_text"), F.array(F.concat(F.lit("The user wants "), p)).alias("points"), F.lit("ok").alias("status"))
+    raw = F.when(k == 0, F.concat(F.lit('["I want '), p, F.lit('"]'))).when(k == 1, F.lit('["a", "b"]'))
+    after = o.where(k != 3).select(F.col("o_orderkey").alias("answer_id"), raw.alias("raw"))
+    return splitting.accept_repair(before, after).select("answer_id", "status", F.get("points", F.lit(0)).alias("point"))
+
+
+@query(with_("topics") + "SELECT id AS topic_id, CASE WHEN id % 3 = 0 THEN 'Title ' || id ELSE canonical_name END AS canonical_name, CASE WHEN id % 3 = 0 THEN 's' END AS canonical_summary FROM topics")
+def x15_apply_names(spark, d):
+    t = S.topics(spark, d).withColumnRenamed("id", "topic_id")
+    k = F.col("topic_id")
+    raw = F.when(k % 3 == 0, F.concat(F.lit('{"title": " \\"Title '), k.cast("string"), F.lit('\\" ", "summary": "s"}'))).when(k % 3 == 1, F.lit('{"title": "  "}')).otherwise(F.lit("no answer"))
+    return splitting.apply_names(t, t.select("topic_id", raw.alias("raw"))).select("topic_id", "canonical_name", "canonical_summary")
+
+
+@query(with_("points") + """, u AS (SELECT canonical_topic_id AS topic_id, point_text, row_number() OVER (PARTITION BY canonical_topic_id, point_text ORDER BY assignment_confidence DESC NULLS LAST, id) AS copy, assignment_confidence AS c, id FROM points WHERE canonical_topic_id IS NOT NULL),
+    n AS (SELECT topic_id, point_text, row_number() OVER (PARTITION BY topic_id ORDER BY c DESC NULLS LAST, id) AS i FROM u WHERE copy = 1)
+    SELECT topic_id, md5('Words: w' || topic_id || chr(10) || string_agg('- ' || point_text, chr(10) ORDER BY i)) AS prompt_md5 FROM n GROUP BY 1""")
+def x15_name_requests(spark, d):
+    members = S.points(spark, d).where("canonical_topic_id is not null").withColumnRenamed("canonical_topic_id", "topic_id")
+    topics = members.select("topic_id").distinct().withColumn("keywords", F.concat(F.lit("w"), F.col("topic_id").cast("string")))
+    return splitting.name_requests(topics, members, "Words: {keywords}\n{examples}").select("topic_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(with_("points") + "SELECT id, 384::BIGINT AS dims, true AS unit FROM points WHERE embedded")
+def u2_embed(spark, d):
+    """Offline encoder (U2), widened to a column's dimensions (U3)."""
+    p = S.points(spark, d).where("embedding is not null").select("id", "point_text")
+    made = scoring.embed(p, scoring.hashing_encoder(64)).withColumn("embedding", vectors.fit_dims(F.col("embedding"), 384))
+    return made.select("id", F.size("embedding").cast("long").alias("dims"), (vectors.norm(F.col("embedding")).between(1 - 1e-5, 1 + 1e-5) | (vectors.norm(F.col("embedding")) == 0)).alias("unit"))
+
+
+@query("""WITH o AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)
+    SELECT p + 1 AS id, md5(left(text, 5000)) AS text_md5 FROM o WHERE p >= 10 AND p < 110""")
+def io2_load_wave(spark, d):
+    docs = S.table(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    return io.load_wave(docs, "doc_id", 7, 10, 100, "2024-01-01", "2024-03-01")["answers"].select("id", F.md5("answer_text").alias("text_md5"))
+
+
+@query(IDENT + "SELECT form_id, t AS old_topic_id FROM tp WHERE (form_id, t) NOT IN (SELECT (form_id, t) FROM ca) AND (form_id, t) NOT IN (SELECT (form_id, t) FROM me)")
+def i5_dissolved(spark, d):
+    return identity.resolve_identity(*_identity_inputs(spark, d)).dissolved
+
+
+@query("SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10 AS topic_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, count(*) AS points FROM events GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def st4_trend_stream(spark, d):
+    """Windows that the watermark has closed; the events are read as a stream."""
+    events = S.table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
+    points = stream.select((F.get_json_object("props", "$.k").cast("long") % 10).alias("canonical_topic_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    trend = ingest.trend_stream(points)
+    out, checkpoint = stage_path(spark, "trend"), stage_path(spark, "trend-checkpoint")
+    trend.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(trend.schema).parquet(out).withColumn("period", F.col("period").cast("timestamp_ntz"))
+
+
+@query(with_("answers") + f"SELECT id AS answer_id, 1::BIGINT AS points FROM answers WHERE {WAITING}")
+def st1_ingest_stream(spark, d):
+    """Waiting answers, read as a stream and written once."""
+    source = stage_path(spark, "answers")
+    S.answers(spark, d).write.parquet(source)
+    answers = ingest.answer_stream(spark, source, "id long, submission_id long, field_id long, answer_text string, created_at timestamp, decomposed_at timestamp")
+    points, marks, checkpoint = (stage_path(spark, f"ingest-{n}") for n in ("points", "marks", "checkpoint"))
+    split = lambda batch: batch.select(F.col("id").alias("answer_id"), F.lit(0).alias("point_no"), F.col("answer_text").alias("point_text"), F.lit("short").alias("status"))
+    ingest.ingest_stream(answers, split, points, marks, checkpoint, "3650 days").awaitTermination()
+    return spark.read.parquet(points).groupBy("answer_id").agg(F.count(F.lit(1)).alias("points"))
