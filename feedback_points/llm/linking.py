@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -22,32 +22,36 @@ from .common import stage
 HOT = 64
 
 
-def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, verify_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, verify_blocks: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``id, component`` of every id that has a link.
 
-    ``members`` has ``key`` and ``id``; ``verify`` takes pairs ``a, b`` (a < b, distinct) and
-    returns the true links among them. ``verify_blocks`` takes ``group, id, component`` and returns
-    links ``a, b`` that connect the components of a group that any true links connect. Ids under no
-    shared key do not appear.
+    ``members`` has ``key`` and ``id``, and ``x`` where ``near`` is given: only pairs whose ``x``
+    are near can be links, which is tested before a pair is written. ``verify`` takes pairs ``a, b``
+    (a < b, distinct) and returns the true links among them. ``verify_blocks`` takes ``group, id,
+    component`` and returns links ``a, b`` that connect the components of a group that any true
+    links connect. Ids under no shared key do not appear.
     """
+    if near is None:
+        members, near = members.withColumn("x", F.lit(0)), lambda p, q: F.lit(True)
     by_key = Window.partitionBy("key").orderBy("id")
-    buckets = stage(
-        members.select("key", "id", F.first("id").over(by_key).alias("first"), F.lag("id").over(by_key).alias("before"), F.lead("id").over(by_key).alias("after"))
-        .where("before is not null or after is not null").select("key", "id", "first", "before"),
-        f"{name}-buckets",
-    )
-    star = buckets.where("before is not null and before < id").select(F.explode(F.array("first", "before")).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+    me = F.struct("id", "x")
+    placed = members.select("key", "id", "x", F.first(me).over(by_key).alias("first"), F.lag(me).over(by_key).alias("before"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"))
+    # the first and the one before are all that a member of up to three can meet
+    meets = F.col("before").isNotNull() & (near(F.col("first.x"), F.col("x")) | near(F.col("before.x"), F.col("x")))
+    buckets = stage(placed.where("n > 1").where((F.col("n") > 3) | meets), f"{name}-buckets")
+    pairs = buckets.where("before is not null").select(F.explode(F.array("first", "before")).alias("p"), F.col("id").alias("b"), "x")
+    star = pairs.where(F.col("p.id") < F.col("b")).where(near(F.col("p.x"), F.col("x"))).select(F.col("p.id").alias("a"), "b").distinct()
     links = stage(verify(stage(star, f"{name}-star")), f"{name}-links")
     groups = connected_components(links)
 
-    named = buckets.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = buckets.where("n > 3").select("key", "id", "x").join(groups, "id", "left").select("key", "id", "x", F.coalesce("component", "id").alias("component"))
     split = (
         named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
         .where("lo < hi").select("key", "n", "first")
     )
     apart = stage(named.join(split, "key"), f"{name}-apart")
     few = apart if verify_blocks is None else apart.where(F.col("n") <= HOT)
-    more = stage(verify(stage(_across(few), f"{name}-across")), f"{name}-more")
+    more = stage(verify(stage(_across(few, near), f"{name}-across")), f"{name}-more")
     if verify_blocks is not None:
         many = apart.where(F.col("n") > HOT)
         if not many.isEmpty():
@@ -60,10 +64,10 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     return connected_components(links.unionByName(more))
 
 
-def _across(apart: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose components differ."""
-    other = apart.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
+def _across(apart: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of a bucket that are near and whose components differ."""
+    other = apart.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"), F.col("x").alias("x_b"))
     return (
-        apart.join(other, (apart["key"] == other["key"]) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("of_b")))
+        apart.join(other, (apart["key"] == other["key"]) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("of_b")) & near(F.col("x"), F.col("x_b")))
         .select(F.col("id").alias("a"), "b").distinct()
     )
