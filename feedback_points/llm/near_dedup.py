@@ -213,7 +213,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a"))
         right = signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b"))
         close = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(near, "a long, b long"), "close")
-        involved = close.select(F.explode(F.array("a", "b")).alias(id_col))
+        involved = close.select(F.col("a").alias(id_col)).distinct().unionByName(close.select(F.col("b").alias(id_col)).distinct())
         sets = stage(_sets(with_ids(docs, involved, id_col), id_col, text_col, k), "sets")
         set_a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         set_b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
