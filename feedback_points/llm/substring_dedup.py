@@ -5,7 +5,9 @@ reference is sharded by content. Each window of ``window`` words belongs to the
 smallest ``GRAM``-word hash; equal windows have the same smallest hash, so a window can only repeat
 within its shard. Consecutive windows of one shard form a segment. Shards that a single document
 uses are dropped, equal segments are streamed once, and only the words of the first of equal
-segments are sent to the shard. There segments come in ascending document id: each is run through
+segments are sent to the shard. Windows of a smallest hash whose distinct segments have more than
+``HOT_WORDS`` words (counted first) are sharded by the hash of the whole window instead: each is a
+segment of its own, equal ones are one, and no automaton grows with a frequent passage. In a shard segments come in ascending document id: each is run through
 the suffix automaton of the smaller documents' segments, spans whose match is at least ``window``
 words long are removed, and then the segment joins the automaton.
 
@@ -27,6 +29,8 @@ from .common import bounded_batches, stage, with_ids, without_ids
 from .words import mix, shingles, slices, words
 
 WINDOW, GRAM = 50, 10
+#: Words of distinct segments that one automaton may take.
+HOT_WORDS = 200_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -107,8 +111,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([one, np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
 
 
-def segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows with one smallest gram: text, first word (in all), words, gram, content hash."""
+def segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of windows with one smallest gram: text, first word (in all), words, shard, content hash.
+
+    The shard is the gram, but windows whose gram is in ``hot`` (sorted) stand alone, each under a hash of its words.
+    """
     sh, made = shingles(h, counts, gram)
     wide = window - gram + 1
     least = _window_min(sh, wide)
@@ -118,24 +125,27 @@ def segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple
     valid = np.flatnonzero((ends[row] - at >= wide) & (counts[row] >= window)) if len(least) else at
     row, key = row[valid], least[valid]
     new = np.ones(len(valid), bool)
-    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    alone = np.zeros(len(valid), bool)
+    if hot is not None and len(hot):
+        alone = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | alone[1:]
     first = np.flatnonzero(new)
     runs = np.diff(np.concatenate([first, [len(valid)]]))
-    row, key = row[first], key[first]
+    row, key, alone = row[first], key[first], alone[first]
     word = valid[first] - (ends - made)[row] + (np.cumsum(counts) - counts)[row]
     size = runs + window - 1
     power, inverse = _powers(len(h))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
     content = mix((total[word + size] - total[word]) * inverse[word] + size.astype(np.uint64))
-    return row, word, size, key, content
+    return row, word, size, np.where(alone, mix(content ^ key), key), content
 
 
-def _survey(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _survey(rows: DataFrame, window: int, gram: int, hot: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in slices(batch.column(1)):
                 h, _, _, counts = words(data, at)
-                row, _, _, key, content = segments(h, counts, window, gram)
+                row, _, size, key, content = segments(h, counts, window, gram, hot)
                 offsets = pa.array(np.searchsorted(row, np.arange(len(counts) + 1)), pa.int32())
                 ends = np.cumsum(counts)
                 prints = [hashlib.blake2b(h[e - n : e].tobytes(), digest_size=16).digest() for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
@@ -143,14 +153,15 @@ def _survey(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     [
                         batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(content.view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(size, pa.int32())),
                     ],
-                    ["doc_id", "n_words", "print", "keys", "contents"],
+                    ["doc_id", "n_words", "print", "keys", "contents", "sizes"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, print binary, keys array<long>, contents array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_words long, print binary, keys array<long>, contents array<long>, sizes array<int>")
 
 
-def _wanted_words(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _wanted_words(rows: DataFrame, window: int, gram: int, hot: np.ndarray | None = None) -> DataFrame:
     """Words (hashed) of the listed segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +169,7 @@ def _wanted_words(rows: DataFrame, window: int, gram: int) -> DataFrame:
             lists = batch.column(2)
             for i, _, data, at in slices(batch.column(1)):
                 h, _, _, counts = words(data, at)
-                row, word, size, key, content = segments(h, counts, window, gram)
+                row, word, size, key, content = segments(h, counts, window, gram, hot)
                 ends = np.searchsorted(row, np.arange(len(counts) + 1))
                 pick = [np.zeros(0, np.int64)]
                 for d in range(len(counts)):
@@ -204,7 +215,7 @@ def _match(sent: DataFrame, window: int) -> DataFrame:
     return sent.mapInArrow(run, "key long, content long, first long, spans binary")
 
 
-def _apply(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _apply(rows: DataFrame, window: int, gram: int, hot: np.ndarray | None = None) -> DataFrame:
     """Removes words; ``rows`` has id, text, and the contents and spans that the text loses (null: whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +225,7 @@ def _apply(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 h, begin, end, counts = words(data, at)
                 drop = np.zeros(len(h) + 1, np.int64)
                 if hit[i:j].any():
-                    row, word, size, _, content = segments(h, counts, window, gram)
+                    row, word, size, _, content = segments(h, counts, window, gram, hot)
                     ends = np.searchsorted(row, np.arange(len(counts) + 1))
                     for d in np.flatnonzero(hit[i:j]).tolist():
                         lost = {c: s for c, s in zip(batch.column(2)[i + d].as_py(), batch.column(3)[i + d].as_py(), strict=True)}
@@ -243,6 +254,16 @@ def _apply(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
+def _shards(survey: DataFrame, copies: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments of each document, distinct segments, and the shards that more than one document uses."""
+    own = without_ids(survey.where(f"doc_id is not null and n_words >= {window}").select("doc_id", "keys", "contents", "sizes"), copies)
+    used = own.select("doc_id", F.explode(F.arrays_zip("keys", "contents", "sizes")).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.contents").alias("content"), F.col("s.sizes").alias("size"))
+    distinct = used.groupBy("key", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("size").alias("size"))
+    by_shard = stage(distinct, "segments")
+    shards = by_shard.groupBy("key").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).where("lo < hi")
+    return used.drop("size"), by_shard, shards
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by a blank).
 
@@ -257,17 +278,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = stage(
         survey.where(f"doc_id is not null and n_words >= {window}").join(owners.where("owner < last"), "print").where("doc_id > owner").select("doc_id", "n_words"), "copies",
     )
-    own = survey.where(f"doc_id is not null and n_words >= {window}").select("doc_id", "keys", "contents")
-    own = without_ids(own, copies)
-    used = own.select("doc_id", F.explode(F.arrays_zip("keys", "contents")).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.contents").alias("content"))
-    distinct = used.groupBy("key", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    by_shard = stage(distinct, "segments")
-    shards = by_shard.groupBy("key").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    used, by_shard, shards = _shards(survey, copies, window)
+    # each has more than HOT_WORDS words, so the list is short beside the corpus
+    hot = np.array([r[0] for r in shards.where(F.col("words") > HOT_WORDS).select("key").collect()], np.int64).view(np.uint64)
+    hot.sort()
+    if len(hot):
+        survey = stage(_survey(without_ids(rows, copies), window, gram, hot), "hot-survey")
+        used, by_shard, shards = _shards(survey, copies, window)
     shared = stage(by_shard.join(shards.select("key", "n"), "key"), "shared")
 
     send = stage(shared.where("n > 1").groupBy("first").agg(F.collect_list("content").alias("wanted")).withColumnRenamed("first", "doc_id"), "wanted")
     texts = with_ids(rows, send).join(send, "doc_id").select("doc_id", "text", "wanted")
-    sent = _wanted_words(texts, window, gram).dropDuplicates(["key", "content"])
+    sent = _wanted_words(texts, window, gram, hot).dropDuplicates(["key", "content"])
     ordered = sent.repartition("key").sortWithinPartitions("key", "doc_id")
     matched = stage(_match(ordered, window), "matched")
 
@@ -283,7 +305,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     empty = [F.lit(None).cast("array<long>").alias("contents"), F.lit(None).cast("array<binary>").alias("spans")]
     rest = without_ids(rows, copies)
-    changed = _apply(with_ids(rest, losses).join(losses, "doc_id").select("doc_id", "text", "contents", "spans"), window, gram)
-    same = _apply(without_ids(rest, losses).select("doc_id", "text", *empty), window, gram)
+    changed = _apply(with_ids(rest, losses).join(losses, "doc_id").select("doc_id", "text", "contents", "spans"), window, gram, hot)
+    same = _apply(without_ids(rest, losses).select("doc_id", "text", *empty), window, gram, hot)
     gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"))
     return same.unionByName(changed).unionByName(gone)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -166,6 +167,28 @@ def test_substring_dedup(docs, rows, window, gram):
     assert got == substring_want(rows, window)
 
 
+@pytest.mark.parametrize("window, gram", [(50, 10), (12, 5)])
+def test_substring_hot_passage(spark, docs, rows, window, gram, monkeypatch):
+    """A passage in most documents, each time between other words, doesn't meet in one automaton."""
+    module = sys.modules["feedback_points.llm.substring_dedup"]
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    more = [(2000 + i, " ".join([*(f"a{x}" for x in rng.integers(0, 900, 45)), passage, *(f"b{x}" for x in rng.integers(0, 900, 45))])) for i in range(60)]
+    more += [(3000 + i, "again " * (60 + i)) for i in range(5)]
+    most = []
+
+    def match(sent, n, real=module._match):
+        most.append(sent.groupBy("key").agg(F.sum(F.length("words") / 8).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return real(sent, n)
+
+    monkeypatch.setattr(module, "_match", match)
+    monkeypatch.setattr(module, "HOT_WORDS", 1000, raising=False)
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(both, window=window, gram=gram).collect()}
+    assert got == substring_want(rows + more, window)
+    assert most[0] <= 1000
+
+
 def test_substring_odd_rows(odd, empty):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup(odd).collect())
     assert got == [(-1, 0, 0), (-1, 130, 0), (3, 130, 0), (5, 130, 130), (5, 130, 130), (7, 0, 0), (8, 6, 0), (8, 6, 0)]
