@@ -1,6 +1,7 @@
 """Best-fit packing by hierarchical residual packing.
 
-Each partition packs its pieces best-fit in decreasing order and emits the bins that are nearly
+Pieces are dealt over partitions by hash, so that each sees the whole mix of lengths whatever the
+order of the files. Each partition packs its pieces best-fit in decreasing order and emits the bins that are nearly
 full. Underfull bins go on as items to fewer partitions, where they are packed again, up the tree;
 the higher the level, the less full an emitted bin may be, so what goes on shrinks. A task takes a
 bounded number of items at every level: a level whose residual no longer shrinks ends the tree.
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage
+from .common import bounded_batches, shuffle_partitions, stage
 from .tokens import END_ID, encode_column
 
 CAPACITY = 1024
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
+#: Items that a partition of the first level has at least (on average), so that its mix is the whole's.
+MIX_ITEMS = 2000
 #: How many partitions of a level meet in one of the next.
 FAN_IN = 4
 #: Free tokens that an emitted bin may have on the first level; four times as many on each further one.
@@ -124,18 +127,20 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     single = cut.select(F.col("length").alias("fill"), F.array(one).alias("members"))
     done = [single.where(F.col("fill") == capacity)]
     rest = single.where(F.col("fill") < capacity)
-    parts, slack, before = None, SLACK, None
+    n = rest.count()
+    parts, slack, before = max(1, -(-n // TASK_ITEMS), min(shuffle_partitions(cut.sparkSession), n // MIX_ITEMS)), SLACK, None
+    # the checksum spreads pieces whose ids are null or repeated
+    rest = rest.repartition(parts, F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"], F.col("members")[0]["ids_crc32"]))
     while True:
-        level = stage(_packed(rest if parts is None else rest.repartition(parts), capacity), "packed")
+        level = stage(_packed(rest if before is None else rest.repartition(parts), capacity), "packed")
         left = level.where(F.col("fill") < capacity - slack)
         n = left.count()
-        now = level.rdd.getNumPartitions() if parts is None else parts
-        if n == 0 or (now == 1 and before is not None) or (before is not None and n > TASK_ITEMS and n > 0.9 * before):
+        if n == 0 or (parts == 1 and before is not None) or (before is not None and n > TASK_ITEMS and n > 0.9 * before):
             done.append(level)
             break
         done.append(level.where(F.col("fill") >= capacity - slack))
         rest, before, slack = left, n, 4 * slack
-        parts = max(1, -(-n // TASK_ITEMS), now // FAN_IN) if n > TASK_ITEMS // 16 else 1
+        parts = max(1, -(-n // TASK_ITEMS), parts // FAN_IN) if n > TASK_ITEMS // 16 else 1
     bins = stage(reduce(DataFrame.unionByName, done), "bins").withColumn("sequence_id", F.monotonically_increasing_id())
     placed = F.transform("members", lambda m, i: F.struct(m.alias("m"), F.aggregate(F.slice("members", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("offset")))
     return bins.select("sequence_id", F.explode(placed).alias("p")).select("p.m.*", "sequence_id", "p.offset")

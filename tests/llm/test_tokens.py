@@ -116,6 +116,21 @@ def test_pack_levels(docs, encoded, monkeypatch):
     check_packing(packing.pack(docs, PATH).collect(), encoded, 1024)
 
 
+@pytest.mark.parametrize("task_items", [200_000, 250])
+def test_pack_sorted_by_length(spark, monkeypatch, task_items):
+    """Long pieces in some files and short ones in others still meet, on one level and on several."""
+    monkeypatch.setattr(packing, "TASK_ITEMS", task_items)
+    sizes = [600] * 1500 + [400] * 1500
+    cut = spark.createDataFrame([(i, 0, 0, n, i % 7) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long").coalesce(4)
+    monkeypatch.setattr(packing, "pieces", lambda *_: cut)
+    got = packing.pack(cut, PATH).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    fill = {}
+    for r in got:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 1024 and len(fill) <= 1500 * 1.07
+
+
 def test_pack_odd(odd, empty):
     assert packing.pack(empty, PATH).count() == 0
     assert packing.pack(odd, PATH).count() == 8
