@@ -128,6 +128,30 @@ def test_line_groups(spark, docs, rows):
     assert got == line_want(rows + tricky)
 
 
+def test_line_ids_stay(spark, docs, monkeypatch):
+    """A line keeps its id however the files are put into scan partitions (as when executors come or go)."""
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def link(members, *args, **options):
+        for parts in (1, 8):
+            spark.conf.set("spark.sql.files.minPartitionNum", parts)
+            seen.append({(r.x, r.id) for r in members.select("x", "id").distinct().collect()})
+        raise Enough
+
+    monkeypatch.setattr(line_dedup, "link_components", link)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        with pytest.raises(Enough):
+            line_dedup.line_groups(docs)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] == seen[1]
+
+
 def test_sim_hash_of_long_lines(spark):
     lines = [" ".join(f"w{i}" for i in range(n)) for n in (1, 2, 255, 256, 3000)]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
