@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, stage, stage_path
 
-__all__ = ["BROADCAST_IDS", "bounded_batches", "shared_dir", "shuffle_partitions", "stage", "stage_path", "with_ids", "without_ids"]
+__all__ = ["BROADCAST_IDS", "bounded_batches", "listed", "shared_dir", "shuffle_partitions", "stage", "stage_path", "with_ids", "without_ids"]
 
 #: Rows of an id list that may be broadcast (8 bytes a row); longer lists use a shuffle join.
 BROADCAST_IDS = 2_000_000
@@ -29,10 +29,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def listed(keys: DataFrame) -> DataFrame:
+    """``keys`` (a staged table of a few numbers a row), broadcast when it is counted and found short."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
 def _listed(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    ids = stage(ids.select(F.col(id_col).cast("long").alias("__listed")).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = listed(stage(ids.select(F.col(id_col).cast("long").alias("__listed")).distinct(), "ids"))
     return docs.join(ids, F.col(id_col) == F.col("__listed"), how)
 
 

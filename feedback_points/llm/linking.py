@@ -1,73 +1,85 @@
 """Connected groups from bucketed candidates, without writing all pairs of a bucket.
 
-A bucket (the ids under one key) first gives each member two pairs: with the smallest member and
-with the one before it. Those that verify are links; a group of copies becomes one component this
-way, whatever its size. Links can then be missing only between members of a bucket that still
-belong to different components, so only those pairs are looked at, and no link between two
-components is lost. In buckets of at most ``HOT`` members they are written as pairs, which is linear
-in the members; larger buckets are compared in blocks, inside tasks, where the caller can do that.
+A bucket holds the ids under one key; the smallest is its first. Each id is first paired with one
+other: the first that it shares most buckets with. True links among those pairs join a group of
+copies into one component, whatever its size. Links can then be missing only between members of a
+bucket that still belong to different components, and only such pairs are looked at, so that no link
+between two components is lost. In buckets of at most ``HOT`` members they are tested for distance
+and written as pairs, linear in the members. Larger buckets are compared in blocks (:func:`dealt`).
+
+Buckets are counted by an aggregation that combines before the shuffle, and joined by key, so that
+no key's rows have to pass one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import stage
+from .common import listed, stage
 
 #: Members up to which a bucket's pairs are written one by one.
 HOT = 64
+#: Members, and their weights in all, of a block of a larger bucket (on average).
+BLOCK, BLOCK_WEIGHT = 1024, 2_000_000
 
 
-def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, verify_blocks: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """``id, component`` of every id that has a link.
+def link_components(
+    members: DataFrame, across: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], in_blocks: Callable[[DataFrame], DataFrame], name: str, weights: DataFrame | None = None,
+) -> DataFrame:
+    """``id, component`` of every id that has a link. Ids under no shared key do not appear.
 
-    ``members`` has ``key`` and ``id``, and ``x`` where ``near`` is given: only pairs whose ``x``
-    are near can be links, which is tested before a pair is written. ``verify`` takes pairs ``a, b``
-    (a < b, distinct) and returns the true links among them. ``verify_blocks`` takes ``group, id,
-    component`` and returns links ``a, b`` that connect the components of a group that any true
-    links connect. Ids under no shared key do not appear.
+    ``members`` has ``key`` and ``id``. ``verify`` takes pairs ``a, b`` (a < b, distinct) and returns
+    the true links. ``across`` takes ``key, id, component`` and returns the distinct pairs of a
+    bucket whose components differ and that may be links. ``in_blocks`` takes what :func:`dealt`
+    gives and returns links that join all components which true links join. ``weights`` (``id,
+    weight``) bounds the size of blocks.
     """
-    if near is None:
-        members, near = members.withColumn("x", F.lit(0)), lambda p, q: F.lit(True)
-    by_key = Window.partitionBy("key").orderBy("id")
-    me = F.struct("id", "x")
-    placed = members.select("key", "id", "x", F.first(me).over(by_key).alias("first"), F.lag(me).over(by_key).alias("before"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"))
-    # the first and the one before are all that a member of up to three can meet
-    meets = F.col("before").isNotNull() & (near(F.col("first.x"), F.col("x")) | near(F.col("before.x"), F.col("x")))
-    buckets = stage(placed.where("n > 1").where((F.col("n") > 3) | meets), f"{name}-buckets")
-    pairs = buckets.where("before is not null").select(F.explode(F.array("first", "before")).alias("p"), F.col("id").alias("b"), "x")
-    star = pairs.where(F.col("p.id") < F.col("b")).where(near(F.col("p.x"), F.col("x"))).select(F.col("p.id").alias("a"), "b").distinct()
-    links = stage(verify(stage(star, f"{name}-star")), f"{name}-links")
+    sizes = stage(members.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-sizes")
+    buckets = stage(members.join(listed(sizes), "key"), f"{name}-buckets")
+    shared = buckets.where("first < id").groupBy("id", "first").agg(F.count(F.lit(1)).alias("c"))
+    hubs = shared.groupBy("id").agg(F.max(F.struct("c", (-F.col("first")).alias("first"))).alias("best")).select((-F.col("best.first")).alias("a"), F.col("id").alias("b"))
+    links = stage(verify(stage(hubs, f"{name}-hubs")), f"{name}-links")
     groups = connected_components(links)
 
-    named = buckets.where("n > 3").select("key", "id", "x").join(groups, "id", "left").select("key", "id", "x", F.coalesce("component", "id").alias("component"))
-    split = (
-        named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-        .where("lo < hi").select("key", "n", "first")
-    )
-    apart = stage(named.join(split, "key"), f"{name}-apart")
-    few = apart if verify_blocks is None else apart.where(F.col("n") <= HOT)
-    more = stage(verify(stage(_across(few, near), f"{name}-across")), f"{name}-more")
-    if verify_blocks is not None:
-        many = apart.where(F.col("n") > HOT)
-        if not many.isEmpty():
-            # large buckets that share members are one group, so that no two members meet twice
-            group = connected_components(many.select(F.col("first").alias("a"), F.col("id").alias("b")))
-            grouped = many.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id")
-            more = more.unionByName(stage(verify_blocks(stage(grouped.select("group", "id", "component"), f"{name}-many")), f"{name}-blocks"))
+    named = stage(buckets.join(groups, "id", "left").select("key", "id", "first", "n", F.coalesce("component", "id").alias("component")), f"{name}-named")
+    split = stage(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), f"{name}-split")
+    apart = stage(named.join(listed(split), "key"), f"{name}-apart")
+    more = stage(verify(stage(across(apart.where(F.col("n") <= HOT).select("key", "id", "component")), f"{name}-across")), f"{name}-more")
+    large = apart.where(F.col("n") > HOT)
+    if not large.isEmpty():
+        if not more.isEmpty():  # what the small buckets have joined need not be looked at again
+            groups = connected_components(links.unionByName(more))
+            large = large.drop("component").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = more.unionByName(stage(in_blocks(stage(dealt(large, weights), f"{name}-dealt")), f"{name}-blocks"))
     if more.isEmpty():
         return groups
     return connected_components(links.unionByName(more))
 
 
-def _across(apart: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs of a bucket that are near and whose components differ."""
-    other = apart.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"), F.col("x").alias("x_b"))
-    return (
-        apart.join(other, (apart["key"] == other["key"]) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("of_b")) & near(F.col("x"), F.col("x_b")))
-        .select(F.col("id").alias("a"), "b").distinct()
+def dealt(large: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Rows of large buckets, dealt as pairs of blocks: ``group, i, j, left, id, component``.
+
+    Buckets that share members are one group, so that no two members meet for each key again. The
+    group's largest component needs no look at itself: the left sides are the members of all others,
+    the right sides are all members. Members are copied once for each block on the other side.
+    """
+    group = connected_components(large.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    weight = F.lit(1.0) if weights is None else F.coalesce("weight", F.lit(1)) / F.lit(BLOCK_WEIGHT / BLOCK)
+    grouped = large.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id")
+    if weights is not None:
+        grouped = grouped.join(weights, "id", "left")
+    grouped = stage(grouped.select("group", "id", "component", F.greatest(weight, F.lit(1.0)).alias("w")), "block-members")
+    sums = grouped.groupBy("group", "component").agg(F.sum("w").alias("w")).groupBy("group")
+    sums = sums.agg(F.sum("w").alias("all"), F.max(F.struct("w", "component")).alias("main")).where(F.col("all") > F.col("main.w"))
+    placed = grouped.join(sums, "group").select(
+        "group", "id", "component", F.xxhash64("id").alias("h"), (F.col("component") != F.col("main.component")).alias("other"),
+        F.ceil((F.col("all") - F.col("main.w")) / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights"),
     )
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = placed.where("other").select("group", F.pmod("h", "lefts").alias("i"), to(F.col("rights")).alias("j"), F.lit(True).alias("left"), "id", "component")
+    right = placed.select("group", to(F.col("lefts")).alias("i"), F.pmod("h", "rights").alias("j"), F.lit(False).alias("left"), "id", "component")
+    return left.unionByName(right)

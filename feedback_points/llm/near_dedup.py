@@ -29,8 +29,6 @@ from .words import distinct_sets, mix, shingles, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 CHUNKS, WIDTH, ERRORS = 12, 6, 1
-#: Documents of a large bucket that a task compares with as many others at a time.
-BLOCK = 256
 #: Pairs whose signatures differ in more than this share of positions are not confirmed on full
 #: sets: at similarity 0.8 that has a probability of about 1e-10.
 FAR = 0.5
@@ -118,36 +116,57 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, set binary")
 
 
+def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each bucket whose components differ and whose signatures are near; rows come sorted by key."""
+    key, held = None, []
+
+    def close() -> pa.RecordBatch:
+        ids, component = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+        signs = np.stack([x[2] for x in held])
+        far = (signs[:, None, :] != signs[None, :, :]).sum(2)
+        a, b = np.nonzero((far <= FAR * signs.shape[1]) & (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    for batch in batches:
+        for k, name, component, sign in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if k != key:
+                if held:
+                    yield close()
+                key, held = k, []
+            held.append((name, component, np.frombuffer(sign, np.uint16)))
+    if held:
+        yield close()
+
+
 def _linked_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links that connect the components of each pair of blocks; rows come sorted by pair."""
     key, held = None, []
 
     def close() -> pa.RecordBatch:
-        a, b = _spanning_links(held, key[1] == key[2], percent)
+        a, b = _spanning_links(held, percent)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
         for row in zip(*(batch.column(c) for c in range(7)), strict=True):
-            group, i, j, block, name, component = (x.as_py() for x in row[:6])
+            group, i, j, left, name, component = (x.as_py() for x in row[:6])
             if key != (group, i, j):
                 if held:
                     yield close()
                 key, held = (group, i, j), []
-            held.append((block == i, name, component, np.frombuffer(row[6].as_buffer(), np.uint64).copy()))
+            held.append((left, name, component, np.frombuffer(row[6].as_buffer(), np.uint64).copy()))
     if held:
         yield close()
 
 
-def _spanning_links(held: list[tuple[bool, int, int, np.ndarray]], same: bool, percent: int, width: int = 4096) -> tuple[list[int], list[int]]:
+def _spanning_links(held: list[tuple[bool, int, int, np.ndarray]], percent: int, width: int = 4096) -> tuple[list[int], list[int]]:
     """Links between the left and the right documents, as many as connect what links connect.
 
     Intersections of all pairs come from products of 0/1 matrices, ``width`` shingles at a time.
     """
-    left = [x for x in held if x[0]]
-    right = left if same else [x for x in held if not x[0]]
+    left, right = [x for x in held if x[0]], [x for x in held if not x[0]]
     if not left or not right:
         return [], []
-    both = left + ([] if same else right)
+    both = left + right
     hashes, number = np.unique(np.concatenate([x[3] for x in both]), return_inverse=True)
     doc = np.repeat(np.arange(len(both)), [len(x[3]) for x in both])
     order = np.argsort(number, kind="stable")
@@ -157,7 +176,7 @@ def _spanning_links(held: list[tuple[bool, int, int, np.ndarray]], same: bool, p
         lo, hi = np.searchsorted(number, [at, at + width])
         marks = np.zeros((len(both), width), np.float32)
         marks[doc[lo:hi], number[lo:hi] - at] = 1
-        inter += marks[: len(left)] @ (marks if same else marks[len(left) :]).T
+        inter += marks[: len(left)] @ marks[len(left) :].T
     size_l, size_r = (np.array([len(x[3]) for x in side], np.int64) for side in (left, right))
     inter = inter.astype(np.int64)
     true = (100 * inter >= percent * (size_l[:, None] + size_r[None, :] - inter)) & (inter > 0)
@@ -191,7 +210,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     percent = round(100 * similarity)
     feats = stage(_features(docs, id_col, text_col, k), "signatures")
-    nodes = stage(feats.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.min("sign").alias("sign")), "nodes")
+    nodes = stage(feats.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n_shingles")), "nodes")
     signs = nodes.select("node", "sign")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,16 +238,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         set_b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
         return close.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct()
 
-    def verify_blocks(members: DataFrame) -> DataFrame:
-        sets = _sets(with_ids(docs, members.select(F.col("id").alias(id_col)), id_col), id_col, text_col, k)
-        sizes = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        own = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).join(sets, "id")
-        meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pair = meets.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "set")
-        dealt = pair.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-        return dealt.mapInArrow(lambda batches: _linked_blocks(batches, percent), "a long, b long")
+    def across(apart: DataFrame) -> DataFrame:
+        own = apart.join(signs.withColumnRenamed("node", "id"), "id").select("key", "id", "component", "sign")
+        return own.repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs, "a long, b long").distinct()
+
+    def in_blocks(blocks: DataFrame) -> DataFrame:
+        sets = _sets(with_ids(docs, blocks.select(F.col("id").alias(id_col)), id_col), id_col, text_col, k)
+        pair = blocks.join(sets, "id").select("group", "i", "j", "left", "id", "component", "set")
+        return pair.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _linked_blocks(batches, percent), "a long, b long")
 
-    groups = link_components(_keys(nodes), verify, "near", verify_blocks)
+    weights = nodes.select(F.col("node").alias("id"), F.col("n_shingles").alias("weight"))
+    groups = link_components(_keys(nodes), across, verify, in_blocks, "near", weights)
     own = nodes.select("print", "node").join(groups, F.col("node") == F.col("id"), "left").select("print", F.coalesce("component", "node").alias("component"))
     found = feats.join(own, "print", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),

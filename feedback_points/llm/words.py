@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
-_powers = np.ones(1, np.uint64)
-
-
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, _BASE)]), dtype=np.uint64)
-    return _powers
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Runs of more bytes are hashed by blake2b one by one.
+LONG_RUN = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,6 +33,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hash_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, taken eight bytes at a time.
+
+    Each step is a one-to-one scramble, so equal-sized runs of up to eight bytes never collide, and no
+    sum over places can cancel out as in a polynomial hash.
+    """
+    out = mix(size.astype(np.uint64) * _STEPS[2] + _STEPS[seed])
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix((out ^ (eight[begin] & _FIRST[np.minimum(size, 8)])) * _STEPS[4])
+    for i in np.flatnonzero(size > LONG_RUN).tolist():
+        run = data[begin[i] : begin[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    live, done = np.flatnonzero((size > 8) & (size <= LONG_RUN)), 8
+    while len(live):
+        rest = size[live] - done
+        out[live] = mix((out[live] ^ (eight[begin[live] + done] & _FIRST[np.minimum(rest, 8)])) * _STEPS[4])
+        live, done = live[rest > 8], done + 8
+    return out
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and where each begins and the last ends; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,16 +92,7 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.nda
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     counts = np.diff(np.searchsorted(begin, at))
     size = end - begin
-    if not len(size):
-        return np.zeros(0, np.uint64), begin, end, counts
-    power = _powers_to(int(size.max()))
-    letters = data[full]
-    if lower:
-        letters = _LOWER[letters]
-    from_ = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(from_, size)
-    hashes = np.add.reduceat((letters + np.uint64(1)) * power[place], from_)
-    return mix(hashes + size.astype(np.uint64) * _STEPS[2]), begin, end, counts
+    return hash_runs(_LOWER[data] if lower else data, begin, size), begin, end, counts
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

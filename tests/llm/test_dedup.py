@@ -61,7 +61,7 @@ def near_want(rows, k):
 @pytest.mark.parametrize("k, hot", [(2, 64), (5, 64), (2, 2)])
 def test_near_groups(docs, rows, k, hot, monkeypatch):
     monkeypatch.setattr(linking, "HOT", hot)
-    monkeypatch.setattr(near_dedup, "BLOCK", 3 if hot == 2 else 256)
+    monkeypatch.setattr(linking, "BLOCK", 3 if hot == 2 else 1024)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(docs, k=k).collect()}
     assert got == near_want(rows, k)
 
