@@ -9,8 +9,8 @@ from ..session import shared_dir, stage, stage_path
 
 __all__ = ["BROADCAST_IDS", "bounded_batches", "listed", "shared_dir", "shuffle_partitions", "stage", "stage_path", "with_ids", "without_ids"]
 
-#: Rows of an id list that may be broadcast (8 bytes a row); longer lists use a shuffle join.
-BROADCAST_IDS = 2_000_000
+#: Rows of a list of single numbers that may be broadcast (about 50 bytes a row in memory); longer lists use a shuffle join.
+BROADCAST_IDS = 1_000_000
 
 #: Rows of an Arrow batch of texts; with 10,000 rows a batch of long texts takes much of a worker's memory.
 BATCH_ROWS = 1000
@@ -30,8 +30,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def listed(keys: DataFrame) -> DataFrame:
-    """``keys`` (a staged table of a few numbers a row), broadcast when it is counted and found short."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    """``keys`` (a staged table of numbers), broadcast when it is counted and found short."""
+    return F.broadcast(keys) if keys.count() * len(keys.columns) <= BROADCAST_IDS else keys
 
 
 def _listed(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:

@@ -6,7 +6,10 @@ id order. A shard's ids are a sequence of symbols: ids below ``base`` stand for
 length is stored, so a position inside a document is found by summing lengths, and only the symbols
 around it are expanded.
 
+Replacement stops when no pair inside a document occurs ``MIN_COUNT`` times or more, and nowhere else.
+
 Columns: ``part, shard`` (order), ``part_start`` (ids before the shard in its part), ``n_ids``,
+``first_id, last_id`` (least and greatest document id, for pruning by Parquet statistics),
 ``doc_id`` (list), ``doc_ids`` and ``doc_symbols`` (ids and symbols of each document), ``base``,
 ``rules`` (pairs of unsigned 32-bit numbers), ``spans`` (expansion lengths, unsigned 32-bit),
 ``symbols`` (unsigned, 16-bit where base and rules allow it, else 32-bit).
@@ -28,11 +31,13 @@ from .tokens import END_ID, encode_column
 
 #: A shard is closed when it holds so many ids; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, rules a round and in all, and how often a pair must occur.
-ROUNDS, ROUND_RULES, MAX_RULES, MIN_COUNT = 8, 1024, 8192, 8
+#: How often a pair must occur: a rule takes 12 bytes and saves a symbol of 2 bytes at each occurrence.
+MIN_COUNT = 8
+#: Pairs that a round replaces together at most; rounds go on until none is left.
+ROUND_RULES = 1 << 14
 _BUCKETS = 1 << 20
 
-SCHEMA = "part long, shard long, part_start long, n_ids long, doc_id array<long>, doc_ids array<int>, doc_symbols array<int>, base long, rules binary, spans binary, symbols binary"
+SCHEMA = "part long, shard long, part_start long, n_ids long, first_id long, last_id long, doc_id array<long>, doc_ids array<int>, doc_symbols array<int>, base long, rules binary, spans binary, symbols binary"
 
 
 def _frequent(left: np.ndarray, right: np.ndarray, inner: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,8 +46,12 @@ def _frequent(left: np.ndarray, right: np.ndarray, inner: np.ndarray, min_count:
     bucket = np.where(inner, bucket, _BUCKETS).astype(np.int64)
     seen = np.bincount(bucket, minlength=_BUCKETS + 1)[:_BUCKETS]
     full = np.flatnonzero(seen >= min_count)
-    if len(full) > 2 * ROUND_RULES:
-        full = full[np.argpartition(seen[full], -2 * ROUND_RULES)[-2 * ROUND_RULES :]]
+    part = full if len(full) <= 2 * ROUND_RULES else full[np.argpartition(seen[full], -2 * ROUND_RULES)[-2 * ROUND_RULES :]]
+    codes, counts = _counted(left, right, bucket, part, min_count)
+    return (codes, counts) if len(codes) or len(part) == len(full) else _counted(left, right, bucket, full, min_count)
+
+
+def _counted(left: np.ndarray, right: np.ndarray, bucket: np.ndarray, full: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
     wanted = np.zeros(_BUCKETS + 1, bool)
     wanted[full] = True
     at = np.flatnonzero(wanted[bucket])
@@ -73,19 +82,17 @@ def _choose(codes: np.ndarray, limit: int) -> list[int]:
     return out
 
 
-def re_pair(ids: np.ndarray, doc_ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, max_rules: int = MAX_RULES, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def re_pair(ids: np.ndarray, doc_ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, symbols of each document, rules (n by 2) and base of the ids of some documents."""
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 0
     doc = np.repeat(np.arange(len(doc_ids)), doc_ids)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= max_rules:
-            break
+    while len(seq) > 1:
         left, right, inner = seq[:-1], seq[1:], doc[1:] == doc[:-1]
         codes, _counts = _frequent(left, right, inner, min_count)
-        chosen = np.array(sorted(_choose(codes, min(round_rules, max_rules - made))), np.uint64)
+        chosen = np.array(sorted(_choose(codes, ROUND_RULES)), np.uint64)
         if not len(chosen):
             break
         may = np.zeros(base + made, bool)
@@ -170,8 +177,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str =
             doc_ids = np.concatenate(counts)
             symbols, per_doc, rules, base = re_pair(np.concatenate(ids), doc_ids)
             narrow = np.uint16 if base + len(rules) <= 1 << 16 else np.uint32
-            row = [part, shard, start, held, [x for n in names for x in n], doc_ids, per_doc, base, rules.tobytes(), spans_of(rules, base).tobytes(), symbols.astype(narrow).tobytes()]
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            own = [x for n in names for x in n]
+            some = [x for x in own if x is not None] or [None]
+            row = [part, shard, start, held, min(some), max(some), own, doc_ids, per_doc, base, rules.tobytes(), spans_of(rules, base).tobytes(), symbols.astype(narrow).tobytes()]
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
@@ -243,8 +252,9 @@ def token_digest(shards: DataFrame) -> DataFrame:
 
 
 def decode_range(shards: DataFrame, doc_id: int, begin: int = 0, stop: int | None = None) -> list[int]:
-    """Some ids of one document, by random access: one shard is read, and few symbols expanded."""
-    for row in shards.where(F.array_contains("doc_id", doc_id)).toLocalIterator():
+    """Some ids of one document, by random access: its shard is found by statistics, and few symbols expanded."""
+    here = F.lit(doc_id).between(F.col("first_id"), F.col("last_id"))
+    for row in shards.where(here & F.array_contains("doc_id", doc_id)).toLocalIterator():
         k = row["doc_id"].index(doc_id)
         rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
         grammar = Grammar(row["base"], rules, np.frombuffer(row["spans"], np.uint32))

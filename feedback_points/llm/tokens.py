@@ -1,9 +1,10 @@
 """Token ids of Arrow text columns by the ``tokenizers`` library.
 
 A byte-level BPE vocabulary encodes each pre-token by itself, so equal pre-tokens have equal ids. A
-worker splits a slice of texts into pre-tokens with numpy, looks their hashes up in a table of
-pre-tokens met before, and calls the library for new ones only. Texts with code points outside
-``_STABLE`` (whose classes may depend on a Unicode version) are encoded by the library as a whole.
+worker splits a slice of texts into pre-tokens with numpy, looks them up in a table of pre-tokens met
+before by two independent 64-bit hashes of their bytes, and calls the library for new ones only. Texts
+that hold the string of an added (special) token, and texts with code points outside ``_STABLE``
+(whose classes may depend on a Unicode version), are encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .words import mix, slices
+from .words import hash_runs, slices
 
 END_ID = 2
 #: Pre-tokens that a worker remembers; at that many it starts anew.
@@ -45,9 +46,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
-        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(255, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
         self._clear()
 
     @classmethod
@@ -60,6 +60,7 @@ class Encoder:
         self.slots = np.zeros(1 << 18, np.uint64)
         self.value = np.zeros(1 << 18, np.int32)
         self.known = np.zeros(0, np.uint64)
+        self.second = np.zeros(0, np.uint64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -90,15 +91,14 @@ class Encoder:
             left = left[self.slots[at[left]] != h[left]]
             at[left] = (at[left] + 1) & (size - 1)
 
-    def _learn(self, h: np.ndarray, strings: list[str]) -> None:
-        if len(self.known) + len(h) > MAX_PIECES and len(self.known):
-            self._clear()
+    def _learn(self, h: np.ndarray, second: np.ndarray, strings: list[str]) -> None:
         made = self.tokenizer.encode(strings, is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(strings))
         self.ids = np.concatenate([self.ids, np.array(made.ids, np.uint32)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         number = np.arange(len(self.known), len(self.known) + len(h), dtype=np.int32)
         self.known = np.concatenate([self.known, h])
+        self.second = np.concatenate([self.second, second])
         if 2 * len(self.known) > len(self.slots):
             size = len(self.slots)
             while 2 * len(self.known) > size:
@@ -108,6 +108,16 @@ class Encoder:
         else:
             self._place(h, number)
 
+    def _added(self, data: np.ndarray) -> np.ndarray:
+        """Where the string of an added token begins."""
+        raw, out = data.tobytes(), []
+        for token in self.added:
+            p = raw.find(token)
+            while p >= 0:
+                out.append(p)
+                p = raw.find(token, p + 1)
+        return np.array(out, np.int64)
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and the number of each."""
         n = len(at) - 1
@@ -144,11 +154,10 @@ class Encoder:
                 start[q[kind[q + size] == _LETTER] + size] = True
         first = np.flatnonzero(start)
         size = np.diff(np.concatenate([first, [total]]))
-        place = np.arange(total) - np.repeat(first, size)
-        if int(size.max()) >= len(self.power):
-            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * int(size.max()), 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
-        h = np.add.reduceat((cp + np.uint64(1)) * self.power[place], first)
-        h = mix(h + size.astype(np.uint64)) | np.uint64(1)
+        byte = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # where each code point begins
+        begin, n_bytes = byte[first], byte[first + size] - byte[first]
+        h, second = (hash_runs(data, begin, n_bytes, seed) for seed in (6, 7))
+        h |= np.uint64(1)
         number = self._find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
@@ -157,16 +166,17 @@ class Encoder:
                 self._clear()
                 fresh, one = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-            begin = first[new[one]].tolist()
-            stop = (first[new[one]] + size[new[one]]).tolist()
-            self._learn(fresh, [text[a:b] for a, b in zip(begin, stop, strict=True)])
+            one = new[one]
+            self._learn(fresh, second[one], [text[a : a + n] for a, n in zip(first[one].tolist(), size[one].tolist(), strict=True)])
             number = self._find(h)
+        clash = np.flatnonzero(self.second[number] != second)  # texts with such a pre-token are encoded whole
         lengths = self.first[number + 1] - self.first[number]
         ends = np.cumsum(lengths)
         ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.first[number] - (ends - lengths), lengths)]
         before = np.concatenate([[0], ends])
         counts = np.diff(before[np.searchsorted(first, at)])
-        unsure = np.unique(np.searchsorted(at, np.flatnonzero(kind == _UNSURE), "right") - 1)
+        unsure = np.concatenate([np.flatnonzero(kind == _UNSURE), first[clash], head[self._added(data)]])
+        unsure = np.unique(np.searchsorted(at, unsure, "right") - 1)
         if len(unsure):
             parts = np.split(ids, np.cumsum(counts)[:-1])
             whole = self.tokenizer.encode_batch_fast([text[at[d] : at[d + 1]] for d in unsure.tolist()], add_special_tokens=False)

@@ -30,10 +30,11 @@ def test_encoder_matches_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    odd = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))  # sums of powers don't tell it from its complement
     rng = random.Random(4)
     parts = ["a", "B", "é", " ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "'t", "1", "²", "!", "?", "<|endoftext|>", "漢", "д", "😀", "\x1c", "\x85", "ª", "_", "''s", "'S", "ß", "\u2003", "\u00a0"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)] + ["'", "s'", "'r", " ", "x" * 5000]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)] + ["'", "s'", "'r", " ", "x" * 5000, "hello <|endoftext|> you"]
+    texts += [odd[:n].translate(turn) for n in (1024, 2048, 4096) for turn in ({}, {97: "b", 98: "a"})]
     data = "".join(texts).encode()
     at = np.cumsum([0] + [len(x.encode()) for x in texts])
     for _ in range(2):  # cold and warm
@@ -77,6 +78,26 @@ def test_re_pair(seed):
             assert (grammar.part(part, 3, 9) == own[3:9]).all()
 
 
+@pytest.mark.parametrize("batch", [1 << 14, 1, 3])
+def test_re_pair_goes_on_until_no_pair_is_frequent(batch, monkeypatch):
+    monkeypatch.setattr(token_store, "ROUND_RULES", batch)
+    rng = np.random.default_rng(9)
+    counts = np.array([400, 0, 700, 1])
+    ids = rng.choice(12, counts.sum(), p=np.arange(1, 13) / 78).astype(np.uint32)
+    symbols, per_doc, rules, base = token_store.re_pair(ids, counts)
+    seen = {}
+    for part in np.split(symbols, np.cumsum(per_doc)[:-1]):
+        last = None
+        for pair in zip(part[:-1].tolist(), part[1:].tolist(), strict=True):
+            if pair == last and pair[0] == pair[1]:  # overlaps the one before
+                last = None
+                continue
+            seen[pair] = seen.get(pair, 0) + 1
+            last = pair
+    assert len(rules) and max(seen.values()) < token_store.MIN_COUNT
+    assert (token_store.Grammar(base, rules, token_store.spans_of(rules, base)).expand(symbols) == ids).all()
+
+
 def test_store_empty_and_odd(spark, odd, empty):
     for df, n in ((empty, 0), (odd, 8)):
         path = stage_path(spark, "test-shards")
