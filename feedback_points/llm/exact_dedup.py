@@ -4,8 +4,8 @@ Sampled splitters range-partition the normalised texts, each range is sorted ext
 equal texts stand side by side, and a window over equal neighbours (a comparison of the whole
 texts) finds the row that stays. The splitters are pairs (first characters, id), so that a text
 with very many copies is cut by id into several ranges. Only texts that begin like a splitter can
-lie in more than one range; for those the per-range results (one small row per range and text)
-are combined.
+lie in more than one range; of those one row per range and text is brought together by the text
+itself, and what was found goes back to the ranges.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage, without_ids
+from .common import shuffle_partitions, stage
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Characters of the normalised text that a splitter holds.
@@ -43,27 +43,18 @@ def _range_of(key: Column, splitters: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, step)["lo"]
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
-
-    Texts are equal when identical without blanks (space, tab to carriage return); a null text is
-    an empty one, and empty texts are copies of each other. Of equal texts the one with the most
-    code points, then the smallest id (null last) stays. Of rows repeated with their id, one is
-    kept. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
-    """
+def _content_sort(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, whole: bool) -> DataFrame:
+    """``doc_id, keep, n, kept, text_sha256`` of every row, and with ``whole`` the row as a struct ``row``."""
     spark = docs.sparkSession
     ranges = ranges or 4 * shuffle_partitions(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.length(text).alias("n_cp"),
-        F.regexp_replace(text, BLANKS, "").alias("norm"),
-    ).withColumns({"head": F.left("norm", F.lit(PREFIX)), "rank_id": F.coalesce("doc_id", F.lit(NO_ID))})
+    norm_of = lambda text: F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
+    id_of = F.col(id_col).cast("long")
+    sent = [F.struct("*").alias("row")] if whole else [norm_of(F.col(text_col)).alias("norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_cp")]
+    base = docs.select(id_of.alias("doc_id"), F.coalesce(id_of, F.lit(NO_ID)).alias("rank_id"), F.left(norm_of(F.col(text_col)), F.lit(PREFIX)).alias("head"), *sent)
 
     n = docs.select(id_col).count()
     sample = base if n <= SAMPLED * ranges else docs.sample(min(1.0, SAMPLED * ranges / n), seed=7).select(
-        F.left(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, ""), F.lit(PREFIX)).alias("head"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank_id"),
+        F.left(norm_of(F.col(text_col)), F.lit(PREFIX)).alias("head"), F.coalesce(id_of, F.lit(NO_ID)).alias("rank_id"),
     )
     seen = sorted((r[0], r[1]) for r in sample.select("head", "rank_id").collect())
     cuts = sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)}) if seen else []
@@ -71,47 +62,49 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     key = F.struct(F.col("head").alias("h"), F.col("rank_id").alias("i"))
     ranged = base.withColumn("range", _range_of(key, splitters, len(cuts)))
-    begins_like = lambda at: F.coalesce(F.get(splitters, at)["h"] == F.col("head"), F.lit(False))
-    ranged = ranged.withColumn("spread", (begins_like(F.col("range") - 1) if cuts else F.lit(False)) | (begins_like(F.col("range")) if cuts else F.lit(False)))
+    begins_like = lambda at: F.coalesce(F.get(splitters, at)["h"] == F.col("head"), F.lit(False)) if cuts else F.lit(False)
+    ranged = ranged.withColumn("spread", begins_like(F.col("range") - 1) | begins_like(F.col("range"))).drop("head").repartition(shuffle_partitions(spark), "range")
+    if whole:
+        text = F.col("row")[text_col]
+        ranged = ranged.withColumns({"norm": norm_of(text), "n_cp": F.length(F.coalesce(text, F.lit("")))})
     equal = Window.partitionBy("range", "norm")
     first = equal.orderBy(F.desc("n_cp"), F.asc("rank_id"))
-    local = (
-        ranged.drop("head").repartition(shuffle_partitions(spark), "range")
-        .select(
-            "doc_id", "rank_id", "spread",
-            F.row_number().over(first).alias("place"),
-            F.first("rank_id").over(first).alias("keep"),
-            F.first("n_cp").over(first).alias("keep_cp"),
-            F.count(F.lit(1)).over(equal).alias("n"),
-            F.sha2("norm", 256).alias("text_sha256"),
-        )
-    )
-    local = stage(local, "content-sort")
-    whole = local.where(~F.col("spread"))
-    parts = local.where(F.col("spread"))
-    over = (
-        parts.where("place = 1").groupBy("text_sha256")
-        .agg(F.min(F.struct((-F.col("keep_cp")).alias("c"), F.col("keep").alias("k"))).alias("best"), F.sum("n").alias("total"))
-        .select("text_sha256", F.col("best.k").alias("best_id"), "total")
-    )
-    parts = parts.join(over, "text_sha256").select(
-        "doc_id", "rank_id", "place", F.col("best_id").alias("keep"), F.col("total").alias("n"),
-        (F.col("keep") == F.col("best_id")).alias("mine"), "text_sha256",
-    )
-    both = whole.select("doc_id", "rank_id", "place", "keep", "n", F.lit(True).alias("mine"), "text_sha256").unionByName(parts)
-    return both.select(
-        "doc_id",
-        F.when(F.col("keep") != NO_ID, F.col("keep")).alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("mine") & (F.col("place") == 1) & (F.col("rank_id") == F.col("keep"))).alias("kept"),
-        "text_sha256",
+    place = F.row_number().over(first)
+    local = stage(
+        ranged.select(
+            "doc_id", "range", "spread", place.alias("place"), F.first("rank_id").over(first).alias("keep"), F.first("n_cp").over(first).alias("keep_cp"), F.count(F.lit(1)).over(equal).alias("n"),
+            F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("spread") & (place == 1), F.col("norm")).alias("text"), *(["row"] if whole else []),
+        ),
+        "content-sort",
     )
+    row = ["row"] if whole else []
+    alone = local.where(~F.col("spread")).select("doc_id", "keep", "n", (F.col("place") == 1).alias("kept"), "text_sha256", *row)
+    # one row per range and text, compared with the same text of the other ranges
+    same = Window.partitionBy("text")
+    best = F.first(F.struct("keep", "range")).over(same.orderBy(F.desc("keep_cp"), "keep"))
+    over = local.where("spread and place = 1").select(F.col("range").alias("of_range"), F.col("text_sha256").alias("of_sha"), best.alias("best"), F.sum("n").over(same).alias("total"))
+    spread = local.where("spread").join(over, (F.col("range") == F.col("of_range")) & (F.col("text_sha256") == F.col("of_sha")))
+    spread = spread.select("doc_id", F.col("best.keep").alias("keep"), F.col("total").alias("n"), ((F.col("place") == 1) & (F.col("range") == F.col("best.range"))).alias("kept"), "text_sha256", *row)
+    return alone.unionByName(spread)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    Texts are equal when identical without blanks (space, tab to carriage return); a null text is
+    an empty one, and empty texts are copies of each other. Of equal texts the one with the most
+    code points, then the smallest id (null last) stays: exactly one row, also where ids are null or
+    repeated. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
+    """
+    found = _content_sort(docs, id_col, text_col, ranges, False)
+    return found.select("doc_id", F.when(F.col("keep") != NO_ID, F.col("keep")).alias("keep_id"), F.col("n").alias("group_size"), "kept", "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row holds; see :func:`exact_groups`.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """``docs`` with one row of each text; see :func:`exact_groups`.
 
-    Ids should be unique: rows that share a dropped id all go.
+    Rows are judged one by one, whatever their ids: a text that no other row holds always stays, and
+    of rows that repeat an id and a text one stays. Rows go through the sort whole, so none has to be
+    found again by its id.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    return without_ids(docs, groups.where(~F.col("kept") & (F.col("doc_id") != F.coalesce("keep_id", F.lit(NO_ID)))).withColumnRenamed("doc_id", id_col), id_col)
+    return _content_sort(docs, id_col, text_col, ranges, True).where("kept").select("row.*")

@@ -3,8 +3,8 @@
 Pieces are dealt over partitions by hash, so that each sees the whole mix of lengths whatever the
 order of the files. Each partition packs its pieces best-fit in decreasing order and emits the bins that are nearly
 full. Underfull bins go on as items to fewer partitions, where they are packed again, up the tree;
-the higher the level, the less full an emitted bin may be, so what goes on shrinks. A task takes a
-bounded number of items at every level: a level whose residual no longer shrinks ends the tree.
+the higher the level, the less full an emitted bin may be, so after a few levels every bin is emitted.
+A task takes a bounded number of items at every level.
 """
 
 from __future__ import annotations
@@ -128,19 +128,35 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     done = [single.where(F.col("fill") == capacity)]
     rest = single.where(F.col("fill") < capacity)
     n = rest.count()
-    parts, slack, before = max(1, -(-n // TASK_ITEMS), min(shuffle_partitions(cut.sparkSession), n // MIX_ITEMS)), SLACK, None
+    parts, slack, first = max(1, -(-n // TASK_ITEMS), min(shuffle_partitions(cut.sparkSession), n // MIX_ITEMS)), SLACK, True
     # the checksum spreads pieces whose ids are null or repeated
     rest = rest.repartition(parts, F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"], F.col("members")[0]["ids_crc32"]))
     while True:
-        level = stage(_packed(rest if before is None else rest.repartition(parts), capacity), "packed")
+        level = stage(_packed(rest if first else rest.repartition(parts), capacity), "packed")
         left = level.where(F.col("fill") < capacity - slack)
         n = left.count()
-        if n == 0 or (parts == 1 and before is not None) or (before is not None and n > TASK_ITEMS and n > 0.9 * before):
+        if n == 0 or (parts == 1 and not first):
             done.append(level)
             break
         done.append(level.where(F.col("fill") >= capacity - slack))
-        rest, before, slack = left, n, 4 * slack
+        rest, first, slack = left, False, 4 * slack
         parts = max(1, -(-n // TASK_ITEMS), parts // FAN_IN) if n > TASK_ITEMS // 16 else 1
     bins = stage(reduce(DataFrame.unionByName, done), "bins").withColumn("sequence_id", F.monotonically_increasing_id())
-    placed = F.transform("members", lambda m, i: F.struct(m.alias("m"), F.aggregate(F.slice("members", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("offset")))
-    return bins.select("sequence_id", F.explode(placed).alias("p")).select("p.m.*", "sequence_id", "p.offset")
+    return _placed(bins)
+
+
+def _placed(bins: DataFrame) -> DataFrame:
+    """The members of each bin, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(1)
+            counts = np.diff(members.offsets.to_numpy())
+            each = members.flatten()
+            columns = [each.field(k) for k in range(5)]
+            before = np.concatenate([[0], np.cumsum(columns[3].to_numpy())])
+            first = before[np.cumsum(counts) - counts]
+            offset = before[:-1] - np.repeat(first, counts)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(offset.astype(np.int64))], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return bins.select("sequence_id", "members").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -44,6 +44,18 @@ def test_exact_odd_rows(odd, empty):
     assert exact_groups(empty).count() == 0 and exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_exact_dedup_judges_rows(spark, ranges):
+    """Shared, repeated and null ids: one row of each text stays, and no other text is lost."""
+    rows = [(3, "same text"), (4, "same  text "), (3, "unique under a shared id"), (1, "dup"), (1, "dup"), (None, "nil"), (None, "n il"), (None, None), (9, ""), (None, "other")]
+    df = spark.createDataFrame([(i, t, f"c{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, row string")
+    got = exact_dedup(df, ranges=ranges)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == [(-1, "n il"), (-1, "other"), (1, "dup"), (3, "unique under a shared id"), (4, "same  text "), (9, "")]
+    groups = exact_groups(df, ranges=ranges).collect()
+    assert len(groups) == 10 and sum(r.kept for r in groups) == 6
+
+
 def test_exact_dedup_keeps_columns(docs, rows):
     kept = exact_dedup(docs)
     assert kept.columns == docs.columns

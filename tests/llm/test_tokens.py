@@ -152,9 +152,14 @@ def test_pack_sorted_by_length(spark, monkeypatch, task_items):
     assert max(fill.values()) <= 1024 and len(fill) <= 1500 * 1.07
 
 
-def test_pack_odd(odd, empty):
+def test_pack_odd(odd, empty, encoded):
+    from tokenizers import Tokenizer
+
     assert packing.pack(empty, PATH).count() == 0
-    assert packing.pack(odd, PATH).count() == 8
+    t = Tokenizer.from_file(PATH)
+    want = sorted((r.doc_id or -1, crc([*t.encode(r.text or "", add_special_tokens=False).ids, 2])) for r in odd.collect())
+    got = packing.pack(odd, PATH).collect()
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in got) == want and {r.piece for r in got} == {0}
 
 
 def test_best_fit():
