@@ -4,8 +4,8 @@ A bucket holds the ids under one key; the smallest is its first. Each id is firs
 other: the first that it shares most buckets with. True links among those pairs join a group of
 copies into one component, whatever its size. Links can then be missing only between members of a
 bucket that still belong to different components, and only such pairs are looked at, so that no link
-between two components is lost. In buckets of at most ``HOT`` members they are tested for distance
-and written as pairs, linear in the members. Larger buckets are compared in blocks (:func:`dealt`).
+between two components is lost: within each bucket of at most ``HOT`` members, and in blocks of larger
+ones (:func:`dealt`).
 
 Buckets are counted by an aggregation that combines before the shuffle, and joined by key, so that
 no key's rows have to pass one task.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import listed, stage
 
-#: Members up to which a bucket's pairs are written one by one.
+#: Members up to which a bucket is compared as it is.
 HOT = 64
 #: Members, and their weights in all, of a block of a larger bucket (on average).
 BLOCK, BLOCK_WEIGHT = 1024, 2_000_000
@@ -29,17 +29,20 @@ BLOCK, BLOCK_WEIGHT = 1024, 2_000_000
 
 def link_components(
     members: DataFrame, across: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], in_blocks: Callable[[DataFrame], DataFrame], name: str, weights: DataFrame | None = None,
+    meet: Callable[[DataFrame], None] = lambda ids: None,
 ) -> DataFrame:
     """``id, component`` of every id that has a link. Ids under no shared key do not appear.
 
     ``members`` has ``key`` and ``id``. ``verify`` takes pairs ``a, b`` (a < b, distinct) and returns
-    the true links. ``across`` takes ``key, id, component`` and returns the distinct pairs of a
-    bucket whose components differ and that may be links. ``in_blocks`` takes what :func:`dealt`
+    the true links. ``across`` takes ``key, id, component`` and returns the true links between the
+    members of a bucket whose components differ. ``in_blocks`` takes what :func:`dealt`
     gives and returns links that join all components which true links join. ``weights`` (``id,
-    weight``) bounds the size of blocks.
+    weight``) bounds the size of blocks. ``meet`` is called first with the ids that share a key with
+    another.
     """
     sizes = stage(members.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-sizes")
     buckets = stage(members.join(listed(sizes), "key"), f"{name}-buckets")
+    meet(buckets.select("id").distinct())
     shared = buckets.where("first < id").groupBy("id", "first").agg(F.count(F.lit(1)).alias("c"))
     hubs = shared.groupBy("id").agg(F.max(F.struct("c", (-F.col("first")).alias("first"))).alias("best")).select((-F.col("best.first")).alias("a"), F.col("id").alias("b"))
     links = stage(verify(stage(hubs, f"{name}-hubs")), f"{name}-links")
@@ -48,7 +51,7 @@ def link_components(
     named = stage(buckets.join(groups, "id", "left").select("key", "id", "first", "n", F.coalesce("component", "id").alias("component")), f"{name}-named")
     split = stage(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), f"{name}-split")
     apart = stage(named.join(listed(split), "key"), f"{name}-apart")
-    more = stage(verify(stage(across(apart.where(F.col("n") <= HOT).select("key", "id", "component")), f"{name}-across")), f"{name}-more")
+    more = stage(across(apart.where(F.col("n") <= HOT).select("key", "id", "component")), f"{name}-across")
     large = apart.where(F.col("n") > HOT)
     if not large.isEmpty():
         if not more.isEmpty():  # what the small buckets have joined need not be looked at again

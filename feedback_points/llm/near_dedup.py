@@ -240,7 +240,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def across(apart: DataFrame) -> DataFrame:
         own = apart.join(signs.withColumnRenamed("node", "id"), "id").select("key", "id", "component", "sign")
-        return own.repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs, "a long, b long").distinct()
+        return verify(stage(own.repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs, "a long, b long").distinct(), "near-pairs"))
 
     def in_blocks(blocks: DataFrame) -> DataFrame:
         sets = _sets(with_ids(docs, blocks.select(F.col("id").alias(id_col)), id_col), id_col, text_col, k)
