@@ -5,11 +5,14 @@ reference is sharded by content. Each window of ``window`` words belongs to the
 smallest ``GRAM``-word hash; equal windows have the same smallest hash, so a window can only repeat
 within its shard. Consecutive windows of one shard form a segment. Shards that a single document
 uses are dropped, equal segments are streamed once, and only the words of the first of equal
-segments are sent to the shard. Windows of a smallest hash whose distinct segments have more than
-``HOT_WORDS`` words (counted first) are sharded by the hash of the whole window instead: each is a
-segment of its own, equal ones are one, and no automaton grows with a frequent passage. In a shard segments come in ascending document id: each is run through
-the suffix automaton of the smaller documents' segments, spans whose match is at least ``window``
-words long are removed, and then the segment joins the automaton.
+segments are sent to the shard. A gram whose shard has distinct segments of more than ``HOT_WORDS``
+words (counted first) is hot: a window then belongs to its smallest gram that is not hot, and windows
+of hot grams alone to a shard of their own, where a frequent passage is one segment in all documents
+that hold it, whatever stands around it. Should a shard be too large still, its windows are sharded
+one by one, by their words. So no automaton grows with a frequent passage. In a shard
+segments come in ascending document id: each is run through the suffix automaton of the smaller
+documents' segments, spans whose match is at least ``window`` words long are removed, and then the
+segment joins the automaton.
 
 Documents whose words all equal those of a smaller document lose all words (if they have a window)
 and take no further part.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,6 @@ from .words import mix, shingles, slices, words
 WINDOW, GRAM = 50, 10
 #: Words of distinct segments that one automaton may take.
 HOT_WORDS = 200_000
-_BASE = 0x9E3779B97F4A7C15
 
 
 class SuffixAutomaton:
@@ -105,17 +108,24 @@ def _window_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(cur[:count], cur[n - span : n - span + count])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    one = np.ones(1, np.uint64)
-    return tuple(np.cumprod(np.concatenate([one, np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
+@dataclass(frozen=True)
+class Hot:
+    """What is too large (sorted): grams, and shards that are so with those grams left out."""
 
+    grams: np.ndarray
+    shards: np.ndarray
 
-def segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows with one smallest gram: text, first word (in all), words, shard, content hash.
 
-    The shard is the gram, but windows whose gram is in ``hot`` (sorted) stand alone, each under a hash of its words.
-    """
+NOT_HOT = Hot(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
+def segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int, hot: Hot = NOT_HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of windows with one shard: text, first word (in all), words, shard, content hash."""
     sh, made = shingles(h, counts, gram)
     wide = window - gram + 1
     least = _window_min(sh, wide)
@@ -126,21 +136,23 @@ def segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int, hot: np.
     row, key = row[valid], least[valid]
     new = np.ones(len(valid), bool)
     alone = np.zeros(len(valid), bool)
-    if hot is not None and len(hot):
-        alone = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | alone[1:]
+    if len(hot.grams):
+        cold = _window_min(np.where(_among(sh, hot.grams), _TOP, sh), wide)[valid]
+        only = cold == _TOP
+        key = np.where(only, mix(key ^ np.uint64(1)), cold)
+        alone = _among(key, hot.shards)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | alone[1:] | alone[:-1]
     first = np.flatnonzero(new)
     runs = np.diff(np.concatenate([first, [len(valid)]]))
     row, key, alone = row[first], key[first], alone[first]
     word = valid[first] - (ends - made)[row] + (np.cumsum(counts) - counts)[row]
     size = runs + window - 1
-    power, inverse = _powers(len(h))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
-    content = mix((total[word + size] - total[word]) * inverse[word] + size.astype(np.uint64))
+    raw = memoryview(np.ascontiguousarray(h)).cast("B")
+    content = np.array([int.from_bytes(hashlib.blake2b(raw[8 * w : 8 * (w + n)], digest_size=8).digest(), "little") for w, n in zip(word.tolist(), size.tolist(), strict=True)], np.uint64)
     return row, word, size, np.where(alone, mix(content ^ key), key), content
 
 
-def _survey(rows: DataFrame, window: int, gram: int, hot: np.ndarray | None = None) -> DataFrame:
+def _survey(rows: DataFrame, window: int, gram: int, hot: Hot = NOT_HOT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in slices(batch.column(1)):
@@ -161,7 +173,7 @@ def _survey(rows: DataFrame, window: int, gram: int, hot: np.ndarray | None = No
     return rows.mapInArrow(run, "doc_id long, n_words long, print binary, keys array<long>, contents array<long>, sizes array<int>")
 
 
-def _wanted_words(rows: DataFrame, window: int, gram: int, hot: np.ndarray | None = None) -> DataFrame:
+def _wanted_words(rows: DataFrame, window: int, gram: int, hot: Hot = NOT_HOT) -> DataFrame:
     """Words (hashed) of the listed segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +227,7 @@ def _match(sent: DataFrame, window: int) -> DataFrame:
     return sent.mapInArrow(run, "key long, content long, first long, spans binary")
 
 
-def _apply(rows: DataFrame, window: int, gram: int, hot: np.ndarray | None = None) -> DataFrame:
+def _apply(rows: DataFrame, window: int, gram: int, hot: Hot = NOT_HOT) -> DataFrame:
     """Removes words; ``rows`` has id, text, and the contents and spans that the text loses (null: whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +276,10 @@ def _shards(survey: DataFrame, copies: DataFrame, window: int) -> tuple[DataFram
     return used.drop("size"), by_shard, shards
 
 
+def _too_large(shards: DataFrame) -> np.ndarray:
+    return np.sort(np.array([r[0] for r in shards.where(F.col("words") > HOT_WORDS).select("key").collect()], np.int64).view(np.uint64))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by a blank).
 
@@ -279,12 +295,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         survey.where(f"doc_id is not null and n_words >= {window}").join(owners.where("owner < last"), "print").where("doc_id > owner").select("doc_id", "n_words"), "copies",
     )
     used, by_shard, shards = _shards(survey, copies, window)
-    # each has more than HOT_WORDS words, so the list is short beside the corpus
-    hot = np.array([r[0] for r in shards.where(F.col("words") > HOT_WORDS).select("key").collect()], np.int64).view(np.uint64)
-    hot.sort()
-    if len(hot):
+    # each has more than HOT_WORDS words, so the lists are short beside the corpus
+    grams = _too_large(shards)
+    hot = Hot(grams, NOT_HOT.shards)
+    if len(grams):
         survey = stage(_survey(without_ids(rows, copies), window, gram, hot), "hot-survey")
         used, by_shard, shards = _shards(survey, copies, window)
+        hot = Hot(grams, _too_large(shards))
+        if len(hot.shards):
+            survey = stage(_survey(without_ids(rows, copies), window, gram, hot), "hot-survey")
+            used, by_shard, shards = _shards(survey, copies, window)
     shared = stage(by_shard.join(shards.select("key", "n"), "key"), "shared")
 
     send = stage(shared.where("n > 1").groupBy("first").agg(F.collect_list("content").alias("wanted")).withColumnRenamed("first", "doc_id"), "wanted")

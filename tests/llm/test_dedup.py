@@ -305,10 +305,16 @@ def test_substring_hot_passage(spark, docs, rows, window, gram, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(60))
     more = [(2000 + i, " ".join([*(f"a{x}" for x in rng.integers(0, 900, 45)), passage, *(f"b{x}" for x in rng.integers(0, 900, 45))])) for i in range(60)]
     more += [(3000 + i, "again " * (60 + i)) for i in range(5)]
+    # two words in an order that sums of powers do not tell from its complement, and one changed word
+    odd = [["aa", "bb"][bin(i).count("1") % 2] for i in range(2048)]
+    more += [(3100, " ".join(odd)), (3101, " ".join(["bb" if w == "aa" else "aa" for w in odd]))]
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    around = [f"z{i}" for i in range(60)]
+    more += [(3200, " ".join([*around[:30], thue, *around[30:]])), (3201, " ".join([*around[:30], thue.translate({97: "b", 98: "a"}), *around[30:]]))]
     most = []
 
     def match(sent, n, real=module._match):
-        most.append(sent.groupBy("key").agg(F.sum(F.length("words") / 8).alias("n")).agg(F.max("n")).first()[0] or 0)
+        most.append(sent.groupBy("key").agg(F.sum(F.length("words") / 8).alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 1").agg(F.max("n")).first()[0] or 0)
         return real(sent, n)
 
     monkeypatch.setattr(module, "_match", match)
