@@ -6,12 +6,16 @@ and Zabeti, 2019) sketches the short side alone: the shingles of an item that ar
 hash functions are looked up among all shingles of the document. Items are partitioned by size, and
 each partition takes hash functions until every item of it has more distinct sketch shingles than
 it may miss; a document that holds the asked share of an item then holds a sketch shingle of it, so
-no pair is lost. Candidates are verified by counting all of the item's shingles in the document.
+no pair is lost. A document with fewer shingles than the smallest item of a partition needs is not
+looked up in it. Candidates are verified by counting all of the item's shingles in the document, first
+by hash and then by their words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ SHINGLE, CONTAINMENT = 5, 0.8
 MAX_BENCHMARK_SHINGLES = 4_000_000
 #: Hash functions that are tried at a time.
 HASHES = 8
+_BLANKS = re.compile("[\x20\x09-\x0d]+")
 
 
 def sketch(items: list[np.ndarray], share: float) -> list[np.ndarray]:
@@ -43,16 +48,14 @@ def sketch(items: list[np.ndarray], share: float) -> list[np.ndarray]:
         missing = {i: len(items[i]) - _need(len(items[i]), share) + 1 for i in members}
         chosen: dict[int, set[int]] = {i: set() for i in members}
         k = 0
-        while missing and k < 4096:
-            for i in list(missing):
-                for j in range(k, k + HASHES):
-                    seed = np.full(1, j + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        while any(len(chosen[i]) < missing[i] for i in members) and k < 4096:
+            for j in range(k, k + HASHES):
+                seed = np.full(1, j + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                for i in members:
                     chosen[i].add(int(items[i][np.argmin(mix(items[i] ^ seed))]))
-                if len(chosen[i]) >= missing[i]:
-                    del missing[i]
             k += HASHES
         for i in members:
-            out[i] = items[i] if i in missing else np.array(sorted(chosen[i]), np.uint64)
+            out[i] = np.array(sorted(chosen[i]), np.uint64) if len(chosen[i]) >= missing[i] else items[i]
     return out
 
 
@@ -83,51 +86,81 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found
 
 
+def _worded(text: str, k: int) -> set[tuple[str, ...]]:
+    """The shingles of a text as words."""
+    w = [x for x in _BLANKS.split(text) if x]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+@dataclass
+class _Index:
+    """A part of the benchmark: sketch shingles by size partition, and each item's shingles."""
+
+    ids: list
+    texts: list
+    sets: list[np.ndarray]
+    need: np.ndarray
+    #: For each partition: the least number of shingles that an item needs, sketch shingles (sorted), their items.
+    parts: list[tuple[int, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, ids: list, texts: list, share: float, k: int) -> "_Index":
+        sets: list[np.ndarray] = []
+        for _, _, data, at in slices(pa.array(texts, pa.string())):
+            h, _, _, counts = words(data, at)
+            sets += distinct_sets(*shingles(h, counts, k))
+        sketches = sketch(sets, share)
+        need = np.array([_need(len(x), share) for x in sets], np.int64)
+        parts = []
+        for bits in sorted({len(x).bit_length() for x in sets if len(x)}):
+            own = [i for i, x in enumerate(sets) if len(x) and len(x).bit_length() == bits]
+            probe, owner = np.concatenate([sketches[i] for i in own]), np.repeat(own, [len(sketches[i]) for i in own])
+            order = np.argsort(probe, kind="stable")
+            parts.append((int(need[own].min()), probe[order], owner[order]))
+        return cls(ids, texts, sets, need, parts)
+
+    def candidates(self, sh: np.ndarray, made: np.ndarray) -> set[tuple[int, int]]:
+        """Document and item of each sketch shingle that a document holds."""
+        out: set[tuple[int, int]] = set()
+        doc = np.repeat(np.arange(len(made)), made)
+        for least, probe, owner in self.parts:
+            own = np.flatnonzero(np.repeat(made >= least, made))
+            a = np.searchsorted(probe, sh[own])
+            hit = np.flatnonzero(probe[np.minimum(a, len(probe) - 1)] == sh[own])
+            b = np.searchsorted(probe, sh[own[hit]], "right")
+            for d, s, e in zip(doc[own[hit]].tolist(), a[hit].tolist(), b.tolist(), strict=True):
+                out.update((d, int(x)) for x in owner[s:e])
+        return out
+
+
 def _search(docs: DataFrame, id_col: str, text_col: str, ids: list, texts: list, share: float, k: int) -> DataFrame:
-    sets: list[np.ndarray] = []
-    for _, _, data, at in slices(pa.array(texts, pa.string())):
-        h, _, _, counts = words(data, at)
-        sets += distinct_sets(*shingles(h, counts, k))
-    sketches = sketch(sets, share)
-    size = np.array([len(x) for x in sets], np.int64)
-    need = np.array([_need(n, share) for n in size.tolist()], np.int64)
-    # sketch shingle -> items, and item -> its shingles, as flat arrays
-    probe = np.concatenate([*sketches, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sketches])
-    order = np.argsort(probe, kind="stable")
-    probe, owner = probe[order], owner[order]
-    keys = np.unique(probe)
-    low = np.unique((keys >> np.uint64(44)).astype(np.int64))
-    seen = np.zeros(1 << 20, bool)
-    seen[low] = True
-    id_list = pa.array(ids, pa.int64())
+    index = docs.sparkSession.sparkContext.broadcast(_Index.of(ids, texts, share, k))  # at most MAX_BENCHMARK_SHINGLES, counted by the caller
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        worded: dict[int, set] = {}
         for batch in batches:
-            doc_out, item_out, n_out, found_out = [], [], [], []
+            out: list[tuple] = []
             for i, _, data, at in slices(batch.column(1)):
                 h, _, _, counts = words(data, at)
                 sh, made = shingles(h, counts, k)
-                hit = np.flatnonzero(seen[(sh >> np.uint64(44)).astype(np.int64)])
-                if len(hit) and len(keys):
-                    at_key = np.minimum(np.searchsorted(keys, sh[hit]), len(keys) - 1)
-                    hit = hit[keys[at_key] == sh[hit]]
                 ends = np.cumsum(made)
-                for d in np.unique(np.searchsorted(ends, hit, "right")).tolist():
-                    own = np.unique(sh[ends[d] - made[d] : ends[d]])
-                    a, b = np.searchsorted(probe, own), np.searchsorted(probe, own, "right")
-                    for item in {int(x) for s, e in zip(a[b > a], b[b > a], strict=True) for x in owner[s:e]}:
-                        n = int(np.isin(sets[item], own, assume_unique=True).sum())
-                        if n >= need[item]:
-                            doc_out.append(i + d)
-                            item_out.append(item)
-                            n_out.append(int(size[item]))
-                            found_out.append(n)
-            if doc_out:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc_out)), id_list.take(pa.array(item_out)), pa.array(n_out, pa.int64()), pa.array(found_out, pa.int64())],
-                    ["doc_id", "item_id", "n_shingles", "n_found"],
-                )
+                by_doc: dict[int, list[int]] = {}
+                for d, item in sorted(own.candidates(sh, made)):
+                    by_doc.setdefault(d, []).append(item)
+                for d, found in by_doc.items():
+                    held = np.unique(sh[ends[d] - made[d] : ends[d]])
+                    found = [item for item in found if np.isin(own.sets[item], held, assume_unique=True).sum() >= own.need[item]]
+                    said = _worded(data[at[d] : at[d + 1]].tobytes().decode("utf-8"), k) if found else set()
+                    for item in found:
+                        if item not in worded:
+                            worded[item] = _worded(own.texts[item], k)
+                        n = len(worded[item] & said)
+                        if n >= _need(len(worded[item]), share):
+                            out.append((i + d, own.ids[item], len(worded[item]), n))
+            if out:
+                row, item, n, held_n = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (item, n, held_n))], ["doc_id", "item_id", "n_shingles", "n_found"])
 
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(search, "doc_id long, item_id long, n_shingles long, n_found long")
 
