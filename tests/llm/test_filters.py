@@ -115,6 +115,15 @@ def test_contaminated(spark, docs, rows, empty, monkeypatch):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_contaminated_odd_rows(spark, odd):
+    """Null ids and repeated rows give their rows; a document of one other word does not hold an item."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    bench = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, thue)], "item_id long, text string")
+    more = odd.unionByName(spark.createDataFrame([(50, thue.translate({97: "b", 98: "a"})), (None, "x a b c d e f")], "doc_id long, text string"))
+    got = [tuple(r) for r in decontaminate.contaminated(more, bench).collect()]
+    assert sorted((d or -1, i or -1, n, m) for d, i, n, m in got) == sorted([(8, 1, 2, 2), (8, 1, 2, 2), (8, -1, 2, 2)] * 2 + [(-1, 1, 2, 2), (-1, 1, 2, 2), (-1, -1, 2, 2)])
+
+
 def test_sketch_hits_every_containing_set():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 17, 60):
@@ -142,6 +151,28 @@ def test_quality(spark):
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
 
 
+def test_dual_descent_reaches_the_hinge_optimum():
+    """Against projected gradient steps on the dual, with each class's bound."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(1, 12))) for _ in range(80)]
+    signs = np.where([x.mean() + rng.normal(0, 5) > 15 for x in rows], 1.0, -1.0)
+    signs[:50] = np.abs(signs[:50])
+    ratio = rng.normal(0, 1, 30)
+    x = np.zeros((80, 31))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 30] = ratio[r] / np.sqrt(len(r)), 1.0
+    upper = np.where(signs > 0, 1.0, max(1.0, (signs > 0).sum() / (signs < 0).sum()))
+    q = (x * signs[:, None]) @ (x * signs[:, None]).T
+    a = np.zeros(80)
+    for _ in range(60_000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, upper)
+    want = (x * signs[:, None]).T @ a
+    w, bias = quality.dual_descent(rows, signs, ratio, tolerance=1e-6, epochs=100_000)
+    objective = lambda v: 0.5 * v @ v + (upper * np.maximum(0, 1 - signs * (x @ v))).sum()
+    got = np.append(w, bias)
+    assert abs(objective(got) - objective(want)) < 1e-3 * objective(want) and np.abs(got - want).max() < 1e-2
+
+
 def test_held_out_labels_are_not_used(spark):
     rows = [(i, f"w{i % 40} x{i % 3}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
