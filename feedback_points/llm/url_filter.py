@@ -4,7 +4,8 @@ A list of url prefixes (host with its subdomains, and the beginning of a path) i
 candidate keys that the corpus holds: level 1 holds the listed keys, level 2 the unlisted corpus
 keys that level 1 lets through, level 3 the listed keys that level 2 lets through, and so on until
 a level lets nothing through wrongly. Over the corpus membership is then exact, and judging a url
-needs no join. A list whose filter would be larger than ``MAX_FILTER_BYTES`` is joined by key.
+needs no join. Keys are dealt by hash over as many cascades as it takes to bound each filter; pages
+are judged by one after the other.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: A filter goes to every task as a literal; above this size the keys are joined instead.
-MAX_FILTER_BYTES = 8 << 20
+#: Keys of a filter, on average: a filter goes to every task as a literal of some 6 MB at most.
+PART_KEYS = 4_000_000
+#: Share of unlisted keys that a filter lets through, rounded up.
+LET_THROUGH = 0.01
 BITS_PER_KEY = 12
 HASHES = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,42 +51,41 @@ def _bits(key: Column, level: int, size: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(size).cast("long")) for i in range(HASHES)]
 
 
-def _filter_of(keys: DataFrame, level: int, bits_per_key: int) -> list[int] | None:
-    """Words of a Bloom filter, or None when it would be too large."""
+def _filter_of(keys: DataFrame, level: int, bits_per_key: int) -> bytes:
+    """A Bloom filter as 32-bit words, each with its highest byte first."""
     size = max(64, -(-keys.count() * bits_per_key // 64) * 64)
-    if size // 8 > MAX_FILTER_BYTES:
-        return None
     bit = keys.select(F.explode(F.array(*_bits(F.col("key"), level, size))).alias("b"))
-    words = bit.select(F.floor(F.col("b") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    out = [0] * (size // 64)
-    for w, m in words.collect():  # at most MAX_FILTER_BYTES / 8 rows
-        out[w] = m
-    return out
+    words = bit.select(F.floor(F.col("b") / 32).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 32 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    out = bytearray(size // 8)
+    for w, m in words.collect():  # at most a word for each 32 bits
+        out[4 * w : 4 * w + 4] = m.to_bytes(4, "big")
+    return bytes(out)
 
 
-def _holds(key: Column, level: int, words: list[int]) -> Column:
-    table = F.from_json(F.lit(str(words)), "array<bigint>")
-    size = 64 * len(words)
-    test = lambda b: F.getbit(F.get(table, F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1
-    return reduce(lambda x, y: x & y, [test(b) for b in _bits(key, level, size)])
+def _holds(key: Column, level: int, words: bytes) -> Column:
+    table = F.lit(bytearray(words))  # one object, however often it is used
+
+    def test(b: Column) -> Column:
+        word = F.substr(table, F.floor(b / 32).cast("int") * 4 + 1, F.lit(4))
+        return F.getbit(F.conv(F.hex(word), 16, 10).cast("long"), (b % 32).cast("int")) == 1
+
+    return reduce(lambda x, y: x & y, [test(b) for b in _bits(key, level, 8 * len(words))])
 
 
 class Cascade:
     """Exact membership of corpus keys in a list; ``levels`` alternate listed and let-through keys."""
 
-    def __init__(self, levels: list[list[int]]):
+    def __init__(self, levels: list[bytes]):
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_levels: int = 32) -> "Cascade | None":
-        """``listed`` and ``universe`` have a string column ``key``; None when a level is too large."""
+    def build(cls, listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY, max_levels: int = 32) -> "Cascade":
+        """``listed`` and ``universe`` have a string column ``key``."""
         inside = stage(listed.select("key").where("key is not null").distinct(), "listed")
         outside = universe.select("key").join(inside, "key", "left_anti")
-        levels: list[list[int]] = []
+        levels: list[bytes] = []
         while len(levels) < max_levels:
             words = _filter_of(inside, len(levels), bits_per_key)
-            if words is None:
-                return None
             levels.append(words)
             outside, inside = inside, stage(outside.where(_holds(F.col("key"), len(levels) - 1, words)), "let-through")
             if inside.isEmpty():
@@ -112,29 +114,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     keys = candidates(F.col("host"), F.col("path"), lengths)
     universe = stage(base.select(F.explode(keys).alias("key")).distinct(), "universe")
-    block = Cascade.build(listed.where("v = 0"), universe, bits_per_key)
-    allow = Cascade.build(listed.where("v = 1"), universe, bits_per_key)
-    if block is None or allow is None:
-        return _by_join(base, universe, listed, keys, default)
-    judged = F.filter(
-        F.transform(keys, lambda k: F.struct(k.alias("key"), F.when(block.contains(k), "block").when(allow.contains(k), "allow").alias("verdict"))),
-        lambda x: x["verdict"].isNotNull(),
-    )
-    won = F.get(judged, F.lit(0))
-    return base.withColumn("__won", won).select(
-        "page_id", "host", "path", F.col("__won.key").alias("rule"), F.coalesce("__won.verdict", F.lit(default)).alias("verdict"),
-    )
-
-
-def _by_join(base: DataFrame, universe: DataFrame, listed: DataFrame, keys: Column, default: str) -> DataFrame:
-    """The same for lists too long for a filter: hosts and paths are judged once each, by joins."""
-    hit = stage(universe.join(listed, "key"), "hit")
-    urls = base.select("host", "path").distinct()
-    best = (
-        urls.select("host", "path", F.posexplode(keys).alias("pos", "key")).join(hit, "key")
-        .groupBy("host", "path").agg(F.min(F.struct("pos", "key", "v")).alias("won"))
-    )
-    return base.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("won.key").alias("rule"),
-        F.when(F.col("won.v") == 0, "block").when(F.col("won.v") == 1, "allow").otherwise(default).alias("verdict"),
-    )
+    parts = max(1, -(-max(listed.count(), int(universe.count() * LET_THROUGH)) // PART_KEYS))
+    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts).cast("long"))
+    for p in range(parts):
+        here = part_of(F.col("key")) == p
+        own = stage(universe.where(here), "part-keys") if parts > 1 else universe
+        block = Cascade.build(listed.where(here & (F.col("v") == 0)), own, bits_per_key)
+        allow = Cascade.build(listed.where(here & (F.col("v") == 1)), own, bits_per_key)
+        judged = F.transform(keys, lambda k, i: F.struct(
+            i.alias("at"), k.alias("key"), F.when(part_of(k) == p, F.when(block.contains(k), "block").when(allow.contains(k), "allow")).alias("verdict"),
+        ))
+        won = F.get(F.filter(judged, lambda x: x["verdict"].isNotNull()), F.lit(0))
+        base = base.withColumn("__won", won if p == 0 else F.least("__won", won))  # the first candidate is the longest
+        if p < parts - 1:
+            base = stage(base, "judged")
+    return base.select("page_id", "host", "path", F.col("__won.key").alias("rule"), F.coalesce("__won.verdict", F.lit(default)).alias("verdict"))
