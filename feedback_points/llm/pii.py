@@ -15,6 +15,12 @@ from ..functions.text import let
 
 #: Code points before and after a span in which context words count.
 NEAR = 40
+#: What words for and against add to a score and take from it.
+WEIGHT = 0.3
+#: Spans of added kinds are reported from this score on.
+MIN_SCORE = 0.75
+#: Words that speak against any kind.
+AGAINST = "example|sample|beispiel|ejemplo|exemple"
 
 
 @dataclass(frozen=True)
@@ -41,6 +47,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax|anruf"),
     # an added kind: international bank account numbers, confirmed mod 97
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?", "", 0.8, "iban|bank|konto|account|compte|cuenta", False),
+    # an added kind: United States social security numbers; their form alone is not enough, a word for it must be near
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.5, "ssn|social security|soc sec", False),
 )
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -78,6 +86,8 @@ def _confirmed(kind: str, value: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return mod97(value) == 1
+    if kind == "ssn":
+        return ~value.rlike("^(000|666|9)|-00-|-0000$")
     return F.lit(True)
 
 
@@ -103,18 +113,19 @@ def _spans(text: Column, kind: Kind) -> Column:
     def scored(s: Column) -> Column:
         before = F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
         around = F.concat(before, F.lit(" "), F.substr(text, s["end"] + 1, F.lit(NEAR)))
-        near = F.when(F.lower(around).rlike(kind.context), 0.1).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"], s["end"], s["value"], (F.lit(kind.score) + near).alias("score"))
+        said = lambda words: F.when(F.lower(around).rlike(words), WEIGHT).otherwise(0.0)
+        return F.struct(F.lit(kind.name).alias("kind"), s["start"], s["end"], s["value"], (F.lit(kind.score) + said(kind.context) - said(AGAINST)).alias("score"))
 
     likely = text.rlike(kind.seek) if not kind.hint else F.contains(text, F.lit(kind.hint)) & text.rlike(kind.seek)
     return F.when(likely, F.transform(right, scored)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, min_score: float = 0.0) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: id and ``spans``, ordered by kind as listed, then start.
 
     A span has kind, start, end (exclusive), value and score. Spans that fail their check are
-    dropped without another try. ``min_score`` drops added kinds only. A null text is an empty one
+    dropped without another try. Spans of added kinds are reported only where their score, which words
+    nearby raise and lower, is at least ``min_score``; base kinds always stay. A null text is an empty one
     and has no spans; repeated rows are judged one by one; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -123,15 +134,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     return out.select("doc_id", F.concat(*found).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with every confirmed span replaced by ``<kind>``; null texts stay null."""
+def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` with every reported span replaced by ``<kind>``; null texts stay null."""
     for k in kinds:
-        docs = docs.withColumn(text_col, _redacted(F.col(text_col), k))
+        docs = docs.withColumn(text_col, _redacted(F.col(text_col), k, min_score))
     return docs
 
 
-def _redacted(text: Column, kind: Kind) -> Column:
+def _redacted(text: Column, kind: Kind, min_score: float) -> Column:
     spans = _spans(F.coalesce(text, F.lit("")), kind)
+    if not kind.base:
+        spans = F.filter(spans, lambda s: s["score"] >= min_score)
 
     def cut(acc: Column, s: Column) -> Column:
         kept = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])

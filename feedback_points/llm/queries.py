@@ -99,14 +99,20 @@ _SEEK = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]{4}){2,7}([\x20]?[A-Z0-9]{1,3})?",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 _TEST = {
     "email": "true",
     "ip": "list_max(list_transform(string_split(p.v, '.'), lambda x: CAST(x AS DOUBLE))) <= 255",
     "card": "length(p.d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(p.d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(p.d)[i] AS INT) ELSE 2 * CAST(reverse(p.d)[i] AS INT) - CASE WHEN CAST(reverse(p.d)[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
     "phone": "length(p.d) BETWEEN 9 AND 15",
-    "iban": "list_reduce(list_transform(range(1, length(replace(p.v, ' ', '')) + 1), lambda i: CAST(ascii((replace(p.v, ' ', '')[5:] || replace(p.v, ' ', '')[1:4])[i]) AS BIGINT)), lambda a, c: CASE WHEN c <= 57 THEN a * 10 + c - 48 ELSE a * 100 + c - 55 END % 97, 0::BIGINT) = 1",
+    "iban": "list_reduce(list_transform(range(1, length(replace(p.v, ' ', '')) + 1), lambda i: CAST(ascii((replace(p.v, ' ', '')[5:] || replace(p.v, ' ', '')[1:4])[i]) AS BIGINT)), lambda a, c: CASE WHEN c <= 57 THEN a * 10 + c - 48 ELSE a * 100 + c - 55 END % 97, 0::BIGINT) = 1 AND 0.8 + {score} >= 0.75",
+    "ssn": "NOT regexp_matches(p.v, '^(000|666|9)|-00-|-0000$') AND 0.5 + {score} >= 0.75",
 }
+_AROUND = "lower(substr(text, greatest(p.s - 40, 0) + 1, least(p.s, 40)) || ' ' || substr(text, p.e + 1, 40))"
+_FOR = {"iban": "iban|bank|konto|account|compte|cuenta", "ssn": "ssn|social security|soc sec"}
+for _k, _words in _FOR.items():
+    _TEST[_k] = _TEST[_k].replace("{score}", f"CASE WHEN regexp_matches({_AROUND}, '{_words}') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches({_AROUND}, 'example|sample|beispiel|ejemplo|exemple') THEN 0.3 ELSE 0 END")
 _SAID = "list_transform({k}, lambda p: '{k}:' || p.s || ':' || p.e)"
 _BASE = ["email", "ip", "card", "phone"]
 
@@ -126,13 +132,13 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(h.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, d.doc_id = coalesce(component, d.doc_id) AS kept
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN r ON h.h = r.h LEFT JOIN m ON m.node = r.node""",
     "op3_pii": (
-        "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (SELECT doc_id, "
+        "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (SELECT doc_id, text, "
         + ", ".join(f"regexp_extract_all(text, '{p}') AS {k}_v, string_split_regex(text, '{p}') AS {k}_g" for k, p in _SEEK.items())
         + " FROM t), s AS (SELECT doc_id, "
         + ", ".join(f"list_filter({_SPANS.format(k=k)}, lambda p: {_TEST[k]}) AS {k}" for k in _SEEK)
         + " FROM m), a AS (SELECT *, " + " || ".join(f"coalesce({_SAID.format(k=k)}, [])" for k in _BASE) + " AS base FROM s) SELECT doc_id, "
         + ", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k in _BASE)
-        + f", sha256(array_to_string(base, ',')) AS base_sha256, array_to_string(base || {_SAID.format(k='iban')}, ',') AS spans FROM a"
+        + f", sha256(array_to_string(base, ',')) AS base_sha256, array_to_string(base || {_SAID.format(k='iban')} || {_SAID.format(k='ssn')}, ',') AS spans FROM a"
     ),
     "op4_url_filter": r"""
         WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),

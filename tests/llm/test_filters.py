@@ -39,7 +39,7 @@ def base_spans(text):
 def test_find_pii(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, spans string")
     got = {r.doc_id: [tuple(s)[:3] for s in r.spans] for r in find_pii(df).collect()}
-    assert {i: [s for s in v if s[0] != "iban"] for i, v in got.items()} == {i: base_spans(t) for i, t in enumerate(TEXTS)}
+    assert {i: [s for s in v if s[0] not in ("iban", "ssn")] for i, v in got.items()} == {i: base_spans(t) for i, t in enumerate(TEXTS)}
     assert [s for s in got[4] if s[0] == "iban"] == [("iban", 5, 32)]
     assert pii_digest(find_pii(df)).count() == len(TEXTS)
     assert find_pii(df.where("false")).count() == 0
@@ -52,6 +52,17 @@ def test_context_raises_the_score_and_redaction(spark):
     assert [r.text for r in redact(df).orderBy("doc_id").collect()] == ["my card <card>", "xx <card>", None]
 
 
+def test_the_score_decides_on_added_spans(spark, odd):
+    """Context words bring a social security number in and keep a sample bank account out; base kinds stay."""
+    texts = ["number 123-45-6789 here", "her SSN is 123-45-6789", "ssn 000-45-6789", "for example an ssn like 123-45-6789", "GB82 WEST 1234 5698 7654 32", "a sample: GB82 WEST 1234 5698 7654 32", "a sample bank account: GB82 WEST 1234 5698 7654 32", "sample card 4111 1111 1111 1111", "ssn" + " " * 41 + "123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in find_pii(df).collect()}
+    assert got == {0: [], 1: ["ssn"], 2: [], 3: [], 4: ["iban"], 5: [], 6: ["iban"], 7: ["card"], 8: []}
+    assert {r.doc_id: [s.kind for s in r.spans] for r in find_pii(df, min_score=0.2).collect()}[3] == ["ssn"]
+    assert [r.text for r in redact(df).where("doc_id < 2").orderBy("doc_id").collect()] == [texts[0], "her SSN is <ssn>"]
+    assert pii_digest(find_pii(odd)).count() == 8  # null ids and repeated rows are judged one by one
+
+
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("b.org/fr/x", "block"), ("b.org/fr/x", "allow")]
 URLS = ["http://A.Example.NET/en/x?q#f", "https://example.net/", "http://net", "http://net/", "x.com/de/", None, "", "http://www.example.com/de/1", "http://example.com/fr", "ftp://a.b.org/fr/x1", "http://org/fr/", "://", "http://u.net?x=/en/", "a://b://c.net/x"]
 
@@ -70,9 +81,9 @@ def judge(url):
     return (host, path, *(best or (None, "allow")))
 
 
-@pytest.mark.parametrize("bits, limit", [(12, 8 << 20), (1, 8 << 20), (12, 0)])
+@pytest.mark.parametrize("bits, limit", [(12, 4_000_000), (1, 4_000_000), (12, 2)])
 def test_url_filter(spark, bits, limit, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", limit)
+    monkeypatch.setattr(url_filter, "PART_KEYS", limit)
     more = URLS + [f"http://h{i}.example.net/{'en' if i % 2 else 'de'}/{i}" for i in range(300)]
     pages = spark.createDataFrame([(i, u, "x", "x") for i, u in enumerate(more)], "page_id long, url string, key string, rule string")
     rules = spark.createDataFrame(RULES, "key string, verdict string")
@@ -82,6 +93,13 @@ def test_url_filter(spark, bits, limit, monkeypatch):
     assert {r.rule for r in url_filter.url_filter(pages, rules.where("false")).collect()} == {None}
 
 
+def test_url_filter_odd_rows(spark):
+    """Null ids and repeated pages are judged one by one."""
+    pages = spark.createDataFrame([(None, "http://u.net/"), (1, "http://u.net/"), (1, "http://u.net/"), (2, None)], "page_id long, url string")
+    got = url_filter.url_filter(pages, spark.createDataFrame(RULES, "key string, verdict string")).collect()
+    assert sorted((r.page_id or -1, r.verdict) for r in got) == [(-1, "block"), (1, "block"), (1, "block"), (2, "allow")]
+
+
 def test_cascade_is_exact_over_the_universe(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("substring(key, 2) % 7 = 0")
