@@ -35,8 +35,10 @@ def limit_per_pass(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
 
 def stratified_folds(df: DataFrame, strata: str, n: int = DEFAULTS.folds, seed: int = DEFAULTS.seed, id_col: str = "id") -> DataFrame:
     """A fold per row, dealt in random order within each stratum."""
-    place = F.row_number().over(Window.partitionBy(strata).orderBy(md5_order(seed, id_col), id_col))
-    return df.withColumn("fold", (place - 1) % n)
+    placed = numbered(df, strata, md5_order(seed, id_col), id_col, name="__at")
+    starts = placed.groupBy(F.col(strata).alias("__of")).agg(F.min("__at").alias("__start"))  # a row for each stratum
+    dealt = placed.join(starts, F.col(strata).eqNullSafe(F.col("__of")))
+    return dealt.withColumn("fold", ((F.col("__at") - F.col("__start")) % n).cast("int")).drop("__at", "__of", "__start")
 
 
 def holdout(df: DataFrame, n: int = DEFAULTS.folds) -> DataFrame:
@@ -59,7 +61,8 @@ def band_sample(pool: DataFrame, size: int = DEFAULTS.label_set_size, bands: lis
         quota = F.when(F.col("band") == name, F.lit(round(size * share))).otherwise(quota)
     banded = pool.withColumn("band", band_of(F.col("category"), F.col("score"), bands)).where("band is not null")
     place = F.row_number().over(Window.partitionBy("band").orderBy(md5_order(seed, id_col), id_col))
-    return banded.withColumn("__place", place).where(F.col("__place") <= quota).drop("__place")
+    most = max(round(size * b[4]) for b in bands)  # a literal limit, so that each task drops the rest before the shuffle
+    return banded.withColumn("__place", place).where(F.col("__place") <= most).where(F.col("__place") <= quota).drop("__place")
 
 
 def band_shortage(sample: DataFrame, spark: SparkSession, size: int = DEFAULTS.label_set_size, bands: list = BANDS) -> DataFrame:

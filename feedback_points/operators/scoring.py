@@ -23,12 +23,6 @@ from .queue import points_for_relabel, points_missing_features
 
 Scorer = Callable[[list[str]], list]
 
-# Acts that the zero-shot scorer is asked about, by a short name, and their category.
-ACT_CATEGORY = {
-    "violence": "legal", "sexual harassment": "legal", "bribe or theft": "legal", "dangerous place": "legal",
-    "cheating": "ethics", "abuse of power": "ethics", "privacy": "ethics", "insult": "moral",
-}
-
 
 def score_distinct(df: DataFrame, make: Callable[[], Scorer], kind: str, text: str = "point_text", out: str = "score", batch: int = DEFAULTS.scoring_batch) -> DataFrame:
     """``df`` with the scorer's value of every text; each distinct text is scored once.
@@ -90,10 +84,10 @@ def sentiment_label(label: Column) -> Column:
     return F.when(clean.isin(SENTIMENTS), clean)
 
 
-def best_violation(scores: Column, categories: dict[str, str] = ACT_CATEGORY, threshold: float = DEFAULTS.violation_flag) -> Column:
+def best_violation(scores: Column, categories: dict[str, str], threshold: float = DEFAULTS.violation_flag) -> Column:
     """Struct of score, flagged, category from independent scores by act (a map); ties by act name.
 
-    Without scores: 0, false, none.
+    ``categories`` names each act's category (none where it is not listed). Without scores: 0, false, none.
     """
     table = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair])
     ranked = F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("act"))))

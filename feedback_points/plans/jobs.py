@@ -13,13 +13,16 @@ from ..params import DEFAULTS, Params
 from ..session import stage
 
 
-def ingest(answers: DataFrame, fields: DataFrame, responses: DataFrame, attempts: DataFrame, sentiment: scoring.Scorer, violation: scoring.Scorer, encoder: scoring.Scorer | None = None, params: Params = DEFAULTS) -> DataFrame:
-    """Waiting answers to pending points with vectors and labels: ``answer_id, point_no, point_text, …``."""
+def ingest(answers: DataFrame, fields: DataFrame, responses: DataFrame, attempts: DataFrame, sentiment: scoring.Scorer, violation: scoring.Scorer, categories: dict[str, str], encoder: scoring.Scorer | None = None, params: Params = DEFAULTS) -> DataFrame:
+    """Waiting answers to pending points with vectors and labels: ``answer_id, point_no, point_text, …``.
+
+    ``categories`` names the category of each act that ``violation`` scores.
+    """
     chunk = queue.pending_answers(answers, fields, params.answers_per_field)
     split = splitting.point_rows(splitting.apply_split_responses(chunk, responses, attempts, params.max_attempts, params.short_answer_words))
     rows = stage(split, "points")
     scored = scoring.score_distinct(scoring.score_distinct(scoring.embed(rows, encoder), sentiment, "string", out="__s"), violation, "map<string,double>", out="__v")
-    best = scoring.best_violation(F.col("__v"), threshold=params.violation_flag)
+    best = scoring.best_violation(F.col("__v"), categories, threshold=params.violation_flag)
     return scored.withColumn("__b", best).select(
         "answer_id", "point_no", "point_text", "status", "embedding", scoring.sentiment_label(F.col("__s")).alias("sentiment_label"),
         scoring.violation_status(F.col("__b.score"), F.col("__b.flagged"), params.violation_strong).alias("violation_status"), F.col("__b.category").alias("violation_type"), F.lit("pending").alias("processing_status"),

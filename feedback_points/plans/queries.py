@@ -509,12 +509,12 @@ def x7_apply_split_responses(spark, d):
 FUNC = "[" + ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS) + "]"
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, {WORD_SET} AS src, regexp_extract_all(lower((SELECT left(max(text), 200) FROM benchmark WHERE item_id = doc_id % 40)), '[a-z0-9'']+') AS pt FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH w AS (SELECT doc_id, text, {WORD_SET} AS src, regexp_extract_all(lower((SELECT max(text) FROM benchmark WHERE item_id = doc_id % (SELECT count(*) FROM benchmark))), '[a-z0-9'']+') AS pt FROM documents WHERE text IS NOT NULL),
     c AS (SELECT *, list_filter(pt, lambda x: NOT list_contains({FUNC}, x)) AS cw FROM w)
     SELECT doc_id, 2 * len(list_filter(cw, lambda x: list_contains(src, x))) >= len(cw) AS grounded FROM c""")
 def x9_grounded(spark, d):
-    points = S.table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.left("text", F.lit(200)).alias("point"))
-    docs = S.table(spark, d, "documents").where("text is not null").withColumn("k", F.col("doc_id") % 40)
+    points = S.table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("point"))
+    docs = S.table(spark, d, "documents").where("text is not null").withColumn("k", F.col("doc_id") % points.count())
     return docs.join(points, "k").select("doc_id", X.grounded(F.array("point"), F.col("text")).alias("grounded"))
 
 
@@ -527,11 +527,11 @@ def x13_dedupe_by_key(spark, d):
 
 @query()
 def x14_generate_feedback(spark, d):
-    """Synthetic rows whose shapes are benchmark texts and whose slot is filled from part names."""
-    shapes = S.table(spark, d, "benchmark").select((F.col("item_id") % 3).cast("string").alias("kind"), F.lit(1.0).alias("weight"), F.concat(F.left("text", F.lit(40)), F.lit(" {part}.")).alias("text"))
-    pool = [r[0] for r in S.table(spark, d, "part").select("p_name").distinct().orderBy("p_name").limit(50).collect()]
+    """Synthetic rows whose shapes are benchmark texts and whose slot is filled from nation names."""
+    shapes = S.table(spark, d, "benchmark").select((F.col("item_id") % 3).cast("string").alias("kind"), F.lit(1.0).alias("weight"), F.concat("text", F.lit(" {nation}.")).alias("text"))
+    pool = [r[0] for r in S.table(spark, d, "nation").select("n_name").distinct().orderBy("n_name").collect()]  # a closed list
     n = S.table(spark, d, "documents").count()
-    return splitting.generate_feedback(shapes, {"part": pool}, n)
+    return splitting.generate_feedback(shapes, {"nation": pool}, n)
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS is_violation, CASE o_orderkey % 4 WHEN 0 THEN 'ethics' ELSE 'none' END AS category,
@@ -579,7 +579,7 @@ def u5_violation_rules(spark, d):
     """The strongest act (U5), its status (U6) and a toxicity flag (U7)."""
     e = S.table(spark, d, "events")
     scores = F.create_map(F.lit("cheating"), F.col("value") / 1000, F.lit("violence"), F.when(F.col("event_id") % 2 == 0, 0.0795).otherwise(0.04))
-    best = e.select(F.col("event_id").alias("id"), scores.alias("s")).withColumn("b", scoring.best_violation(F.col("s")))
+    best = e.select(F.col("event_id").alias("id"), scores.alias("s")).withColumn("b", scoring.best_violation(F.col("s"), {"cheating": "ethics", "violence": "legal"}))
     return best.select("id", F.round("b.score", 6).alias("score"), "b.flagged", "b.category", scoring.violation_status(F.col("b.score"), F.col("b.flagged")).alias("status"), scoring.toxicity_flag(F.col("s"), 0.25).alias("toxic"))
 
 
@@ -673,7 +673,7 @@ def v15_knn_purity(spark, d):
 
 @query()
 def v16_growth_curve(spark, d):
-    prefixes = labels.growth_prefixes(S.vectors(spark, d).select("id", "embedding"), (0.5, 1.0))
+    prefixes = labels.growth_prefixes(S.vectors(spark, d).select("id", "embedding"))
     return clustering.growth_curve(prefixes, 8)
 
 
@@ -939,5 +939,5 @@ def st1_ingest_stream(spark, d):
     answers = ingest.answer_stream(spark, source, "id long, submission_id long, field_id long, answer_text string, created_at timestamp, decomposed_at timestamp")
     points, marks, checkpoint = (stage_path(spark, f"ingest-{n}") for n in ("points", "marks", "checkpoint"))
     split = lambda batch: batch.select(F.col("id").alias("answer_id"), F.lit(0).alias("point_no"), F.col("answer_text").alias("point_text"), F.lit("short").alias("status"))
-    ingest.ingest_stream(answers, split, points, marks, checkpoint, "3650 days").awaitTermination()
+    ingest.ingest_stream(answers, split, points, marks, checkpoint).awaitTermination()
     return spark.read.parquet(points).groupBy("answer_id").agg(F.count(F.lit(1)).alias("points"))

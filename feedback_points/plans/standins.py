@@ -60,7 +60,7 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey < 80").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5).alias("form_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("canonical_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5).alias("form_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("canonical_name"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ SQL = {
     "fields": """fields AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS form_id, n_nationkey % 4 <> 3 AS analyze_with_ai,
         CASE WHEN n_nationkey % 7 = 6 THEN TIMESTAMP '2020-01-01' END AS deleted_at FROM nation)""",
     "forms": "forms AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS form_title FROM region)",
-    "topics": "topics AS (SELECT p_partkey AS id, p_partkey % 5 AS form_id, p_name || ' ' || p_partkey AS canonical_name FROM part WHERE p_partkey < 80)",
+    "topics": "topics AS (SELECT p_partkey AS id, p_partkey % 5 AS form_id, p_name || ' ' || p_partkey AS canonical_name FROM part)",
     "queue": """queue AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 10 = 7 THEN 'unsure' ELSE CAST(toxic AS VARCHAR) END AS label, doc_id AS position FROM labels
         UNION ALL SELECT doc_id || '#r', CASE WHEN doc_id % 25 = 0 THEN CAST(quality AS VARCHAR) WHEN doc_id % 10 = 7 THEN 'unsure' ELSE CAST(toxic AS VARCHAR) END, doc_id + 1000000000 FROM labels WHERE doc_id % 5 = 0)""",
     "pool": """pool AS (SELECT doc_id AS id, text, source, round((doc_id * 7919 % 1000) / 1000.0, 3) AS score,

@@ -25,11 +25,17 @@ def get_session(app: str = "feedback_points", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new local one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a folder of its own; on a cluster, where the driver's folders
+    are not the executors', that is an error.
+    """
     global _own_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own_dir

@@ -48,9 +48,10 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> Dat
     for part, n in sorted((r[0], r[1]) for r in counts):
         starts[part] = total
         total += n
-    shift = F.coalesce(*[F.when(F.col("__range") == p, F.lit(s)) for p, s in starts.items()], F.lit(0)) if starts else F.lit(0)
+    shifts = df.sparkSession.createDataFrame(list(starts.items()), "__range int, __shift long")
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
-    return sorted_.withColumn(name, (place + shift).cast("long")).drop("__range")
+    shifted = sorted_.withColumn(name, place).join(F.broadcast(shifts), "__range")
+    return shifted.withColumn(name, (F.col(name) + F.col("__shift")).cast("long")).drop("__range", "__shift")
 
 
 def load_wave(rows: DataFrame, order: str, form_id: int, offset: int, limit: int, start: str, end: str, seed: int = DEFAULTS.seed, column: str = "raw_text") -> dict[str, DataFrame]:

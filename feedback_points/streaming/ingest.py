@@ -27,25 +27,25 @@ def _marked(spark: SparkSession, path: str, batch: int) -> DataFrame:
         return spark.createDataFrame([], "answer_id long")
 
 
-def ingest_stream(answers: DataFrame, split: Callable[[DataFrame], DataFrame], points_path: str, marks_path: str, checkpoint: str, horizon: str = "1 day"):
+def ingest_stream(answers: DataFrame, split: Callable[[DataFrame], DataFrame], points_path: str, marks_path: str, checkpoint: str):
     """Start a query that turns unread answers into points, each answer once.
 
-    ``split`` gives ``answer_id, point_no, point_text, status`` of a batch. Repeats within
-    ``horizon`` are dropped by state, older ones by the marks. A batch writes its points, then its
-    marks, under its own number and overwrites both on a replay, so a rerun never duplicates.
+    ``split`` gives ``answer_id, point_no, point_text, status`` of a batch. Repeats are dropped
+    within the batch and against the marks of earlier ones, so an answer is read whatever its date.
+    A batch writes its points, then its marks, under its own number and overwrites both on a replay,
+    so a rerun never duplicates.
     """
-    once = waiting(answers).withWatermark("created_at", horizon).dropDuplicatesWithinWatermark(["id"])
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.join(_marked(spark, marks_path, number).withColumnRenamed("answer_id", "id"), "id", "left_anti").persist()
+        fresh = batch.dropDuplicates(["id"]).join(_marked(spark, marks_path, number).withColumnRenamed("answer_id", "id"), "id", "left_anti").persist()
         try:
             for df, path in ((split(fresh), points_path), (fresh.select(F.col("id").alias("answer_id")), marks_path)):
                 df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
         finally:
             fresh.unpersist()
 
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return waiting(answers).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quiet_forms_stream(points: DataFrame, minutes: int = DEFAULTS.quiet_minutes, late: str = "1 hour") -> DataFrame:
