@@ -34,7 +34,7 @@ SHARD_IDS = 1 << 20
 #: How often a pair must occur: a rule takes 12 bytes and saves a symbol of 2 bytes at each occurrence.
 MIN_COUNT = 8
 #: Pairs that a round replaces together at most; rounds go on until none is left.
-ROUND_RULES = 1 << 14
+ROUND_RULES = 1 << 13
 _BUCKETS = 1 << 20
 
 SCHEMA = "part long, shard long, part_start long, n_ids long, first_id long, last_id long, doc_id array<long>, doc_ids array<int>, doc_symbols array<int>, base long, rules binary, spans binary, symbols binary"

@@ -2,7 +2,7 @@
 
 A byte-level BPE vocabulary encodes each pre-token by itself, so equal pre-tokens have equal ids. A
 worker splits a slice of texts into pre-tokens with numpy, looks them up in a table of pre-tokens met
-before by two independent 64-bit hashes of their bytes, and calls the library for new ones only. Texts
+before by a 64-bit hash of their bytes (see ``hash_runs``), and calls the library for new ones only. Texts
 that hold the string of an added (special) token, and texts with code points outside ``_STABLE``
 (whose classes may depend on a Unicode version), are encoded by the library as a whole.
 """
@@ -60,7 +60,6 @@ class Encoder:
         self.slots = np.zeros(1 << 18, np.uint64)
         self.value = np.zeros(1 << 18, np.int32)
         self.known = np.zeros(0, np.uint64)
-        self.second = np.zeros(0, np.uint64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -91,14 +90,13 @@ class Encoder:
             left = left[self.slots[at[left]] != h[left]]
             at[left] = (at[left] + 1) & (size - 1)
 
-    def _learn(self, h: np.ndarray, second: np.ndarray, strings: list[str]) -> None:
+    def _learn(self, h: np.ndarray, strings: list[str]) -> None:
         made = self.tokenizer.encode(strings, is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(strings))
         self.ids = np.concatenate([self.ids, np.array(made.ids, np.uint32)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         number = np.arange(len(self.known), len(self.known) + len(h), dtype=np.int32)
         self.known = np.concatenate([self.known, h])
-        self.second = np.concatenate([self.second, second])
         if 2 * len(self.known) > len(self.slots):
             size = len(self.slots)
             while 2 * len(self.known) > size:
@@ -156,8 +154,7 @@ class Encoder:
         size = np.diff(np.concatenate([first, [total]]))
         byte = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # where each code point begins
         begin, n_bytes = byte[first], byte[first + size] - byte[first]
-        h, second = (hash_runs(data, begin, n_bytes, seed) for seed in (6, 7))
-        h |= np.uint64(1)
+        h = hash_runs(data, begin, n_bytes) | np.uint64(1)
         number = self._find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
@@ -167,15 +164,14 @@ class Encoder:
                 fresh, one = np.unique(h, return_index=True)
                 new = np.arange(len(h))
             one = new[one]
-            self._learn(fresh, second[one], [text[a : a + n] for a, n in zip(first[one].tolist(), size[one].tolist(), strict=True)])
+            self._learn(fresh, [text[a : a + n] for a, n in zip(first[one].tolist(), size[one].tolist(), strict=True)])
             number = self._find(h)
-        clash = np.flatnonzero(self.second[number] != second)  # texts with such a pre-token are encoded whole
         lengths = self.first[number + 1] - self.first[number]
         ends = np.cumsum(lengths)
         ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.first[number] - (ends - lengths), lengths)]
         before = np.concatenate([[0], ends])
         counts = np.diff(before[np.searchsorted(first, at)])
-        unsure = np.concatenate([np.flatnonzero(kind == _UNSURE), first[clash], head[self._added(data)]])
+        unsure = np.concatenate([np.flatnonzero(kind == _UNSURE), head[self._added(data)]])
         unsure = np.unique(np.searchsorted(at, unsure, "right") - 1)
         if len(unsure):
             parts = np.split(ids, np.cumsum(counts)[:-1])
