@@ -46,15 +46,9 @@ def tokens(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def word_count(text: Column) -> Column:
-    """Words between blanks; 0 for a blank text."""
-    clean = strip(text)
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, r"\s+")))
-
-
 def needs_splitting(text: Column, short_words: int = DEFAULTS.short_answer_words) -> Column:
-    """Whether an answer is long or structured enough to hold two points."""
-    return (word_count(text) > short_words) | text.rlike(CLAUSE_BREAK)
+    """Whether an answer is long (more than ``short_words`` words between blanks) or structured enough to hold two points."""
+    return text.rlike(rf"^\s*+(?:\S++\s++){{{short_words}}}+\S") | text.rlike(CLAUSE_BREAK)
 
 
 def is_thai(text: Column) -> Column:
@@ -127,56 +121,52 @@ def narrated(point: Column) -> Column:
 
 def grounded(points: Column, text: Column) -> Column:
     """Whether of every point at least half of the content words stand in the source text."""
-    stop = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
-
     def fits(point: Column, source: Column) -> Column:
         def enough(content: Column) -> Column:
             return 2 * F.size(F.filter(content, lambda w: F.array_contains(source, w))) >= F.size(content)
 
-        return let(F.filter(tokens(point), lambda w: ~F.array_contains(stop, w)), enough)
+        return let(F.filter(tokens(point), lambda w: ~w.isin(FUNCTION_WORDS)), enough)
 
     return let(F.array_distinct(tokens(text)), lambda source: F.forall(points, lambda p: fits(p, source)))
 
 
-def _content(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_distinct(F.filter(tokens(text), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 2)))
+def _content(words: Column) -> Column:
+    return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
 def pairs_of(words: Column) -> Column:
     """Neighbouring words, joined by a blank."""
 
     def pairs(w: Column) -> Column:
-        return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
 
     return let(words, pairs)
 
 
-def _bigrams(text: Column) -> Column:
-    return F.array_distinct(pairs_of(tokens(text)))
-
-
 def split_scores(raw: Column, gold: Column, pred: Column) -> Column:
     """Struct of coverage, fidelity, pronoun_rate, count_exact, over_split, under_split.
 
     An empty prediction has null measures and no exact count; so has a measure without words.
     """
     share = lambda part, whole: F.try_divide(F.size(F.array_intersect(part, whole)).cast("double"), F.size(whole).cast("double"))
-    pronouns = F.array(*[F.lit(w) for w in PRONOUNS])
     some = F.size(pred) > 0
-    joined = F.array_join(pred, " ")
-    coverage = let(_content(raw), lambda of: share(_content(joined), of))
-    fidelity = let(_bigrams(joined), lambda of: share(_bigrams(raw), of))
-    rate = let(tokens(joined), lambda words: F.size(F.filter(words, lambda w: F.array_contains(pronouns, w))) / F.greatest(F.size(words), F.lit(1)))
-    return F.struct(
-        F.when(some, coverage).alias("coverage"), F.when(some, fidelity).alias("fidelity"), F.when(some, rate).alias("pronoun_rate"),
+
+    def measures(source: Column, said: Column) -> Column:
+        return F.struct(
+            let(_content(source), lambda of: share(said, of)).alias("coverage"), let(F.array_distinct(pairs_of(said)), lambda of: share(pairs_of(source), of)).alias("fidelity"),
+            (F.size(F.filter(said, lambda w: w.isin(PRONOUNS))) / F.greatest(F.size(said), F.lit(1))).alias("pronoun_rate"),
+        )
+
+    measured = let(tokens(raw), lambda source: let(tokens(F.array_join(pred, " ")), lambda said: measures(source, said)))
+    return let(F.when(some, measured), lambda m: F.struct(
+        m["coverage"].alias("coverage"), m["fidelity"].alias("fidelity"), m["pronoun_rate"].alias("pronoun_rate"),
         (some & (F.size(pred) == F.size(gold))).alias("count_exact"), F.when(some, F.size(pred) > F.size(gold)).alias("over_split"), F.when(some, F.size(pred) < F.size(gold)).alias("under_split"),
-    )
+    ))
 
 
 def content_key(text: Column) -> Column:
     """All words in order of the alphabet, repeats included: equal for reordered texts."""
-    return F.array_join(F.array_sort(tokens(text, "[a-z0-9]+")), " ")
+    return F.array_join(F.sort_array(tokens(text, "[a-z0-9]+")), " ")
 
 
 def topic_name(words: Column, length: int = DEFAULTS.title_length) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, pairs_of, tokens
+from ..session import stage
 
 #: Words of two and more letters or digits.
 TERM = r"[a-z0-9_]{2,}"
@@ -24,8 +25,7 @@ def ngrams(text: Column, stop: list[str] | None = None) -> Column:
     stop = english_stop_words() if stop is None else stop
     words = tokens(text, TERM)
     if stop:
-        listed = F.array(*[F.lit(w) for w in stop])
-        words = F.filter(words, lambda w: ~F.array_contains(listed, w))
+        words = F.filter(words, lambda w: ~w.isin(stop))
     return let(words, lambda w: F.concat(w, pairs_of(w)))
 
 
@@ -42,7 +42,7 @@ def top_words(docs: DataFrame, k: int, *keys: str, text: str = "text", stop: lis
 def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", stop: list[str] | None = None) -> DataFrame:
     """The k terms that set each topic apart: square root of the term's share in the topic, times
     log(1 + average terms of a topic / occurrences of the term in all topics)."""
-    counts = term_counts(docs, topic, text=text, stop=stop)
+    counts = stage(term_counts(docs, topic, text=text, stop=stop), "term-counts")
     size = counts.groupBy(topic).agg(F.sum("n").alias("topic_terms"))
     term = counts.groupBy("term").agg(F.sum("n").alias("term_total"))
     average = size.agg(F.avg("topic_terms").alias("average"))
