@@ -39,17 +39,19 @@ def top_words(docs: DataFrame, k: int, *keys: str, text: str = "text", stop: lis
     return term_counts(docs, *keys, text=text, stop=stop).withColumn("place", place).where(F.col("place") <= k)
 
 
-def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", stop: list[str] | None = None) -> DataFrame:
+def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", stop: list[str] | None = None, form: str | None = None) -> DataFrame:
     """The k terms that set each topic apart: square root of the term's share in the topic, times
-    log(1 + average terms of a topic / occurrences of the term in all topics)."""
-    counts = stage(term_counts(docs, topic, text=text, stop=stop), "term-counts")
-    size = counts.groupBy(topic).agg(F.sum("n").alias("topic_terms"))
-    term = counts.groupBy("term").agg(F.sum("n").alias("term_total"))
-    average = size.agg(F.avg("topic_terms").alias("average"))
-    scored = counts.join(size, topic).join(term, "term").join(F.broadcast(average))  # one row
+    log(1 + average terms of a topic / occurrences of the term in all topics), within each form if one is named."""
+    by = [form] if form else []
+    counts = stage(term_counts(docs, *by, topic, text=text, stop=stop), "term-counts")
+    size = counts.groupBy(*by, topic).agg(F.sum("n").alias("topic_terms"))
+    term = counts.groupBy(*by, "term").agg(F.sum("n").alias("term_total"))
+    average = size.groupBy(*by).agg(F.avg("topic_terms").alias("average"))
+    scored = counts.join(size, [*by, topic]).join(term, [*by, "term"])
+    scored = scored.join(average, by) if by else scored.join(F.broadcast(average))  # one row
     weight = F.sqrt(F.col("n") / F.col("topic_terms")) * F.log1p(F.col("average") / F.col("term_total"))
-    place = F.row_number().over(Window.partitionBy(topic).orderBy(F.desc(F.round("weight", 9)), "term"))
-    return scored.withColumn("weight", weight).select(topic, "term", "weight").withColumn("place", place).where(F.col("place") <= k)
+    place = F.row_number().over(Window.partitionBy(*by, topic).orderBy(F.desc(F.round("weight", 9)), "term"))
+    return scored.withColumn("weight", weight).select(*by, topic, "term", "weight").withColumn("place", place).where(F.col("place") <= k)
 
 
 def keyword_fallback(own: DataFrame, parent: DataFrame, frequent: DataFrame, topic: str) -> DataFrame:
@@ -59,40 +61,41 @@ def keyword_fallback(own: DataFrame, parent: DataFrame, frequent: DataFrame, top
     return a.join(b, topic, "full").join(c, topic, "full").select(topic, F.coalesce(some("__a"), some("__b"), some("__c")).alias("words"))
 
 
-def npmi_by_topic(topic_words: DataFrame, docs: DataFrame, topic: str, id_col: str = "id", text: str = "text", k: int = 10) -> DataFrame:
-    """Mean normalised pointwise mutual information of each topic's word pairs.
+def npmi_by_topic(topic_words: DataFrame, docs: DataFrame, topic: str, id_col: str = "id", text: str = "text", k: int = 10, form: str | None = None) -> DataFrame:
+    """Mean normalised pointwise mutual information of each topic's word pairs, within each form if one is named.
 
     Words that no document has are dropped; topics with less than two words have no row. Pairs that
-    never meet count -1, pairs that stand in every document 1. The topic words are few and broadcast.
+    never meet count -1, pairs that stand in every document 1.
     """
-    listed = topic_words.where(F.col("place") <= k).select(topic, "term").distinct()
-    vocabulary = F.broadcast(listed.select("term").distinct())
-    held = docs.select(id_col, F.explode(F.array_distinct(tokens(F.col(text), TOKEN))).alias("term")).join(vocabulary, "term")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    pairs = listed.alias("x").join(listed.select(F.col(topic), F.col("term").alias("term_b")).alias("y"), topic).where("term < term_b").select(topic, F.col("term").alias("term_a"), "term_b")
-    per_doc = held.groupBy(id_col).agg(F.array_sort(F.collect_set("term")).alias("t"))  # at most all topic words
+    by = [form] if form else []
+    listed = topic_words.where(F.col("place") <= k).select(*by, topic, "term").distinct()
+    vocabulary = listed.select(*by, "term").distinct()
+    held = docs.select(*by, id_col, F.explode(F.array_distinct(tokens(F.col(text), TOKEN))).alias("term")).join(vocabulary, [*by, "term"])
+    df = held.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    pairs = listed.join(listed.withColumnRenamed("term", "term_b"), [*by, topic]).where("term < term_b").withColumnRenamed("term", "term_a")
+    per_doc = held.groupBy(*by, id_col).agg(F.array_sort(F.collect_set("term")).alias("t"))  # at most all topic words
     met = (
-        per_doc.select(F.explode(F.flatten(F.transform("t", lambda a, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda b: F.struct(a.alias("term_a"), b.alias("term_b")))))).alias("p"))
-        .select("p.*").groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("both"))
+        per_doc.select(*by, F.explode(F.flatten(F.transform("t", lambda a, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda b: F.struct(a.alias("term_a"), b.alias("term_b")))))).alias("p"))
+        .select(*by, "p.*").groupBy(*by, "term_a", "term_b").agg(F.count(F.lit(1)).alias("both"))
     )
-    n = docs.agg(F.count(F.lit(1)).alias("docs"))
+    n = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"))
     out = (
-        pairs.join(met, ["term_a", "term_b"], "left")
-        .join(df.select(F.col("term").alias("term_a"), F.col("df").alias("df_a")), "term_a").join(df.select(F.col("term").alias("term_b"), F.col("df").alias("df_b")), "term_b")
-        .join(F.broadcast(n))  # one row
+        pairs.join(met, [*by, "term_a", "term_b"], "left")
+        .join(df.withColumnsRenamed({"term": "term_a", "df": "df_a"}), [*by, "term_a"]).join(df.withColumnsRenamed({"term": "term_b", "df": "df_b"}), [*by, "term_b"])
     )
+    out = out.join(n, by) if by else out.join(F.broadcast(n))  # one row
     p = lambda c: F.col(c) / F.col("docs")
     value = (
         F.when(F.col("both").isNull(), -1.0).when(F.col("both") == F.col("docs"), 1.0)
         .otherwise(F.try_divide(F.log(p("both") / (p("df_a") * p("df_b"))), -F.log(p("both"))))
     )
-    return out.groupBy(topic).agg(F.avg(value).alias("npmi"))
+    return out.groupBy(*by, topic).agg(F.avg(value).alias("npmi"))
 
 
 def npmi_coherence(topic_words: DataFrame, docs: DataFrame, topic: str, **options) -> DataFrame:
     return npmi_by_topic(topic_words, docs, topic, **options).agg(F.avg("npmi").alias("npmi"))
 
 
-def topic_diversity(topic_words: DataFrame, k: int = 10) -> DataFrame:
+def topic_diversity(topic_words: DataFrame, k: int = 10, *by: str) -> DataFrame:
     """Share of distinct words among all topics' first k words."""
-    return topic_words.where(F.col("place") <= k).agg(F.try_divide(F.count_distinct("term").cast("double"), F.count("term").cast("double")).alias("diversity"))
+    return topic_words.where(F.col("place") <= k).groupBy(*by).agg(F.try_divide(F.count_distinct("term").cast("double"), F.count("term").cast("double")).alias("diversity"))

@@ -648,19 +648,35 @@ def v7_merge_near_duplicates(spark, d):
     return clustering.merge_near_duplicates(v, 0.35).select("form_id", "id", "topic_key", "confidence")
 
 
-@query()
+def _density(source: str, min_size: int, min_pts: int) -> str:
+    """CTEs that end in ``dl``: ``grp, id, label`` of the rows ``grp, id, embedding`` of ``source``."""
+    return f"""dp AS (SELECT x.grp, x.id AS a, y.id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM {source} x JOIN {source} y ON x.grp = y.grp AND x.id < y.id),
+    dn AS (SELECT grp, a AS id, b AS o, s, sqrt(greatest(2 - 2 * s, 0)) AS d FROM dp UNION ALL SELECT grp, b, a, s, sqrt(greatest(2 - 2 * s, 0)) FROM dp), dk AS (SELECT *, row_number() OVER (PARTITION BY grp, id ORDER BY round(d, 9), o) AS p FROM dn),
+    dq AS (SELECT grp, quantile_disc(d, 0.5) AS q FROM dk WHERE p = {min_pts} GROUP BY 1), dt AS (SELECT dn.* FROM dn JOIN dq USING (grp) WHERE 1 - s <= q * q / 2 + 1e-12),
+    dc AS (SELECT id FROM dt GROUP BY id HAVING count(*) >= {min_pts}), de AS (SELECT id, o FROM dt WHERE id IN (SELECT id FROM dc) AND o IN (SELECT id FROM dc)),
+    dr(id, r) AS (SELECT id, id FROM dc UNION SELECT dr.id, de.o FROM dr JOIN de ON dr.r = de.id), dg AS (SELECT id, min(r) AS g FROM dr GROUP BY 1),
+    db AS (SELECT id, arg_min(o, (-round(s, 9), o)) AS o FROM dt WHERE id NOT IN (SELECT id FROM dc) AND o IN (SELECT id FROM dc) GROUP BY 1), dm AS (SELECT * FROM dg UNION ALL SELECT db.id, g FROM db JOIN dg ON db.o = dg.id),
+    dz AS (SELECT g, any_value(grp) AS grp, min(id) AS first FROM dm JOIN {source} USING (id) GROUP BY g HAVING count(*) >= {min_size}), dw AS (SELECT g, row_number() OVER (PARTITION BY grp ORDER BY first) - 1 AS label FROM dz),
+    dl AS (SELECT x.grp, x.id, coalesce(label, -1) AS label FROM {source} x LEFT JOIN dm USING (id) LEFT JOIN dw USING (g))"""
+
+
+@query("WITH RECURSIVE " + with_("vectors")[5:] + f", src AS (SELECT form_id AS grp, id, embedding FROM vectors), {_density('src', 8, 4)} SELECT grp AS form_id, id, CAST(label AS BIGINT) AS label FROM dl")
 def v4_density_cluster(spark, d):
     return clustering.density_cluster(S.vectors(spark, d), 8, 4)
 
 
-@query()
+@query("WITH RECURSIVE " + with_("vectors")[5:] + f""", src AS (SELECT form_id || '.' || topic_key AS grp, id, embedding FROM vectors QUALIFY count(*) OVER (PARTITION BY form_id, topic_key) >= 8), {_density('src', 4, 2)},
+    o AS (SELECT *, max(label) OVER (PARTITION BY grp) AS parts, count(*) FILTER (WHERE label = -1) OVER (PARTITION BY grp) AS rest FROM dl)
+    SELECT form_id, id, CASE WHEN label IS NULL OR parts < 0 THEN topic_key WHEN label >= 0 THEN topic_key || '.' || label WHEN rest >= 4 THEN topic_key END AS topic_key FROM vectors LEFT JOIN o USING (id)""")
 def v8_split_large_topics(spark, d):
     return clustering.split_large_topics(S.vectors(spark, d), 4, 2).select("form_id", "id", "topic_key")
 
 
 @query()
 def v14_parameter_sweep(spark, d):
-    return clustering.parameter_sweep(S.vectors(spark, d), [5, 8])
+    """Vectors with the text of the document of the same number."""
+    texts = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("point_text"))
+    return clustering.parameter_sweep(S.vectors(spark, d).join(texts, "id", "left"), [5, 8])
 
 
 @query(with_("vectors") + f""", {PAIRS}, n AS (SELECT form_id, a AS id, b AS o, s FROM pr UNION ALL SELECT form_id, b, a, s FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY form_id, id ORDER BY s DESC, o) AS p FROM n),
@@ -686,6 +702,16 @@ def v9_top_words(spark, d):
     return words.top_words(S.table(spark, d, "documents").where("text is not null"), 10, "lang", stop=[])
 
 
+STOP = ["the", "of", "and", "die", "und", "le", "el"]
+_UNSTOPPED = "regexp_extract_all(lower(text), '[a-z0-9_]{2,}')"
+STOPPED = TERMS.replace(_UNSTOPPED, f"list_filter({_UNSTOPPED}, lambda x: x NOT IN ({', '.join(map(repr, STOP))}))")
+
+
+@query(f"WITH {STOPPED}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, term) AS place FROM tc) SELECT t AS lang, term, n, CAST(place AS INT) AS place FROM r WHERE place <= 10")
+def v9_top_words_stop(spark, d):
+    return words.top_words(S.table(spark, d, "documents").where("text is not null"), 10, "lang", stop=STOP)
+
+
 TFIDF = f"""{TERMS}, s AS (SELECT t, sum(n) AS s FROM tc GROUP BY 1), a AS (SELECT term, sum(n) AS a FROM tc GROUP BY 1), x AS (SELECT tc.t, tc.term, sqrt(n / s) * ln(1 + (SELECT avg(s) FROM s) / a) AS weight FROM tc JOIN s USING (t) JOIN a USING (term)),
     k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(weight, 9) DESC, term) AS place FROM x)"""
 
@@ -723,6 +749,35 @@ def v11_keyword_fallback(spark, d):
     return words.keyword_fallback(own, parent, frequent, "lang").select("lang", X.topic_name(F.col("words")).alias("name"))
 
 
+# --- round trips of sources and sinks -----------------------------------------------------------
+
+
+@query(with_("answers") + """SELECT id, answer_text || chr(10) || 'a "quoted" line' AS raw_text FROM answers WHERE regexp_replace(answer_text, '\\s+', '', 'g') <> ''""")
+def io1_read_feedback_csv(spark, d):
+    path = stage_path(spark, "csv")
+    text = F.col("answer_text")
+    full = F.when(F.trim(F.regexp_replace(text, "\\s+", "")) == "", text).otherwise(F.concat(F.lit(" "), text, F.lit('\na "quoted" line ')))
+    S.answers(spark, d).select("id", full.alias("raw_text")).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return io.read_feedback_csv(spark, path).select(F.col("id").cast("long").alias("id"), "raw_text")
+
+
+@query(with_("points") + "SELECT id, point_text, sentiment_label FROM points")
+def io5_points_export(spark, d):
+    path = stage_path(spark, "export")
+    io.write_points_export(S.points(spark, d).select("id", "point_text", "sentiment_label", F.lit("not exported").alias("answer_text")), path)
+    return spark.read.schema("id long, point_text string, sentiment_label string").csv(path, header=True)
+
+
+@query("""SELECT o_orderstatus AS variant, o_orderkey AS feedback_id, o_orderpriority AS raw_text, '["' || o_orderpriority || '","' || o_orderstatus || '"]' AS points_json, CAST(2 AS INT) AS n_points, 'ok' AS status FROM orders""")
+def io7_write_decomposed(spark, d):
+    path = stage_path(spark, "decomposed")
+    rows = S.table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("variant"), F.col("o_orderkey").alias("feedback_id"), F.col("o_orderpriority").alias("raw_text"), F.array("o_orderpriority", "o_orderstatus").alias("points"), F.lit("ok").alias("status"),
+    )
+    io.write_decomposed(rows, path)
+    return spark.read.parquet(path)
+
+
 # --- identity -----------------------------------------------------------------------------------
 
 

@@ -96,6 +96,19 @@ def test_split_large_and_stats(cloud):
     assert clustering.sweep_sizes(100) == [2, 3, 4, 5, 6, 8, 10]
 
 
+def test_parameter_sweep(cloud):
+    """Three groups of one form with a word each; rates and words against counts of the clusters themselves."""
+    _, _, df = cloud
+    points = df.where("form_id = 0").withColumn("point_text", F.concat(F.lit("shared "), F.element_at(F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta"))), (F.col("id") / 20).cast("int") + 1)))
+    got = {r.min_size: r for r in clustering.parameter_sweep(points, [4, 6], eps=0.05).collect()}
+    for m, row in got.items():
+        own = clustering.density_cluster(points, m, m, 0.05).toPandas()
+        assert row.n == len(own) and row.topics == own.label.max() + 1
+        assert row.outlier_before == pytest.approx((own.label < 0).mean(), abs=1e-6) and row.outlier_rate <= row.outlier_before
+        assert -1 <= row.npmi <= 1 and 0 < row.diversity <= 1
+    assert sorted(got) == [4, 6]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(0, 1, "a", [1.0, 0.0]), (0, 2, "a", [0.0, 1.0]), (0, 3, "b", [-1.0, 0.0]), (0, 4, None, [0.6, 0.8]), (0, 5, None, [0.0, -1.0]), (0, 6, None, [0.0, 0.0])], "form_id long, id long, topic_key string, embedding array<float>")
     got = {r.id: r.topic_key for r in vectors.reassign_outliers(df).collect()}

@@ -11,7 +11,7 @@ def test_twin(name, same_rows):
     same_rows(QUERIES[name], ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"v14_parameter_sweep"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_gives_rows(name, spark):
     assert QUERIES[name](spark, DATA).count() > 0
 
