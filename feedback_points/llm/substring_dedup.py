@@ -14,6 +14,10 @@ segments come in ascending document id: each is run through the suffix automaton
 documents' segments, spans whose match is at least ``window`` words long are removed, and then the
 segment joins the automaton.
 
+Segments that equal a smaller document's are lost whole. Frequent ones, of which there are at most
+``FREQUENT_LIST``, are sent to all tasks with their first document and looked up in the documents' lists
+of segments; the others are joined. So what many documents share makes one row per document.
+
 Documents whose words all equal those of a smaller document lose all words (if they have a window)
 and take no further part.
 """
@@ -26,7 +30,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stage, with_ids, without_ids
@@ -35,6 +40,9 @@ from .words import mix, shingles, slices, words
 WINDOW, GRAM = 50, 10
 #: Words of distinct segments that one automaton may take.
 HOT_WORDS = 200_000
+#: Occurrences from which a segment is frequent, and the most frequent ones that are sent to all tasks
+#: (16 bytes each; a corpus of more segments needs more occurrences, so that there cannot be more).
+FREQUENT, FREQUENT_LIST = 64, 500_000
 
 
 class SuffixAutomaton:
@@ -270,7 +278,7 @@ def _shards(survey: DataFrame, copies: DataFrame, window: int) -> tuple[DataFram
     """Segments of each document, distinct segments, and the shards that more than one document uses."""
     own = without_ids(survey.where(f"doc_id is not null and n_words >= {window}").select("doc_id", "keys", "contents", "sizes"), copies)
     used = own.select("doc_id", F.explode(F.arrays_zip("keys", "contents", "sizes")).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.contents").alias("content"), F.col("s.sizes").alias("size"))
-    distinct = used.groupBy("key", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("size").alias("size"))
+    distinct = used.groupBy("key", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     by_shard = stage(distinct, "segments")
     shards = by_shard.groupBy("key").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).where("lo < hi")
     return used.drop("size"), by_shard, shards
@@ -280,6 +288,31 @@ def _too_large(shards: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in shards.where(F.col("words") > HOT_WORDS).select("key").collect()], np.int64).view(np.uint64))
 
 
+def _frequent(by_shard: DataFrame) -> tuple[Column, pa.Table]:
+    """Which rows of ``by_shard`` are frequent, and their contents and first documents, by content."""
+    rows = by_shard.agg(F.sum("rows")).first()[0] or 0
+    frequent = (F.col("rows") >= max(FREQUENT, -(-rows // FREQUENT_LIST))) & (F.col("first") < F.col("last"))
+    return frequent, by_shard.where(frequent).select("content", "first").toArrow().sort_by("content")
+
+
+def _frequent_losses(survey: DataFrame, table: pa.Table) -> DataFrame:
+    """``doc_id, contents`` of documents with frequent segments that a smaller document has."""
+    sent = survey.sparkSession.sparkContext.broadcast((table["content"].to_numpy(), table["first"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content, first = sent.value
+        for batch in batches:
+            own, sizes = batch.column(1).flatten(), pc.list_value_length(batch.column(1)).to_numpy()
+            at = np.minimum(np.searchsorted(content, own.to_numpy()), len(content) - 1)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            hit = (content[at] == own.to_numpy()) & (first[at] < batch.column(0).to_numpy()[row])
+            docs, counts = np.unique(row[hit], return_counts=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.ListArray.from_arrays(offsets, own.filter(pa.array(hit)))], ["doc_id", "contents"])
+
+    return survey.select("doc_id", "contents").mapInArrow(run, "doc_id long, contents array<long>")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by a blank).
 
@@ -314,14 +347,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     matched = stage(_match(ordered, window), "matched")
 
     # what each document loses: whole segments that a smaller document has, else the matched spans
-    first_only = matched.where(F.length("spans") > 0).select(F.col("first").alias("doc_id"), "content", "spans")
-    whole = (
-        used.join(shared.where("first < last").select("key", "content", "first"), ["key", "content"]).where("doc_id > first")
-        .select("doc_id", "content", F.lit(None).cast("binary").alias("spans")).distinct()
-    )
+    frequent, table = _frequent(by_shard)
+    first_only = matched.where(F.length("spans") > 0).select(F.col("first").alias("doc_id"), F.array("content").alias("contents"), F.array("spans").alias("spans"))
+    rare = shared.where(F.col("first") < F.col("last")).where(~frequent).select("key", "content", "first")
+    whole = used.join(rare, ["key", "content"]).where("doc_id > first").select("doc_id", F.array("content").alias("contents"))
+    if table.num_rows:
+        own = without_ids(survey.where(f"doc_id is not null and n_words >= {window}").select("doc_id", "contents"), copies)
+        whole = whole.unionByName(_frequent_losses(own, table))
+    lost = whole.select("doc_id", "contents", F.transform("contents", lambda _: F.lit(None).cast("binary")).alias("spans")).unionByName(first_only)
     losses = stage(
-        whole.unionByName(first_only).groupBy("doc_id").agg(F.collect_list(F.struct("content", "spans")).alias("lost"))
-        .select("doc_id", F.col("lost.content").alias("contents"), F.col("lost.spans").alias("spans")), "losses",
+        lost.groupBy("doc_id").agg(F.collect_set(F.struct("contents", "spans")).alias("lost"))
+        .select("doc_id", F.flatten("lost.contents").alias("contents"), F.flatten("lost.spans").alias("spans")), "losses",
     )
     empty = [F.lit(None).cast("array<long>").alias("contents"), F.lit(None).cast("array<binary>").alias("spans")]
     rest = without_ids(rows, copies)

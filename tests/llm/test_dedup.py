@@ -297,8 +297,8 @@ def test_substring_dedup(docs, rows, window, gram):
     assert got == substring_want(rows, window)
 
 
-@pytest.mark.parametrize("window, gram", [(50, 10), (12, 5)])
-def test_substring_hot_passage(spark, docs, rows, window, gram, monkeypatch):
+@pytest.mark.parametrize("window, gram, frequent", [(50, 10, 64), (50, 10, 3), (12, 5, 3)])
+def test_substring_hot_passage(spark, docs, rows, window, gram, frequent, monkeypatch):
     """A passage in most documents, each time between other words, doesn't meet in one automaton."""
     module = sys.modules["feedback_points.llm.substring_dedup"]
     rng = np.random.default_rng(5)
@@ -319,6 +319,7 @@ def test_substring_hot_passage(spark, docs, rows, window, gram, monkeypatch):
 
     monkeypatch.setattr(module, "_match", match)
     monkeypatch.setattr(module, "HOT_WORDS", 1000, raising=False)
+    monkeypatch.setattr(module, "FREQUENT", frequent)
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(both, window=window, gram=gram).collect()}
     assert got == substring_want(rows + more, window)
