@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_digest
 from .common import stage_path
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import line_digest, line_groups
 from .near_dedup import near_groups
 from .packing import pack
+from .pieces import piece_decode, piece_digest, piece_encode
 from .pii import find_pii, pii_digest
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .token_store import read_token_shards, token_digest, write_token_shards
 from .url_filter import url_filter
+from .whitening import whiten
 
 #: The rules that the url query applies.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -77,6 +80,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(_table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    return piece_digest(piece_decode(piece_encode(_table(spark, sf_dir, "documents"), model), model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_near_dedup": op2_near_dedup,
@@ -88,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
+    "op13_pieces": op13_pieces,
 }
 
 _SPANS = """list_transform(list_transform(range(1, len({k}_v) + 1), lambda i: struct_pack(

@@ -2,22 +2,24 @@
 
 A byte-level BPE vocabulary encodes each pre-token by itself, so equal pre-tokens have equal ids. A
 worker splits a slice of texts into pre-tokens with numpy, looks them up in a table of pre-tokens met
-before by a 64-bit hash of their bytes (see ``hash_runs``), and calls the library for new ones only. Texts
-that hold the string of an added (special) token, and texts with code points outside ``_STABLE``
-(whose classes may depend on a Unicode version), are encoded by the library as a whole.
+before by a 64-bit hash of their bytes (see ``hash_runs``), compares their bytes, and calls the library for
+new ones only. Texts that hold a pre-token whose hash is another's, or the string of an added (special)
+token, and texts with code points outside ``_STABLE`` (whose classes may depend on a Unicode version), are
+encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-from .words import hash_runs, slices
+from .words import hash_runs, same_runs, slices
 
 END_ID = 2
-#: Pre-tokens that a worker remembers; at that many it starts anew.
+#: Strings that a worker remembers the ids of; at that many it starts anew.
 MAX_PIECES = 1 << 20
 
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNSURE = range(5)
@@ -36,25 +38,67 @@ def _classes() -> np.ndarray:
     return out
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __missing__(self, string: str) -> int:
+        self[string] = number = len(self)
+        return number
+
+
+class Memory:
+    """Ids of strings met before; ``learn`` gives the ids of new strings, put together, and the number of each."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.first = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings, and the number of each string's."""
+        if len(self.numbers) > MAX_PIECES:
+            self._clear()
+        known = len(self.numbers)
+        number = np.fromiter(map(self.numbers.__getitem__, strings), np.int64, len(strings))
+        if len(self.numbers) > known:
+            new = np.flatnonzero(number >= known)
+            _, one = np.unique(number[new], return_index=True)
+            ids, counts = self.learn([strings[k] for k in new[one].tolist()])
+            self.flat = np.concatenate([self.flat, ids])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+        lengths = self.first[number + 1] - self.first[number]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.first[number] - (ends - lengths), lengths)], lengths
+
+
 class Encoder:
-    """Ids of whole texts; one per worker and vocabulary."""
+    """Ids of whole texts; one per worker and vocabulary.
+
+    With ``plain``, the strings of added tokens are ordinary text.
+    """
 
-    _made: dict[str, "Encoder"] = {}
+    _made: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self._clear()
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, plain: bool = False) -> "Encoder":
+        if (path, plain) not in cls._made:
+            cls._made[path, plain] = cls(path, plain)
+        return cls._made[path, plain]
 
     def _clear(self) -> None:
         self.slots = np.zeros(1 << 18, np.uint64)
@@ -62,6 +106,8 @@ class Encoder:
         self.known = np.zeros(0, np.uint64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.raw = np.zeros(8, np.uint8)  # bytes of the known pre-tokens, and eight more
+        self.raw_first = np.zeros(1, np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each pre-token, -1 where it is new."""
@@ -97,6 +143,8 @@ class Encoder:
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         number = np.arange(len(self.known), len(self.known) + len(h), dtype=np.int32)
         self.known = np.concatenate([self.known, h])
+        self.raw = np.concatenate([self.raw[:-8], np.frombuffer("".join(strings).encode() + bytes(8), np.uint8)])
+        self.raw_first = np.concatenate([self.raw_first, self.raw_first[-1] + np.cumsum([len(x.encode()) for x in strings])])
         if 2 * len(self.known) > len(self.slots):
             size = len(self.slots)
             while 2 * len(self.known) > size:
@@ -171,7 +219,10 @@ class Encoder:
         ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.first[number] - (ends - lengths), lengths)]
         before = np.concatenate([[0], ends])
         counts = np.diff(before[np.searchsorted(first, at)])
-        unsure = np.concatenate([np.flatnonzero(kind == _UNSURE), head[self._added(data)]])
+        other = self.raw_first[number]
+        clash = self.raw_first[number + 1] - other != n_bytes
+        clash |= ~same_runs(data, begin, np.where(clash, 0, n_bytes), self.raw, other)
+        unsure = np.concatenate([np.flatnonzero(kind == _UNSURE), head[self._added(data)], first[clash]])
         unsure = np.unique(np.searchsorted(at, unsure, "right") - 1)
         if len(unsure):
             parts = np.split(ids, np.cumsum(counts)[:-1])

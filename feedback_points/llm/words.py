@@ -33,26 +33,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def hash_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of bytes, taken eight bytes at a time.
 
-    Each step is a one-to-one scramble, so equal-sized runs of up to eight bytes never collide, and no
-    sum over places can cancel out as in a polynomial hash.
+    Runs of up to eight bytes take one-to-one steps, so those of one size never collide. Longer ones go through
+    two chains, which are put together last: a step of one chain can be turned back, but runs that meet in
+    one still differ in the other, so a collision takes a search among about 2**32 runs.
     """
     out = mix(size.astype(np.uint64) * _STEPS[2] + _STEPS[seed])
     if not len(size):
         return out
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    eight = _eights(data)
     out = mix((out ^ (eight[begin] & _FIRST[np.minimum(size, 8)])) * _STEPS[4])
     for i in np.flatnonzero(size > LONG_RUN).tolist():
         run = data[begin[i] : begin[i] + size[i]].tobytes()
         out[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     live, done = np.flatnonzero((size > 8) & (size <= LONG_RUN)), 8
+    if len(live):
+        at, rest = begin[live], size[live]
+        one, two = out[live], mix(eight[at] * _STEPS[5] + _STEPS[6])
+        while len(at):
+            word = eight[at + done] & _FIRST[np.minimum(rest - done, 8)]
+            one, two = mix((one ^ word) * _STEPS[4]), mix((two + word) * _STEPS[7])
+            out[live] = mix(one + (two << np.uint64(17) | two >> np.uint64(47)))
+            done += 8
+            more = rest > done
+            live, at, rest, one, two = live[more], at[more], rest[more], one[more], two[more]
+    return out
+
+
+def same_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each run of ``data`` equals that of the same size in ``other`` (with eight bytes to spare)."""
+    a, b = _eights(data), np.ndarray(len(other) - 7, "<u8", np.ascontiguousarray(other), strides=(1,))
+    out = (a[begin] ^ b[at]) & _FIRST[np.minimum(size, 8)] == 0
+    live, done = np.flatnonzero(size > 8), 8
     while len(live):
-        rest = size[live] - done
-        out[live] = mix((out[live] ^ (eight[begin[live] + done] & _FIRST[np.minimum(rest, 8)])) * _STEPS[4])
-        live, done = live[rest > 8], done + 8
+        out[live] &= (a[begin[live] + done] ^ b[at[live] + done]) & _FIRST[np.minimum(size[live] - done, 8)] == 0
+        done += 8
+        live = live[size[live] > done]
     return out
 
 
