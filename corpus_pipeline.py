@@ -4,26 +4,27 @@ Each stage works on all documents that its predecessor kept. Stages are function
 (spark, docs, sf_dir); all but the last return the columns of ``documents``, the last returns the
 pieces of packed sequences. Documents whose text is null or empty are judged like any other: the
 classifier scores them as texts without features, they are exact copies of each other, have no
-near copies or leaks, and are packed as the end id alone.
+near copies or leaks, and are packed as the end id alone. Rows that repeat an id are judged one by one;
+rows with a null id go through all stages but exact dedup unchanged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedback_points.llm.common import stage, without_ids
+from feedback_points.llm.common import stage
 from feedback_points.llm.decontaminate import decontaminate
 from feedback_points.llm.exact_dedup import exact_dedup
 from feedback_points.llm.near_dedup import near_dedup
 from feedback_points.llm.packing import pack
-from feedback_points.llm.quality import quality_scores
+from feedback_points.llm.quality import quality_filter
 from feedback_points.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without_ids(docs, quality_scores(docs, labels).where("predicted = 0"))
+    return quality_filter(docs, labels)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, without_ids
+from .common import bounded_batches, row_keys, stage, without_ids
 from .words import distinct_sets, mix, shingles, slices, words
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -166,6 +166,10 @@ def _search(docs: DataFrame, id_col: str, text_col: str, ids: list, texts: list,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; see :func:`contaminated`."""
-    found = stage(contaminated(docs, benchmark, id_col, text_col, **options).select("doc_id"), "leaks")
-    return without_ids(docs, found.withColumnRenamed("doc_id", id_col), id_col)
+    """``docs`` without the documents that hold a benchmark item; see :func:`contaminated`.
+
+    Rows are judged one by one, also where they repeat an id; rows with a null id stay.
+    """
+    rows, key = row_keys(docs, id_col)
+    found = stage(contaminated(rows, benchmark, key, text_col, **options).select("doc_id"), "leaks")
+    return without_ids(rows, found.withColumnRenamed("doc_id", key), key).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, with_ids, without_ids
+from .common import bounded_batches, row_keys, stage, with_ids, without_ids
 from .linking import link_components
 from .words import distinct_sets, mix, shingles, slices, words
 
@@ -257,6 +257,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies; see :func:`near_groups`."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    return without_ids(docs, groups.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)), id_col)
+    """``docs`` with one document of each group of near copies; see :func:`near_groups`.
+
+    Rows are judged one by one, also where they repeat an id: the one with the smallest id of a group stays, any one of
+    those that share it. Rows with a null id or without words stay.
+    """
+    rows, key = row_keys(docs, id_col)
+    groups = near_groups(rows, key, text_col, **options)
+    return without_ids(rows, groups.where(~F.col("kept")).select(F.col("doc_id").alias(key)), key).select(*docs.columns)

@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +64,12 @@ class PieceEncoder:
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.piece)]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.number.items():
-            self.automaton.add_word(p, (len(p), i))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = [len(p) for p in self.piece]
+        # the longest piece that begins each piece and is shorter
+        self.shorter = [next((self.number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.number), -1) for p in self.piece]
+        self.fits: dict[int, bool] = {}  # by the ids of both
         inner = any(BLANK in p.lstrip(BLANK) for p in self.number)
         self.cut = re.compile(".+" if inner else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.DOTALL)
         self.memory = Memory(self._learn)
@@ -94,37 +99,38 @@ class PieceEncoder:
         want = [self.piece[piece]] if before < 0 else [self.piece[before], self.piece[piece]]
         if len(self.fits) >= MAX_PAIRS:
             self.fits.clear()
-        known = self.fits[before, piece] = self._merged("".join(want)) == want
+        known = self.fits[before << 32 | piece] = self._merged("".join(want)) == want
         return known
 
     def _backtrack(self, string: str) -> list[int]:
         """Ids of a string of known characters."""
-        starts: list[list[tuple[int, int]]] = [[] for _ in string]
-        for end, found in self.automaton.iter(string):
-            starts[end + 1 - found[0]].append(found)  # by ascending length, as ends ascend
-        failed, fits = bytearray(len(string) // 8 + 1), self.fits.get
-        path: list[tuple[int, int]] = []
-        at, k = 0, len(starts[0]) - 1 if starts else -1
-        while at < len(string):
-            before = path[-1][0] if path else -1
-            while k >= 0:
-                size, piece = starts[at][k]
-                end = at + size
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    known = fits((before, piece))
+        n, size, shorter, fits = len(string), self.size, self.shorter, self.fits.get
+        longest = [-1] * n
+        for end, piece in self.automaton.iter(string):
+            longest[end + 1 - size[piece]] = piece  # ends ascend, so the longest one stays
+        failed, any_failed = bytearray(n // 8 + 1), False
+        path: list[int] = []
+        at, before, piece = 0, -1, longest[0] if n else -1
+        while at < n:
+            while piece >= 0:
+                end = at + size[piece]
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    known = fits(before << 32 | piece)
                     if known or known is None and self._fits(before, piece):
                         break
-                k -= 1
-            if k >= 0:
-                path.append((piece, k))
-                at = end
-                k = len(starts[at]) - 1 if at < len(string) else -1
+                piece = shorter[piece]
+            if piece >= 0:
+                path.append(piece)
+                at, before = end, piece
+                piece = longest[at] if at < n else -1
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                piece, k = path.pop()
-                at -= len(self.piece[piece])
-                k -= 1
-        return [piece for piece, _ in path]
+                any_failed = True
+                piece = path.pop()
+                at -= size[piece]
+                before = path[-1] if path else -1
+                piece = shorter[piece]
+        return path
 
     def _chunk(self, string: str) -> list[int]:
         if self.single.issuperset(string):
@@ -173,6 +179,13 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield i, j, [text[a:b].decode("utf-8") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+@cache
+def _decoder(model: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model)
+
+
 def piece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` for every row: the ids that the library gives for the whole text.
 
@@ -196,10 +209,12 @@ def piece_decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` (``doc_id, ids``) with the library's text for each list of ids; a null list has an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = PieceEncoder.of(model).processor
+        processor = _decoder(model)
         for batch in batches:
-            texts = [processor.decode(ids.as_py() or []) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist()
+            texts = [processor.decode(flat[i:j].tolist()) for i, j in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, bounded_batches, stage
+from .common import BROADCAST_IDS, bounded_batches, row_keys, stage, without_ids
 from .words import mix, slices, words
 
 DIM_BITS = 18
@@ -216,8 +216,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted``.
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects, judged one by one by their texts; rows with a null id stay."""
+    rows, key = row_keys(docs, id_col)
+    scores = quality_scores(rows, labels, id_col, text_col, row_col=key, **options)
+    return without_ids(rows, scores.where("predicted = 0").withColumnRenamed("doc_id", key), key).select(*docs.columns)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_FIT_ROWS, row_col: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id, held_out, score, predicted``; with ``row_col``, that column's value stands for the id.
 
     Labels, language, source and id are no features. Rows with several labels count once each;
     null ids, labels or texts take no part in learning (a null text is scored like an empty one).
@@ -228,6 +235,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).where("text is not null")
     labelled = texts.join(learn, "__id").select(F.col("__id").alias("doc_id"), "text", "label")
     model = fit(labelled, max_rows=max_rows)
-    return score(docs, model, id_col, text_col).select(
+    return score(docs, model, row_col or id_col, text_col).select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

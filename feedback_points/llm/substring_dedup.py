@@ -324,9 +324,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = stage(_survey(rows, window, gram), "survey")
     owners = survey.where(f"doc_id is not null and n_words >= {window}").groupBy("print").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    copies = stage(
-        survey.where(f"doc_id is not null and n_words >= {window}").join(owners.where("owner < last"), "print").where("doc_id > owner").select("doc_id", "n_words"), "copies",
-    )
+    # an id of several rows takes the usual way, since what is said of one row does not hold for the others
+    several = survey.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    copied = survey.where(f"doc_id is not null and n_words >= {window}").join(owners.where("owner < last"), "print").where("doc_id > owner").select("doc_id", "n_words")
+    copies = stage(copied.join(several, "doc_id", "left_anti"), "copies")
     used, by_shard, shards = _shards(survey, copies, window)
     # each has more than HOT_WORDS words, so the lists are short beside the corpus
     grams = _too_large(shards)

@@ -19,8 +19,8 @@ import pyarrow as pa
 from .words import hash_runs, same_runs, slices
 
 END_ID = 2
-#: Strings that a worker remembers the ids of; at that many it starts anew.
-MAX_PIECES = 1 << 20
+#: Pre-tokens, and other strings, that a worker remembers the ids of; at that many it starts anew.
+MAX_PIECES, MAX_STRINGS = 1 << 20, 3 << 18
 
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNSURE = range(5)
 #: Code points whose class is the same in all Unicode versions of the last decades.
@@ -47,7 +47,7 @@ class _Numbers(dict):
 
 
 class Memory:
-    """Ids of strings met before; ``learn`` gives the ids of new strings, put together, and the number of each."""
+    """Ids of up to ``MAX_STRINGS`` strings met before; ``learn`` gives the ids of new strings, put together, and the number of each."""
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.learn = learn
@@ -60,7 +60,7 @@ class Memory:
 
     def ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all strings, and the number of each string's."""
-        if len(self.numbers) > MAX_PIECES:
+        if len(self.numbers) > MAX_STRINGS:
             self._clear()
         known = len(self.numbers)
         number = np.fromiter(map(self.numbers.__getitem__, strings), np.int64, len(strings))

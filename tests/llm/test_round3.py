@@ -60,7 +60,7 @@ def test_pieces_backtrack_equals_merges(library):
 
 def test_pieces_with_small_tables(library, monkeypatch, rows):
     monkeypatch.setattr(pieces, "MAX_PAIRS", 5)
-    monkeypatch.setattr(tokens, "MAX_PIECES", 20)
+    monkeypatch.setattr(tokens, "MAX_STRINGS", 20)
     encoder, texts = PieceEncoder(PIECES), [t or "" for _, t in rows[:30]]
     for t in texts:
         assert encoder.encode([t])[0].tolist() == library.encode(t)
