@@ -22,6 +22,9 @@ END_ID = 2
 #: Pre-tokens, and other strings, that a worker remembers the ids of; at that many it starts anew.
 MAX_PIECES, MAX_STRINGS = 1 << 20, 3 << 18
 
+#: Pre-tokens that go to the library as one text.
+JOINED = 1000
+
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNSURE = range(5)
 #: Code points whose class is the same in all Unicode versions of the last decades.
 _STABLE = [(0, 0x250), (0x2000, 0x2060)]
@@ -91,6 +94,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.added = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token, a character each
+        self.size[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.classes = _classes()
         self._clear()
 
@@ -136,10 +142,27 @@ class Encoder:
             left = left[self.slots[at[left]] != h[left]]
             at[left] = (at[left] + 1) & (size - 1)
 
+    def _ids_of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens by the library, and the number of each one's.
+
+        Those that are a blank and letters stay pre-tokens when they are put together, so they go as longer texts.
+        """
+        joins = np.array([x[0] == " " and x[1:].isalpha() for x in strings], bool)
+        counts = np.zeros(len(strings), np.int64)
+        words = [strings[k] for k in np.flatnonzero(joins).tolist()]
+        texts = ["".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        joined = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        ends = np.cumsum([len(x.encode()) for x in words])
+        counts[joins] = np.diff(np.searchsorted(np.cumsum(self.size[joined]), ends, "right"), prepend=0)
+        made = self.tokenizer.encode([strings[k] for k in np.flatnonzero(~joins).tolist()], is_pretokenized=True, add_special_tokens=False)
+        counts[~joins] = np.bincount(np.array(made.word_ids, np.int64), minlength=int((~joins).sum()))
+        ids, of_joined = np.zeros(int(counts.sum()), np.uint32), np.repeat(joins, counts)
+        ids[of_joined], ids[~of_joined] = joined, np.array(made.ids, np.uint32)
+        return ids, counts
+
     def _learn(self, h: np.ndarray, strings: list[str]) -> None:
-        made = self.tokenizer.encode(strings, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(strings))
-        self.ids = np.concatenate([self.ids, np.array(made.ids, np.uint32)])
+        ids, counts = self._ids_of(strings)
+        self.ids = np.concatenate([self.ids, ids])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         number = np.arange(len(self.known), len(self.known) + len(h), dtype=np.int32)
         self.known = np.concatenate([self.known, h])
