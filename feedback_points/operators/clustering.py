@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS
 from ..session import stage
+from . import hierarchy
 from .components import connected_components
+from .neighbours import similar_pairs
 from .report import cluster_size_stats
 from .vectors import centroids, confidence, knn_join, min_cluster_size, radius_join, reassign_outliers
 from .words import class_tfidf, npmi_by_topic, topic_diversity
@@ -28,30 +30,24 @@ def density_cluster(points: DataFrame, min_size: int, min_pts: int | None = None
     """
     min_pts = min_pts or min_size
     base = stage(points.select(F.col(form).cast("long").alias("form_id"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("embedding")), "cluster-points")
-    pairs, limits = pair_graph(base, [min_pts], eps)
-    return _clusters(base, _within(pairs, limits, min_pts), min_size, min_pts)
+    pairs, _ = pair_graph(base, min_pts, eps)
+    return _clusters(base, pairs, min_size, min_pts)
 
 
-def pair_graph(base: DataFrame, min_pts: list[int], eps: float | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs within the widest limit (staged), and the limit of each form and ``min_pts``; None where ``eps`` holds for all.
+def pair_graph(base: DataFrame, min_pts: int, eps: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs within each form's own limit, and the limits (``form_id, eps``); both staged.
 
-    The median is exact up to 10,000 points of a form, and within a ten-thousandth of ranks beyond.
+    Without ``eps`` a form's limit is the median distance to the ``min_pts``-th neighbour; the median is exact up to
+    10,000 points of a form, and within a ten-thousandth of ranks beyond.
     """
     if eps is not None:
-        return stage(radius_join(base, 1 - eps), "pairs"), None
-    kth = knn_join(base, max(min_pts)).where(F.col("place").isin(min_pts))
-    # euclidean distance d of unit vectors is a cosine distance of d*d/2
-    median = F.percentile_approx("distance", 0.5, 10_000)
-    limits = stage(kth.groupBy("form_id", F.col("place").alias("min_pts")).agg((median * median / 2).alias("eps")), "limits")
-    widest = limits.agg(F.max("eps")).first()[0]
-    return stage(radius_join(base, 1 - (widest or 0.0)), "pairs"), limits
-
-
-def _within(pairs: DataFrame, limits: DataFrame | None, min_pts: int) -> DataFrame:
-    if limits is None:
-        return pairs
-    own = limits.where(F.col("min_pts") == min_pts).select("form_id", "eps")
-    return stage(pairs.join(own, "form_id").where(1 - F.col("similarity") <= F.col("eps") + 1e-12).drop("eps"), "near-pairs")
+        limits = stage(base.select("form_id").distinct().withColumn("eps", F.lit(float(eps))), "limits")
+    else:
+        kth = knn_join(base, min_pts).where(F.col("place") == min_pts)
+        # euclidean distance d of unit vectors is a cosine distance of d*d/2
+        median = F.percentile_approx("distance", 0.5, 10_000)
+        limits = stage(kth.groupBy("form_id").agg((median * median / 2).alias("eps")), "limits")
+    return stage(radius_join(base, limits=limits.select("form_id", (1 - F.col("eps")).alias("limit"))), "pairs"), limits
 
 
 def _clusters(base: DataFrame, pairs: DataFrame, min_size: int, min_pts: int) -> DataFrame:
@@ -81,14 +77,18 @@ def topic_keys(labels: DataFrame) -> DataFrame:
     return labels.select("form_id", "id", F.when(F.col("label") >= 0, F.col("label").cast("string")).alias("topic_key"))
 
 
-def merge_near_duplicates(assignments: DataFrame, threshold: float = DEFAULTS.near_duplicate, pairs: DataFrame | None = None) -> DataFrame:
+def merge_near_duplicates(assignments: DataFrame, threshold: float = DEFAULTS.near_duplicate, pairs: DataFrame | None = None, index: bool = False) -> DataFrame:
     """Each group of near-identical points moves to the topic of its surest assigned member.
 
     ``assignments`` has form_id, id, embedding, topic_key (null: outlier), confidence. Groups are
     transitive; on equal confidence the smallest id decides; groups of outliers alone stay out.
-    Moved members keep their confidence, rescued outliers get 0.0. Adds ``moved``.
+    Moved members keep their confidence, rescued outliers get 0.0. Adds ``moved``. With ``index``, pairs come from
+    :func:`.neighbours.similar_pairs`, for forms whose vectors are too many to be compared each with each.
     """
-    found = radius_join(assignments, threshold) if pairs is None else pairs.where(F.col("similarity") >= threshold)
+    if pairs is not None:
+        found = pairs.where(F.col("similarity") >= threshold)
+    else:
+        found = similar_pairs(assignments, threshold) if index else radius_join(assignments, threshold)
     groups = connected_components(found)
     member = assignments.join(groups, "id", "left")
     home = (
@@ -135,31 +135,52 @@ def split_large_topics(assignments: DataFrame, min_size: int, min_pts: int | Non
     return out.withColumn("__parts", parts).withColumn("__rest", rest).withColumn("topic_key", key).select(*assignments.columns)
 
 
-def sweep_sizes(n: int, ratios: tuple[float, ...] = (0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1)) -> list[int]:
-    """Candidate group sizes for n points."""
-    return [m for m in sorted({max(2, round(n * r)) for r in ratios}) if m < n // 2]
+#: Shares of the points that a sweep tries as least sizes of a group.
+SWEEP_RATIOS = (0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1)
+
 
+def sweep_sizes(n: Column, ratios: tuple[float, ...] = SWEEP_RATIOS) -> Column:
+    """Candidate sizes for n points, ascending: at least 2, below half of the points."""
+    sizes = F.array(*[F.greatest(F.lit(2), F.bround(n * F.lit(r)).cast("int")) for r in ratios])
+    return F.filter(F.array_sort(F.array_distinct(sizes)), lambda m: m < F.floor(n / 2))
 
-def parameter_sweep(points: DataFrame, sizes: list[int], eps: float | None = None, text: str = "point_text", k: int = 10) -> DataFrame:
+
+def parameter_sweep(points: DataFrame, sizes: list[int] | None = None, min_pts: int = DEFAULTS.knn, eps: float | None = None, text: str = "point_text", k: int = 10) -> DataFrame:
     """For each form and candidate size: ``n, topics, outlier_before, outlier_rate, largest_share, median_size, npmi, diversity``.
 
-    ``outlier_before`` is the rate before outliers join the topic with the nearest mean, the rest is
-    measured after that. Words of topics are their ``k`` first by class-based tf-idf; ``npmi`` is the mean over
-    topics, null where none has two words. All sizes share one graph of pairs.
+    Without ``sizes`` a form tries those of :func:`sweep_sizes`. All of them condense one spanning forest, cut at the form's
+    limit (see :func:`pair_graph`): groups of fewer points are noise. ``outlier_before`` is the rate before outliers join the
+    topic with the nearest mean, the rest is measured after that. Words of topics are their ``k`` first by class-based
+    tf-idf; ``npmi`` is the mean over topics, null where none has two words. A size without topics has all points as outliers.
     """
     base = stage(points.select(F.col("form_id").cast("long").alias("form_id"), F.col("id").cast("long").alias("id"), "embedding", F.col(text).alias("text")), "sweep-points")
-    pairs, limits = pair_graph(base, sizes, eps)
-    out = None
-    for m in sizes:
-        keys = stage(topic_keys(_clusters(base, _within(pairs, limits, m), m, m)), "sweep-keys")
-        before = keys.groupBy("form_id").agg(F.round(F.avg(F.col("topic_key").isNull().cast("double")), 6).alias("outlier_before"))
-        kept = stage(reassign_outliers(base.join(keys, ["form_id", "id"])), "sweep-labels")
-        top = stage(class_tfidf(kept.where("topic_key is not null"), "topic_key", k, form="form_id"), "sweep-words")
-        coherence = npmi_by_topic(top, base, "topic_key", k=k, form="form_id").groupBy("form_id").agg(F.avg("npmi").alias("npmi"))
-        stats = cluster_size_stats(kept, ["form_id"]).join(before, "form_id").join(coherence, "form_id", "left").join(topic_diversity(top, k, "form_id"), "form_id", "left")
-        stats = stage(stats.withColumn("min_size", F.lit(m)), "sweep-row")
-        out = stats if out is None else out.unionByName(stats)
-    return out
+    tried = base.groupBy("form_id").agg(F.count(F.lit(1)).alias("n")).withColumn("sizes", F.array(*map(F.lit, sizes)) if sizes else sweep_sizes(F.col("n")))
+    tried = stage(tried.select("form_id", F.explode(F.col("sizes").cast("array<int>")).alias("min_size")), "sweep-sizes")
+    keys = stage(sweep_keys(base, tried, min_pts, eps), "sweep-keys")
+    before = keys.groupBy("form_id", "min_size").agg(F.round(F.avg(F.col("topic_key").isNull().cast("double")), 6).alias("outlier_before"))
+    # from here on a form at a size is a form of its own
+    runs = stage(stage(tried, "runs").withColumn("run", F.monotonically_increasing_id()), "runs")
+    own = keys.join(runs, ["form_id", "min_size"]).join(base, ["form_id", "id"])
+    kept = stage(reassign_outliers(own.select(F.col("run").alias("form_id"), "id", "topic_key", "embedding", "text")).drop("rescued", "embedding"), "sweep-labels")
+    top = stage(class_tfidf(kept.where("topic_key is not null"), "topic_key", k, form="form_id"), "sweep-words")
+    coherence = npmi_by_topic(top, kept, "topic_key", k=k, form="form_id").groupBy("form_id").agg(F.avg("npmi").alias("npmi"))
+    stats = cluster_size_stats(kept, ["form_id"]).join(coherence, "form_id", "left").join(topic_diversity(top, k, "form_id"), "form_id", "left")
+    named = stats.withColumnRenamed("form_id", "run").join(runs, "run").join(before, ["form_id", "min_size"])
+    return named.select("form_id", "min_size", "n", "topics", "outlier_before", "outlier_rate", "largest_share", "median_size", "npmi", "diversity")
+
+
+def sweep_keys(base: DataFrame, tried: DataFrame, min_pts: int, eps: float | None = None) -> DataFrame:
+    """``form_id, min_size, id, topic_key`` of all points at each tried size (``form_id, min_size``); noise has no key."""
+    pairs, limits = pair_graph(base.select("form_id", "id", "embedding"), min_pts, eps)
+    cores = stage(hierarchy.core_distances(pairs, min_pts).join(base.select("form_id", "id"), "id"), "core-distances")
+    forest = hierarchy.spanning_forest(hierarchy.reachability(pairs, cores.select("id", "core")))
+    one = limits.select("form_id", F.lit(0).alias("limit_no"), "eps")
+    member = stage(hierarchy.with_border(stage(hierarchy.cut_forest(forest, cores, one), "cut"), pairs, one), "members")
+    sized = member.groupBy("form_id", "component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+    large = tried.join(sized, "form_id").where("size >= min_size")
+    numbered = large.withColumn("topic_key", (F.row_number().over(Window.partitionBy("form_id", "min_size").orderBy("first")) - 1).cast("string"))
+    keyed = member.select("form_id", "id", "component").join(numbered.select("form_id", "min_size", "component", "topic_key"), ["form_id", "component"]).select("form_id", "min_size", "id", "topic_key")
+    return base.select("form_id", "id").join(tried, "form_id").join(keyed, ["form_id", "min_size", "id"], "left").select("form_id", "min_size", "id", "topic_key")
 
 
 def knn_purity(points: DataFrame, labels: DataFrame, k: int = DEFAULTS.knn) -> DataFrame:
@@ -187,4 +208,4 @@ def growth_curve(prefixes: DataFrame, min_size: int, k: int = DEFAULTS.knn, eps:
     return out.drop("form_id")
 
 
-__all__ = ["centroids", "confidence", "density_cluster", "growth_curve", "knn_purity", "merge_near_duplicates", "min_cluster_size", "pair_graph", "parameter_sweep", "partition_cluster", "split_large_topics", "sweep_sizes", "topic_keys", "touched_topics"]
+__all__ = ["centroids", "confidence", "density_cluster", "growth_curve", "knn_purity", "merge_near_duplicates", "min_cluster_size", "pair_graph", "parameter_sweep", "partition_cluster", "split_large_topics", "sweep_keys", "sweep_sizes", "topic_keys", "touched_topics"]

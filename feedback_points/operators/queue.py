@@ -80,6 +80,12 @@ def all_decomposed(answers: DataFrame, ids: DataFrame) -> bool:
     return answers.where("decomposed_at is null").join(ids.select("id"), "id", "left_semi").isEmpty()
 
 
+def decomposed_lists(answers: DataFrame, lists: DataFrame) -> DataFrame:
+    """The check of :func:`all_decomposed` for many lists at once: ``list_id, all_decomposed`` for every list of ``list_id, id``."""
+    unread = answers.where("decomposed_at is null").select("id").withColumn("__unread", F.lit(True))
+    return lists.join(unread, "id", "left").groupBy("list_id").agg((F.count("__unread") == 0).alias("all_decomposed"))
+
+
 def base_id(column: str | Column) -> Column:
     """The part of a queue id before ``#``."""
     return F.split(column if isinstance(column, Column) else F.col(column), "#")[0]

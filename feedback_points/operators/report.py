@@ -140,10 +140,12 @@ def label_crosstab(df: DataFrame, label: str = "has_multiple_points", derived: s
 
 
 def split_quality_summary(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Means of the split measures; nulls are left out of each mean."""
+    """Means of the split measures, and of the seconds a request took (``latency_s``) where they are known; nulls are left out
+    of each mean."""
     mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 3).alias(c)
+    latency = ["latency_s"] if "latency_s" in scores.columns else []
     return scores.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[mean(c) for c in ("pred_n", "count_exact", "over_split", "under_split", "coverage", "fidelity", "pronoun_rate")],
+        F.count(F.lit(1)).alias("n"), *[mean(c) for c in ("pred_n", "count_exact", "over_split", "under_split", "coverage", "fidelity", "pronoun_rate", *latency)],
         F.round(F.avg((F.col("status") == "parse_error").cast("double")), 3).alias("parse_error_rate"),
     )
 

@@ -89,7 +89,7 @@ def best_violation(scores: Column, categories: dict[str, str], threshold: float
 
     ``categories`` names each act's category (none where it is not listed). Without scores: 0, false, none.
     """
-    table = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair]) if categories else F.create_map().cast("map<string,string>")
     ranked = F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("act"))))
     best = F.get(ranked, F.lit(0))
     score = F.coalesce(-best["s"], F.lit(0.0))
@@ -107,28 +107,38 @@ def toxicity_flag(scores: Column, threshold: float = DEFAULTS.toxicity) -> Colum
     return F.coalesce(F.array_max(F.map_values(scores)) >= threshold, F.lit(False))
 
 
-def _labels(points: DataFrame, sentiment: Callable[[], Scorer], violation: Callable[[], Scorer]) -> DataFrame:
+def _labels(points: DataFrame, sentiment: Callable[[], Scorer] | None, violation: Callable[[], Scorer], categories: dict[str, str], threshold: float) -> DataFrame:
     """``id, sentiment_label, violation_status, violation_type``; the scorers give a label and a map of scores."""
-    scored = score_distinct(points.select("id", "point_text"), sentiment, "string", out="__sentiment")
+    scored = points.select("id", "point_text").withColumn("__sentiment", F.lit(None).cast("string"))
+    if sentiment is not None:
+        scored = score_distinct(points.select("id", "point_text"), sentiment, "string", out="__sentiment")
     scored = score_distinct(scored, violation, "map<string,double>", out="__scores")
-    best = best_violation(F.col("__scores"))
+    best = best_violation(F.col("__scores"), categories, threshold)
     return scored.withColumn("__best", best).select(
         "id", sentiment_label(F.col("__sentiment")).alias("sentiment_label"), violation_status(F.col("__best.score"), F.col("__best.flagged")).alias("violation_status"), F.col("__best.category").alias("violation_type"),
     )
 
 
-def relabel(points: DataFrame, answers: DataFrame, submissions: DataFrame, sentiment: Callable[[], Scorer], violation: Callable[[], Scorer], form_ids: list[int] | None = None) -> DataFrame:
-    """Points with fresh labels for those that have an embedding; labels are overwritten even by nulls."""
-    return update_point_labels(points, _labels(points_for_relabel(points, answers, submissions, form_ids), sentiment, violation))
+def relabel(
+    points: DataFrame, answers: DataFrame, submissions: DataFrame, sentiment: Callable[[], Scorer], violation: Callable[[], Scorer], categories: dict[str, str], form_ids: list[int] | None = None, threshold: float = DEFAULTS.violation_flag,
+) -> DataFrame:
+    """Points with fresh labels for those that have an embedding; labels are overwritten even by nulls.
+
+    ``categories`` names the category of each act that ``violation`` scores.
+    """
+    return update_point_labels(points, _labels(points_for_relabel(points, answers, submissions, form_ids), sentiment, violation, categories, threshold))
 
 
-def backfill(points: DataFrame, answers: DataFrame, submissions: DataFrame, sentiment: Callable[[], Scorer] | None, violation: Callable[[], Scorer], encoder: Callable[[], Scorer] | None = None, form_ids: list[int] | None = None) -> DataFrame:
+def backfill(
+    points: DataFrame, answers: DataFrame, submissions: DataFrame, sentiment: Callable[[], Scorer] | None, violation: Callable[[], Scorer], categories: dict[str, str] | None = None,
+    encoder: Callable[[], Scorer] | None = None, form_ids: list[int] | None = None, threshold: float = DEFAULTS.violation_flag,
+) -> DataFrame:
     """Points with features where the embedding was missing; those become pending. Without a
     sentiment scorer both labels stay null."""
     missing = points_missing_features(points, answers, submissions, form_ids)
     new = embed(missing.select("id", "point_text"), encoder)
     if sentiment is not None:
-        new = new.join(_labels(missing, sentiment, violation), "id")
+        new = new.join(_labels(missing, sentiment, violation, categories or {}, threshold), "id")
     updated = update_point_features(points, new)
     hit = missing.select(F.col("id").alias("__id"))
     return updated.join(hit, F.col("id") == F.col("__id"), "left").withColumn("processing_status", F.when(F.col("__id").isNotNull(), "pending").otherwise(F.col("processing_status"))).drop("__id")

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +48,11 @@ def unit(a: Column) -> Column:
 
 
 def centroids(assignments: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
-    """Mean vector per key, not normalised; partial sums are made per dimension before the shuffle."""
-    parts = assignments.select(*keys, F.posexplode(vector).alias("__at", "__x")).groupBy(*keys, "__at").agg(F.avg(F.col("__x").cast("double")).alias("__x"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__x"))), lambda s: s["__x"]).alias("centroid"))
+    """Mean vector per key, not normalised; the aggregation's buffer is a vector, so a task sends one row a key.
+
+    Null vectors are left out; the vectors of one key have one length.
+    """
+    return assignments.where(F.col(vector).isNotNull()).groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).alias("centroid"))
 
 
 def confidence(assignments: DataFrame, means: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
@@ -60,56 +64,111 @@ def min_cluster_size(n: Column, least: int = DEFAULTS.min_cluster_points, percen
     return F.greatest(F.lit(least), F.bround(n * percent / 100.0).cast("int"))
 
 
-def _dealt(vectors: DataFrame, form: str, id_col: str, vector: str, block: int) -> DataFrame:
-    """Each row once for every pair of blocks that its own block belongs to."""
-    sizes = vectors.groupBy(form).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__blocks"))
-    own = vectors.select(form, F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).join(sizes, form)
+def _dealt(rows: DataFrame, keys: list[str], block: int, *more: str) -> DataFrame:
+    """``rows`` (the keys, id, v and more) once for every pair of blocks of its group that its own block belongs to.
+
+    Only groups of more than one block are counted in the join, so it is short.
+    """
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__blocks")).where("__blocks > 1")
+    own = rows.join(sizes, keys, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     own = own.withColumn("__block", F.pmod(F.xxhash64("id"), F.col("__blocks").cast("long")).cast("int"))
     met = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    pair = met.select(F.col(form).alias("form"), F.least("__block", "__other").alias("i"), F.greatest("__block", "__other").alias("j"), "__block", "id", "v")
-    return pair.repartition("form", "i", "j").sortWithinPartitions("form", "i", "j", "id")
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
-    """Key, side, ids and unit vectors of each sorted group."""
-    key, side, ids, vs = None, [], [], []
+    pair = met.select(*keys, F.least("__block", "__other").alias("i"), F.greatest("__block", "__other").alias("j"), "__block", "id", "v", *more)
+    return pair.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "id")
 
-    def made():
-        m = np.stack(vs).astype(np.float64)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return key, np.array(side), np.array(ids), np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Key (the first columns) and rows of each group of sorted batches."""
+    key, parts = None, []
     for batch in batches:
-        vectors = batch.column(5)
-        for n, (form, i, j, block, id_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
-            if key != (form, i, j):
-                if ids:
-                    yield made()
-                key, side, ids, vs = (form, i, j), [], [], []
-            side.append(block == i)
-            ids.append(id_)
-            vs.append(vectors[n].values.to_numpy(zero_copy_only=False))
-    if ids:
-        yield made()
-
-
-def radius_join(vectors: DataFrame, threshold: float = DEFAULTS.near_duplicate, form: str = "form_id", id_col: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Pairs ``form_id, a, b, similarity`` (a < b) of one form with cosine at least ``threshold``.
-
-    Zero vectors and null vectors have no pairs. Exact: every pair of blocks is multiplied once.
+        if not len(batch):
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        new = np.zeros(len(batch), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), len(batch)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            here = tuple(c[lo].item() for c in columns)
+            if here != key and parts:
+                yield key, pa.Table.from_batches(parts)
+                parts = []
+            key = here
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield key, pa.Table.from_batches(parts)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length one (zeros stay); shorter ones end in zeros."""
+    lists = column.combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(lists.offsets.to_numpy())
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        m = flat.reshape(-1, width)
+    else:
+        m = np.zeros((len(sizes), width))
+        m[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def pairs_within(rows: DataFrame, keys: list[str], limit: str, block: int = BLOCK) -> DataFrame:
+    """Pairs ``keys, a, b, similarity`` (a < b) of each group whose cosine reaches the group's ``limit``.
+
+    ``rows`` has the keys (whole numbers), ``id``, ``v`` and ``limit``, one value for a group. Pairs of blocks
+    are multiplied once each, so a group of any size is spread over tasks.
     """
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (f, i, j), left, ids, m in _groups(batches):
+        for key, table in groups(batches, n + 2):
+            i, j = key[n:]
+            left = table["__block"].to_numpy() == i
             right = left if i == j else ~left
+            ids, m, least = table["id"].to_numpy(), matrix(table["v"]), table[limit][0].as_py()
             sims = m[left] @ m[right].T
-            x, y = np.nonzero(sims >= threshold - 1e-12)
+            x, y = np.nonzero(sims >= least - 1e-12)
             a, b, s = ids[left][x], ids[right][y], sims[x, y]
-            keep = a < b if i == j else np.ones(len(a), bool)
-            yield pa.RecordBatch.from_arrays([pa.array([f] * int(keep.sum()), pa.int64()), pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], ["form_id", "a", "b", "similarity"])
+            keep = a < b if i == j else a != b
+            out = [pa.array([k] * int(keep.sum()), pa.int64()) for k in key[:n]]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], [*keys, "a", "b", "similarity"])
+
+    return _dealt(rows, keys, block, limit).mapInArrow(run, ", ".join([*(f"{k} long" for k in keys), "a long", "b long", "similarity double"]))
 
-    rows = vectors.where(F.col(vector).isNotNull()).withColumn(form, F.col(form).cast("long"))
-    return _dealt(rows, form, id_col, vector, block).mapInArrow(run, "form_id long, a long, b long, similarity double")
+
+def plain_rows(vectors: DataFrame, form: str, id_col: str, vector: str) -> DataFrame:
+    """``form_id, id, v`` of the rows that have a vector."""
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(form).cast("long").alias("form_id"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+
+
+def radius_join(vectors: DataFrame, threshold: float = DEFAULTS.near_duplicate, form: str = "form_id", id_col: str = "id", vector: str = "embedding", block: int = BLOCK, limits: DataFrame | None = None) -> DataFrame:
+    """Pairs ``form_id, a, b, similarity`` (a < b) of one form with cosine at least ``threshold``.
+
+    ``limits`` (``form_id, limit``) gives forms thresholds of their own; forms that it does not name have no pairs.
+    Null vectors have no pairs, and zero vectors none above 0. Exact: every pair of blocks is multiplied once.
+    """
+    rows = plain_rows(vectors, form, id_col, vector)
+    rows = rows.withColumn("limit", F.lit(float(threshold))) if limits is None else rows.join(limits.select("form_id", F.col("limit").cast("double").alias("limit")), "form_id")
+    return pairs_within(rows, ["form_id"], "limit", block)
+
+
+def nearest(sims: np.ndarray, own: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, neighbour and distance of the ``k`` nearest of ``others`` to each row; ties by id, itself left out."""
+    d = np.sqrt(np.maximum(2 - 2 * sims, 0))
+    d[own[:, None] == others[None, :]] = np.inf
+    by_id = np.argsort(others, kind="stable")
+    take = by_id[np.argsort(np.round(d[:, by_id], 9), axis=1, kind="stable")[:, :k]]
+    row = np.repeat(np.arange(len(own)), take.shape[1])
+    take = take.reshape(-1)
+    found = np.isfinite(d[row, take])
+    return own[row[found]], others[take[found]], d[row[found], take[found]]
+
+
+def first_neighbours(near: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each row of ``form_id, id, neighbour, distance``, with their ``place``; ties by id."""
+    place = F.row_number().over(Window.partitionBy("form_id", "id").orderBy(F.round("distance", 9), "neighbour"))
+    return near.withColumn("place", place).where(F.col("place") <= k)
 
 
 def knn_join(vectors: DataFrame, k: int = DEFAULTS.knn, form: str = "form_id", id_col: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -117,25 +176,15 @@ def knn_join(vectors: DataFrame, k: int = DEFAULTS.knn, form: str = "form_id", i
     unit vectors; ties by id. Each block keeps k candidates of a row before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (f, i, j), left, ids, m in _groups(batches):
-            out_id, out_n, out_d = [], [], []
-            sides = [(left, left)] if i == j else [(left, ~left), (~left, left)]
-            for own, other in sides:
-                d = np.sqrt(np.maximum(2 - 2 * (m[own] @ m[other].T), 0))
-                others = ids[other]
-                for r, row in enumerate(d):
-                    row = np.where(others == ids[own][r], np.inf, row)
-                    take = np.lexsort((others, np.round(row, 9)))[:k]
-                    take = take[np.isfinite(row[take])]
-                    out_id += [int(ids[own][r])] * len(take)
-                    out_n += others[take].tolist()
-                    out_d += row[take].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([f] * len(out_id), pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_d, pa.float64())], ["form_id", "id", "neighbour", "distance"])
-
-    rows = vectors.where(F.col(vector).isNotNull()).withColumn(form, F.col(form).cast("long"))
-    near = _dealt(rows, form, id_col, vector, block).mapInArrow(run, "form_id long, id long, neighbour long, distance double")
-    place = F.row_number().over(Window.partitionBy("form_id", "id").orderBy(F.round("distance", 9), "neighbour"))
-    return near.withColumn("place", place).where(F.col("place") <= k)
+        for (f, i, j), table in groups(batches, 3):
+            left = table["__block"].to_numpy() == i
+            ids, m = table["id"].to_numpy(), matrix(table["v"])
+            for own, other in [(left, left)] if i == j else [(left, ~left), (~left, left)]:
+                columns = nearest(m[own] @ m[other].T, ids[own], ids[other], k)
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(columns[0]), pa.int64()), *map(pa.array, columns)], ["form_id", "id", "neighbour", "distance"])
+
+    near = _dealt(plain_rows(vectors, form, id_col, vector), ["form_id"], block).mapInArrow(run, "form_id long, id long, neighbour long, distance double")
+    return first_neighbours(near, k)
 
 
 def reassign_outliers(assignments: DataFrame, threshold: float = DEFAULTS.outlier_similarity, form: str = "form_id", topic: str = "topic_key", vector: str = "embedding", id_col: str = "id") -> DataFrame:

@@ -13,14 +13,17 @@ from ..params import DEFAULTS, Params
 from ..session import stage
 
 
-def ingest(answers: DataFrame, fields: DataFrame, responses: DataFrame, attempts: DataFrame, sentiment: scoring.Scorer, violation: scoring.Scorer, categories: dict[str, str], encoder: scoring.Scorer | None = None, params: Params = DEFAULTS) -> DataFrame:
+def ingest(answers: DataFrame, fields: DataFrame, responses: DataFrame, attempts: DataFrame, sentiment: scoring.Scorer, violation: scoring.Scorer, categories: dict[str, str], encoder: scoring.Scorer | None = None, params: Params = DEFAULTS, repairs: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Waiting answers to pending points with vectors and labels: ``answer_id, point_no, point_text, …``.
 
-    ``categories`` names the category of each act that ``violation`` scores.
+    ``categories`` names the category of each act that ``violation`` scores. ``repairs`` are the rewrites of narrated
+    points (``answer_id, raw``), one table a pass; two are of use.
     """
     chunk = queue.pending_answers(answers, fields, params.answers_per_field)
-    split = splitting.point_rows(splitting.apply_split_responses(chunk, responses, attempts, params.max_attempts, params.short_answer_words))
-    rows = stage(split, "points")
+    split = splitting.apply_split_responses(chunk, responses, attempts, params.max_attempts, params.short_answer_words)
+    if repairs:
+        split = splitting.accept_repair(split.join(chunk.select(F.col("id").alias("answer_id"), "answer_text"), "answer_id"), *repairs)
+    rows = stage(splitting.point_rows(split), "points")
     scored = scoring.score_distinct(scoring.score_distinct(scoring.embed(rows, encoder), sentiment, "string", out="__s"), violation, "map<string,double>", out="__v")
     best = scoring.best_violation(F.col("__v"), categories, threshold=params.violation_flag)
     return scored.withColumn("__b", best).select(

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clustering, components, identity, labels, queue, report, scoring, splitting, vectors, words
+from ..operators import clustering, components, identity, labels, neighbours, queue, report, scoring, splitting, vectors, words
 from ..session import stage_path
-from ..sources import io
-from ..streaming import ingest
+from ..sources import changes, io
+from ..streaming import ingest, retries
 from . import standins as S
 from .standins import with_
 
@@ -196,7 +196,7 @@ SPLIT_SQL = f"""
 def _split_scores(spark, d):
     docs = S.table(spark, d, "documents").where("text != ''")
     half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
-    return docs.select("doc_id", "source", X.split_scores(F.col("text"), F.array(F.lit("x")), F.array(half)).alias("m")).select("doc_id", "source", "m.*")
+    return docs.select("doc_id", "source", X.split_scores(F.col("text"), F.array(F.lit("x")), F.array(half)).alias("m"), F.length("text").alias("length")).select("doc_id", "source", "length", "m.*")
 
 
 @query(f"WITH {SPLIT_SQL} SELECT doc_id, round(coverage, 6) AS coverage, round(fidelity, 6) AS fidelity, round(pronoun_rate, 6) AS pronoun_rate, true AS count_exact FROM m")
@@ -204,9 +204,10 @@ def x11_split_scores(spark, d):
     return _split_scores(spark, d).select("doc_id", *[F.round(c, 6).alias(c) for c in ("coverage", "fidelity", "pronoun_rate")], "count_exact")
 
 
-@query(f"WITH {SPLIT_SQL} SELECT source, count(*) AS n, 1.0::DOUBLE AS pred_n, 1.0::DOUBLE AS count_exact, 0.0::DOUBLE AS over_split, 0.0::DOUBLE AS under_split, round(avg(coverage), 3) AS coverage, round(avg(fidelity), 3) AS fidelity, round(avg(pronoun_rate), 3) AS pronoun_rate, 0.0::DOUBLE AS parse_error_rate FROM m GROUP BY 1")
+@query(f"WITH {SPLIT_SQL} SELECT m.source, count(*) AS n, 1.0::DOUBLE AS pred_n, 1.0::DOUBLE AS count_exact, 0.0::DOUBLE AS over_split, 0.0::DOUBLE AS under_split, round(avg(coverage), 3) AS coverage, round(avg(fidelity), 3) AS fidelity, round(avg(pronoun_rate), 3) AS pronoun_rate, round(avg(length(text) / 1000.0), 3) AS latency_s, 0.0::DOUBLE AS parse_error_rate FROM m JOIN documents USING (doc_id) GROUP BY m.source")
 def a13_split_quality_summary(spark, d):
-    return report.split_quality_summary(_split_scores(spark, d).withColumn("pred_n", F.lit(1)).withColumn("status", F.lit("ok")), ["source"])
+    """With the seconds that a request took, here a thousandth of the text's length."""
+    return report.split_quality_summary(_split_scores(spark, d).withColumns({"pred_n": F.lit(1), "status": F.lit("ok"), "latency_s": F.col("length") / 1000.0}), ["source"])
 
 
 @query(with_("points") + f"""SELECT count(*) AS checked, count(*) FILTER (WHERE {FLAG}) AS flagged, round(avg(CAST({FLAG} AS INT)), 6) AS rate, count(*) FILTER (WHERE {FLAG} AND violation_type = 'legal') AS legal_count,
@@ -525,13 +526,32 @@ def x13_dedupe_by_key(spark, d):
     return labels.dedupe_by_key(new, S.table(spark, d, "benchmark").select(F.col("text").alias("raw_text"))).select("feedback_id")
 
 
-@query()
+def _drawn(what: str) -> str:
+    return f"(CAST('0x' || left(md5('42|{what}|' || id), 8) AS BIGINT) / 4294967296.0)"
+
+
+JOINERS = ["{a} Also, {b}", "{a} {b}", "{a} And {b}"]
+RULES = ["{nation} broke a rule.", "They threatened {nation}."]
+
+
+def _sentence(which: str) -> str:
+    return f"""s{which} AS (SELECT r.id, k.kind, replace(s.text, '{{nation}}', (SELECT p FROM np)[CAST(floor({_drawn(f'nation{which}')} * len((SELECT p FROM np))) AS BIGINT) + 1]) AS t
+      FROM r JOIN k ON k.kind = CASE WHEN {_drawn(f'kind{which}')} < 1 / 3.0 THEN '0' WHEN {_drawn(f'kind{which}')} < 2 / 3.0 THEN '1' ELSE '2' END JOIN s ON s.kind = k.kind AND s.no = CAST(floor({_drawn(f'shape{which}')} * k.n) AS BIGINT))"""
+
+
+@query(f"""WITH s AS (SELECT CAST(item_id % 3 AS VARCHAR) AS kind, text || ' {{nation}}.' AS text, row_number() OVER (PARTITION BY item_id % 3 ORDER BY text) - 1 AS no FROM benchmark WHERE text IS NOT NULL), k AS (SELECT kind, count(*) AS n FROM s GROUP BY 1),
+    np AS (SELECT list(n_name ORDER BY n_name) AS p FROM (SELECT DISTINCT n_name FROM nation)), n AS (SELECT count(*) AS n FROM documents), r AS (SELECT unnest(range(0, 3 * n)) AS id FROM n), {_sentence('a')}, {_sentence('b')},
+    m AS (SELECT a.id, CASE WHEN {_drawn('bad').replace('id)', 'a.id)')} < 0.06 THEN replace([{', '.join(map(repr, RULES))}][CAST(floor({_drawn('violation').replace('id)', 'a.id)')} * 2) AS BIGINT) + 1], '{{nation}}', (SELECT p FROM np)[CAST(floor({_drawn('nationv').replace('id)', 'a.id)')} * len((SELECT p FROM np))) AS BIGINT) + 1])
+      WHEN {_drawn('multi').replace('id)', 'a.id)')} < 0.25 THEN replace(replace([{', '.join(map(repr, JOINERS))}][CAST(floor({_drawn('joiner').replace('id)', 'a.id)')} * 3) AS BIGINT) + 1], '{{a}}', a.t), '{{b}}', b.t) ELSE a.t END AS t, CASE WHEN {_drawn('bad').replace('id)', 'a.id)')} < 0.06 THEN 'violation' ELSE a.kind END AS kind FROM sa a JOIN sb b USING (id)),
+    c AS (SELECT *, array_to_string(list_sort(regexp_extract_all(lower(t), '[a-z0-9]+')), ' ') AS c FROM m), e AS (SELECT array_to_string(list_sort(regexp_extract_all(lower(text), '[a-z0-9]+')), ' ') AS c FROM benchmark WHERE text IS NOT NULL),
+    u AS (SELECT id, t, kind FROM c WHERE c NOT IN (SELECT c FROM e) QUALIFY row_number() OVER (PARTITION BY c ORDER BY id) = 1) SELECT id AS feedback_id, t AS raw_text, kind FROM u ORDER BY id LIMIT (SELECT n FROM n)""")
 def x14_generate_feedback(spark, d):
-    """Synthetic rows whose shapes are benchmark texts and whose slot is filled from nation names."""
-    shapes = S.table(spark, d, "benchmark").select((F.col("item_id") % 3).cast("string").alias("kind"), F.lit(1.0).alias("weight"), F.concat("text", F.lit(" {nation}.")).alias("text"))
+    """As many synthetic rows as there are documents; shapes are benchmark texts and the slot is filled from nation names."""
+    items = S.table(spark, d, "benchmark").where("text is not null")
+    shapes = items.select((F.col("item_id") % 3).cast("string").alias("kind"), F.lit(1.0).alias("weight"), F.concat("text", F.lit(" {nation}.")).alias("text"))
     pool = [r[0] for r in S.table(spark, d, "nation").select("n_name").distinct().orderBy("n_name").collect()]  # a closed list
     n = S.table(spark, d, "documents").count()
-    return splitting.generate_feedback(shapes, {"nation": pool}, n)
+    return splitting.generate_feedback(shapes, {"nation": pool}, n, violations=RULES, joiners=JOINERS, existing=items.select(F.col("text").alias("raw_text")))
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS is_violation, CASE o_orderkey % 4 WHEN 0 THEN 'ethics' ELSE 'none' END AS category,
@@ -564,6 +584,43 @@ def io9_keyed_updates(spark, d):
     return a.join(io.update_point_labels(p, new).select("id", F.col("sentiment_label").alias("by_labels")), "id")
 
 
+@query(with_("points", "answers", "submissions") + f""", o AS (SELECT form_id, p.* FROM points p {OWNED}), u AS (SELECT *, CASE WHEN id % 2 = 0 THEN coalesce(CASE WHEN id % 4 = 0 THEN 'negative' END, sentiment_label) ELSE sentiment_label END AS one FROM o)
+    SELECT form_id, id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 9 <> 0 THEN 'neutral' END ELSE one END AS sentiment_label, CASE WHEN id % 3 = 0 THEN 'none' ELSE violation_status END AS violation_status,
+      CASE WHEN id % 5 = 0 THEN 'assigned' ELSE processing_status END AS processing_status, CASE WHEN id % 5 = 0 THEN 7::BIGINT ELSE canonical_topic_id END AS canonical_topic_id FROM u""")
+def io9_merge_on_read(spark, d):
+    """Three updates of some of the points, kept as change files; one form's are folded in between."""
+    path = stage_path(spark, "points-table")
+    own = queue.point_ownership(S.points(spark, d), S.answers(spark, d), S.submissions(spark, d)).drop("submission_id")
+    changes.create(own, path)
+    changes.write_change(own.where("id % 2 = 0").select("form_id", "id", F.when(F.col("id") % 4 == 0, "negative").alias("sentiment_label")), path, "features", 1)
+    changes.write_change(own.where("id % 3 = 0").select("form_id", "id", F.when(F.col("id") % 9 != 0, "neutral").alias("sentiment_label"), F.lit("none").alias("violation_status")), path, "labels", 2)
+    changes.fold_in(spark, path, 0.8)
+    changes.write_change(own.where("id % 5 = 0").select("form_id", "id", F.lit("assigned").alias("processing_status"), F.lit(7).alias("canonical_topic_id")), path, "assignment", 3)
+    return changes.read(spark, path).select(F.col("form_id").cast("long").alias("form_id"), "id", "sentiment_label", "violation_status", "processing_status", "canonical_topic_id")
+
+
+@query(with_("points") + "SELECT id, sentiment_label, violation_status FROM points WHERE id % 3 = 0")
+def io6_backup_rows(spark, d):
+    """Rows saved before a change, read back."""
+    path = stage_path(spark, "backup")
+    io.backup_rows(S.points(spark, d).where("id % 3 = 0").select("id", "sentiment_label", "violation_status"), path)
+    return spark.read.schema("id long, sentiment_label string, violation_status string").json(path)
+
+
+@query(with_("points", "answers", "submissions") + "SELECT 'answers' AS name, count(*) AS n, sum(id) AS ids FROM answers UNION ALL SELECT 'points', count(*), sum(id) FROM points UNION ALL SELECT 'submissions', count(*), sum(id) FROM submissions")
+def io3_read_tables(spark, d):
+    """Tables of the survey model with their declared schemas."""
+    path = stage_path(spark, "tables")
+    made = {"answers": S.answers(spark, d), "points": S.points(spark, d), "submissions": S.submissions(spark, d)}
+    for name, df in made.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    out = None
+    for name, df in io.read_tables(spark, path, list(made)).items():
+        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum("id").cast("decimal(38,0)").alias("ids"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- scoring ------------------------------------------------------------------------------------
 
 
@@ -589,6 +646,36 @@ def u8_backfill(spark, d):
     return out.agg(F.count(F.lit(1)).alias("points"), F.count(F.when(F.col("processing_status") == "pending", 1)).alias("pending"), F.count(F.when(F.col("embedding").isNull(), 1)).alias("missing"))
 
 
+ACTS = {"error": "legal", "click": "ethics"}
+
+
+def _act_scores():
+    """Scores by act of a text: what it names counts, a number of two digits counts more."""
+    return lambda texts: [{act: (0.9 if t[-2:].strip().isdigit() and len(t[-2:].strip()) == 2 else 0.3) if act in t else 0.01 for act in ACTS} for t in texts]
+
+
+RELABELLED = """CASE WHEN contains(point_text, 'view') THEN NULL WHEN contains(point_text, 'error') THEN 'negative' ELSE 'neutral' END AS s, contains(point_text, 'error') OR contains(point_text, 'click') AS bad, regexp_matches(point_text, ' [0-9]{2,}$') AS strong,
+    CASE WHEN contains(point_text, 'error') THEN 'legal' WHEN contains(point_text, 'click') THEN 'ethics' ELSE 'none' END AS c"""
+
+
+@query(with_("points") + f""", l AS (SELECT *, {RELABELLED} FROM points) SELECT id, CASE WHEN embedded THEN s ELSE sentiment_label END AS sentiment_label,
+    CASE WHEN NOT embedded THEN violation_status WHEN NOT bad THEN 'none' WHEN strong THEN 'violation' ELSE 'possible' END AS violation_status, CASE WHEN embedded THEN c ELSE violation_type END AS violation_type FROM l""")
+def u8_relabel(spark, d):
+    """Fresh labels by both scorers; a label outside the vocabulary overwrites by null."""
+    sentiment = scoring.word_scorer({"view": "no idea", "error": "Negative"}, "neutral")
+    out = scoring.relabel(S.points(spark, d), S.answers(spark, d), S.submissions(spark, d), sentiment, _act_scores, ACTS)
+    return out.select("id", "sentiment_label", "violation_status", "violation_type")
+
+
+@query(with_("points") + f""", l AS (SELECT *, {RELABELLED} FROM points) SELECT id, CASE WHEN embedded THEN sentiment_label ELSE coalesce(s, sentiment_label) END AS sentiment_label,
+    CASE WHEN embedded THEN violation_status WHEN NOT bad THEN 'none' WHEN strong THEN 'violation' ELSE 'possible' END AS violation_status, CASE WHEN embedded THEN processing_status ELSE 'pending' END AS processing_status FROM l""")
+def u8_backfill_labels(spark, d):
+    """Features of points without a vector, by an encoder and both scorers; a null keeps the old label."""
+    sentiment = scoring.word_scorer({"view": "no idea", "error": "Negative"}, "neutral")
+    out = scoring.backfill(S.points(spark, d), S.answers(spark, d), S.submissions(spark, d), sentiment, _act_scores, ACTS, scoring.hashing_encoder(8))
+    return out.select("id", "sentiment_label", "violation_status", "processing_status")
+
+
 # --- vectors and clusters -----------------------------------------------------------------------
 
 DIMS = "x AS (SELECT form_id, topic_key, id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM vectors), c AS (SELECT form_id, topic_key, dim, avg(v) AS c FROM x GROUP BY ALL)"
@@ -625,6 +712,25 @@ def j7_knn_join(spark, d):
     return vectors.knn_join(S.vectors(spark, d), 5).select("form_id", "id", "neighbour", "place")
 
 
+@query(with_("vectors") + f", {PAIRS} SELECT form_id, count(*) AS pairs, 0::BIGINT AS wrong, true AS found FROM pr WHERE s >= 0.35 GROUP BY 1")
+def j6_similar_pairs(spark, d):
+    """The index against the exact join: pairs, found pairs below the threshold, and whether 95 % or more are found."""
+    v = S.vectors(spark, d)
+    exact = vectors.radius_join(v, 0.35).select("form_id", "a", "b", F.lit(1).alias("true"))
+    found = neighbours.similar_pairs(v, 0.35, recall=0.98).select("form_id", "a", "b", F.lit(1).alias("got"))
+    both = exact.join(found, ["form_id", "a", "b"], "full").groupBy("form_id").agg(F.count("true").alias("pairs"), F.count(F.when(F.col("true").isNull(), 1)).alias("wrong"), F.count(F.when(F.col("true") == F.col("got"), 1)).alias("hit"))
+    return both.select("form_id", "pairs", "wrong", (F.col("hit") >= 0.95 * F.col("pairs")).alias("found"))
+
+
+@query(with_("vectors") + "SELECT form_id, CAST(sum(least(n - 1, 5) * n) AS BIGINT) AS neighbours, true AS found FROM (SELECT form_id, count(*) AS n FROM vectors GROUP BY 1) GROUP BY 1")
+def j7_knn_graph(spark, d):
+    """Graph refinement against the exact join: neighbours of all points, and whether 95 % or more are the exact ones."""
+    v = S.vectors(spark, d)
+    near = neighbours.knn_graph(v, 5).select("form_id", "id", "neighbour")
+    hit = near.join(vectors.knn_join(v, 5).select("form_id", "id", "neighbour", F.lit(1).alias("true")), ["form_id", "id", "neighbour"], "left")
+    return hit.groupBy("form_id").agg(F.count(F.lit(1)).alias("neighbours"), (F.count("true") >= 0.95 * F.count(F.lit(1))).alias("found"))
+
+
 @query(with_("vectors") + f""", n AS (SELECT form_id, id, embedding, CASE WHEN id % 4 = 0 THEN NULL ELSE topic_key END AS topic_key FROM vectors), x AS (SELECT form_id, topic_key, id, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM n),
     c AS (SELECT form_id, topic_key, dim, avg(v) AS c FROM x WHERE topic_key IS NOT NULL GROUP BY ALL), m AS (SELECT form_id, topic_key, sqrt(sum(c * c)) AS m FROM c GROUP BY 1, 2),
     s AS (SELECT x.form_id, x.id, c.topic_key, sum(v * c / m) AS s FROM x JOIN c ON x.form_id = c.form_id AND x.dim = c.dim JOIN m ON m.form_id = c.form_id AND m.topic_key = c.topic_key WHERE x.topic_key IS NULL GROUP BY 1, 2, 3),
@@ -672,11 +778,22 @@ def v8_split_large_topics(spark, d):
     return clustering.split_large_topics(S.vectors(spark, d), 4, 2).select("form_id", "id", "topic_key")
 
 
-@query()
+RATIOS = ", ".join(map(str, clustering.SWEEP_RATIOS))
+
+
+@query("WITH RECURSIVE " + with_("vectors")[5:] + f""", src AS (SELECT form_id AS grp, id, embedding FROM vectors), {_density('src', 1, 5)}, nf AS (SELECT form_id, count(*) AS n FROM vectors GROUP BY 1),
+    ts AS (SELECT DISTINCT form_id, n, CAST(greatest(2, round_even(n * r, 0)) AS INT) AS m FROM nf, (SELECT unnest([{RATIOS}]::DOUBLE[]) AS r) WHERE CAST(greatest(2, round_even(n * r, 0)) AS INT) < n // 2), gs AS (SELECT form_id, g, count(*) AS size FROM dm JOIN vectors USING (id) GROUP BY 1, 2),
+    lb AS (SELECT ts.form_id, ts.m, v.id, v.embedding, CASE WHEN size >= m THEN dm.g END AS g FROM ts JOIN vectors v USING (form_id) LEFT JOIN dm USING (id) LEFT JOIN gs ON gs.form_id = ts.form_id AND gs.g = dm.g),
+    lx AS (SELECT form_id, m, id, g, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM lb), lc AS (SELECT form_id, m, g, dim, avg(v) AS c FROM lx WHERE g IS NOT NULL GROUP BY ALL), ln AS (SELECT form_id, m, g, sqrt(sum(c * c)) AS l FROM lc GROUP BY ALL),
+    ls AS (SELECT x.form_id, x.m, x.id, c.g, sum(v * c / l) / sqrt(sum(v * v)) AS s FROM lx x JOIN lc c ON x.form_id = c.form_id AND x.m = c.m AND x.dim = c.dim JOIN ln n ON n.form_id = c.form_id AND n.m = c.m AND n.g = c.g WHERE x.g IS NULL GROUP BY ALL),
+    la AS (SELECT form_id, m, id, arg_max(g, s) AS g FROM ls WHERE s >= 0.3 GROUP BY ALL), lf AS (SELECT lb.form_id, lb.m, lb.g AS before, coalesce(lb.g, la.g) AS g FROM lb LEFT JOIN la USING (form_id, m, id)),
+    lo AS (SELECT form_id, m, g, count(*) AS size, count(before) AS inside FROM lf GROUP BY ALL)
+    SELECT form_id, m AS min_size, CAST(sum(size) AS BIGINT) AS n, count(g) AS topics, round(1 - sum(inside) / sum(size), 6) AS outlier_before, round(coalesce(sum(size) FILTER (WHERE g IS NULL), 0) / sum(size), 6) AS outlier_rate, round(max(size) FILTER (WHERE g IS NOT NULL) / sum(size), 6) AS largest_share FROM lo GROUP BY 1, 2""")
 def v14_parameter_sweep(spark, d):
-    """Vectors with the text of the document of the same number."""
+    """All candidate sizes of every form; vectors with the text of the document of the same number."""
     texts = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("point_text"))
-    return clustering.parameter_sweep(S.vectors(spark, d).join(texts, "id", "left"), [5, 8])
+    swept = clustering.parameter_sweep(S.vectors(spark, d).join(texts, "id", "left"))
+    return swept.select("form_id", "min_size", "n", "topics", "outlier_before", "outlier_rate", "largest_share")
 
 
 @query(with_("vectors") + f""", {PAIRS}, n AS (SELECT form_id, a AS id, b AS o, s FROM pr UNION ALL SELECT form_id, b, a, s FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY form_id, id ORDER BY s DESC, o) AS p FROM n),
@@ -687,10 +804,20 @@ def v15_knn_purity(spark, d):
     return clustering.knn_purity(v.select("form_id", "id", "embedding"), own.select("id", "label")).withColumn("purity", F.round("purity", 6))
 
 
-@query()
+@query("WITH RECURSIVE vectors AS (SELECT vec_id AS id, embedding FROM embeddings), " + """o AS (SELECT id, embedding, row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS r, count(*) OVER () AS n FROM vectors),
+    f AS (SELECT f, id, embedding FROM o, (VALUES (0.15::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) AS t(f) WHERE r < floor(n * f)),
+    p AS (SELECT x.f, x.id AS a, y.id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM f x JOIN f y ON x.f = y.f AND x.id <> y.id), t AS (SELECT * FROM p WHERE 1 - s <= 0.7 + 1e-12),
+    c AS (SELECT f, a AS id FROM t GROUP BY 1, 2 HAVING count(*) >= 8), e AS (SELECT t.f, a, b FROM t JOIN c x ON x.f = t.f AND x.id = a JOIN c y ON y.f = t.f AND y.id = b), r(f, id, r) AS (SELECT f, id, id FROM c UNION SELECT r.f, r.id, e.b FROM r JOIN e ON r.f = e.f AND r.r = e.a),
+    g AS (SELECT f, id, min(r) AS g FROM r GROUP BY 1, 2), d AS (SELECT t.f, a AS id, arg_min(b, (-round(s, 9), b)) AS o FROM t JOIN c y ON y.f = t.f AND y.id = b ANTI JOIN c x ON x.f = t.f AND x.id = a GROUP BY 1, 2),
+    m AS (SELECT * FROM g UNION ALL SELECT d.f, d.id, g FROM d JOIN g ON g.f = d.f AND g.id = d.o), z AS (SELECT f, g FROM m GROUP BY 1, 2 HAVING count(*) >= 8), l AS (SELECT m.f, m.id, m.g FROM m JOIN z USING (f, g)),
+    k AS (SELECT p.f, a, x.g = y.g AS same, row_number() OVER (PARTITION BY p.f, a ORDER BY round(sqrt(greatest(2 - 2 * s, 0)), 9), b) AS q FROM p JOIN l x ON x.f = p.f AND x.id = a JOIN l y ON y.f = p.f AND y.id = b),
+    u AS (SELECT f, avg(h) AS purity FROM (SELECT f, a, avg(CAST(same AS INT)) AS h FROM k WHERE q <= 5 GROUP BY 1, 2) GROUP BY 1), w AS (SELECT f, count(*) AS n, count(DISTINCT g) AS topics FROM l GROUP BY 1), v AS (SELECT f, count(*) AS n FROM f GROUP BY 1)
+    SELECT v.f AS fraction, CAST(v.n AS BIGINT) AS n, coalesce(topics, 0) AS topics, round(1 - coalesce(w.n, 0) / v.n, 6) AS outlier_rate, round(CASE WHEN w.n > 6 THEN purity END, 6) AS purity FROM v LEFT JOIN w USING (f) LEFT JOIN u USING (f)""")
 def v16_growth_curve(spark, d):
+    """All vectors as one form, at a fixed limit."""
     prefixes = labels.growth_prefixes(S.vectors(spark, d).select("id", "embedding"))
-    return clustering.growth_curve(prefixes, 8)
+    curve = clustering.growth_curve(prefixes, 8, eps=0.7)
+    return curve.select("fraction", "n", "topics", "outlier_rate", F.round("purity", 6).alias("purity"))
 
 
 TERMS = """w AS (SELECT lang AS t, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents WHERE text IS NOT NULL),
@@ -891,18 +1018,28 @@ def st3_retry_ledger(spark, d):
     return ingest.retry_ledger(attempts).withColumn("delay", ingest.retry_delay(F.col("failures")))
 
 
+@query("""WITH a AS (SELECT user_id AS answer_id, ts AS tried, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'view' THEN 'unreachable' ELSE 'failed' END AS o FROM events), g AS (SELECT answer_id, max(tried) FILTER (WHERE o = 'ok') AS ok, max(tried) AS last FROM a GROUP BY 1),
+    f AS (SELECT g.answer_id, ok, last, count(*) FILTER (WHERE o = 'failed' AND (ok IS NULL OR tried > ok)) AS failures FROM g JOIN a USING (answer_id) GROUP BY ALL)
+    SELECT answer_id, failures, CASE WHEN failures >= 3 THEN 'keep_whole' WHEN ok = last THEN 'done' ELSE 'retry' END AS action FROM f""")
+def st3_retry_stream(spark, d):
+    """The events replayed in several triggers, out of order; the last state of each answer."""
+    source, out, checkpoint = (stage_path(spark, f"attempts-{n}") for n in ("in", "out", "checkpoint"))
+    outcome = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "view", "unreachable").otherwise("failed")
+    S.table(spark, d, "events").select(F.col("user_id").alias("answer_id"), F.col("ts").alias("at"), outcome.alias("outcome")).repartition(4, "at").write.parquet(source)
+    attempts = spark.readStream.schema("answer_id long, at timestamp, outcome string").option("maxFilesPerTrigger", 1).parquet(source)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    retries.retry_ledger_stream(attempts).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return retries.latest(spark.read.parquet(out))
+
+
 # --- the rest of the inventory ------------------------------------------------------------------
 
 
-@query(with_("answers") + "SELECT id % 10 AS part, count(*) FILTER (WHERE decomposed_at IS NULL) = 0 AS all_decomposed FROM answers GROUP BY 1")
+@query(with_("answers") + "SELECT id % 1000 AS list_id, count(*) FILTER (WHERE decomposed_at IS NULL) = 0 AS all_decomposed FROM answers GROUP BY 1")
 def f8_all_decomposed(spark, d):
-    """The check of one id list, asked for ten lists at once."""
+    """The check of a thousand id lists in one join."""
     a = S.answers(spark, d)
-    parts = [a.sparkSession.createDataFrame([(p, queue.all_decomposed(a, a.where(F.col("id") % 10 == p).select("id")))], "part long, all_decomposed boolean") for p in range(10)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return queue.decomposed_lists(a, a.select((F.col("id") % 1000).alias("list_id"), "id"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || '|x' WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE 'x' END AS points,
@@ -926,15 +1063,20 @@ def x8_narrated(spark, d):
     return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.narrated(F.col("text")).alias("narrated"))
 
 
-@query("""SELECT o_orderkey AS answer_id, CASE o_orderkey % 4 WHEN 0 THEN 'ok+repaired' WHEN 1 THEN 'ok+repair_shape' WHEN 2 THEN 'ok+repair_error' ELSE 'ok' END AS status,
-    CASE WHEN o_orderkey % 4 = 0 THEN 'I want ' || o_orderpriority ELSE 'The user wants ' || o_orderpriority END AS point FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, o_orderpriority AS p FROM orders)
+    SELECT id AS answer_id, 'ok' || CASE k WHEN 1 THEN '+repair_shape' WHEN 2 THEN '+repair_error' WHEN 3 THEN '' WHEN 6 THEN '+repair_error' WHEN 4 THEN '+repaired' WHEN 5 THEN '+repair_failed' ELSE '+repaired' END AS status,
+      CASE k WHEN 0 THEN 'I want ' || p || '|we want ' || p WHEN 4 THEN 'I want ' || p || '|The user wants ' || p WHEN 6 THEN 'I want ' || p || '|The user wants ' || p ELSE 'The user wants ' || p || '|The user wants ' || p END AS points FROM o""")
 def x10_accept_repair(spark, d):
+    """Two passes: 0 is mended in both, 4 and 6 in the first only, where the second has the wrong shape or an error."""
+    k, p = F.col("o_orderkey") % 7, F.col("o_orderpriority")
     o = S.table(spark, d, "orders")
-    k, p = F.col("o_orderkey") % 4, F.col("o_orderpriority")
-    before = o.select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("I want "), p).alias("answer_text"), F.array(F.concat(F.lit("The user wants "), p)).alias("points"), F.lit("ok").alias("status"))
-    raw = F.when(k == 0, F.concat(F.lit('["I want '), p, F.lit('"]'))).when(k == 1, F.lit('["a", "b"]'))
-    after = o.where(k != 3).select(F.col("o_orderkey").alias("answer_id"), raw.alias("raw"))
-    return splitting.accept_repair(before, after).select("answer_id", "status", F.get("points", F.lit(0)).alias("point"))
+    told, own = F.concat(F.lit("The user wants "), p), F.concat(F.lit("I want "), p)
+    both = lambda a, b: F.concat(F.lit('["'), a, F.lit('", "'), b, F.lit('"]'))
+    before = o.select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("I want and we want "), p).alias("answer_text"), F.array(told, told).alias("points"), F.lit("ok").alias("status"))
+    first = F.when(k.isin(0, 4, 6), both(own, told)).when(k == 1, F.lit('["a"]')).when(k == 5, both(told, told))
+    second = F.when(k == 0, both(own, F.concat(F.lit("we want "), p))).when(k == 4, F.lit('["only one"]')).when(k == 5, both(own, own)).when(k == 1, both(own, own))
+    passes = [o.where(k != 3).select(F.col("o_orderkey").alias("answer_id"), raw.alias("raw")) for raw in (first, second)]
+    return splitting.accept_repair(before, *passes).select("answer_id", "status", F.array_join("points", "|").alias("points"))
 
 
 @query(with_("topics") + "SELECT id AS topic_id, CASE WHEN id % 3 = 0 THEN 'Title ' || id ELSE canonical_name END AS canonical_name, CASE WHEN id % 3 = 0 THEN 's' END AS canonical_summary FROM topics")

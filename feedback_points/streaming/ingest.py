@@ -19,10 +19,10 @@ def answer_stream(spark: SparkSession, folder: str, schema: str, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def _marked(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """Answers that earlier batches have read; none before the first write."""
+def _marked_before(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """Answers that queries with other checkpoints have read; none before the first write."""
     try:
-        return spark.read.parquet(path).where(F.col("batch") != batch).select("answer_id")
+        return spark.read.schema("answer_id long, run string, batch long").parquet(path).where(F.col("run") != run).select("answer_id")
     except AnalysisException:
         return spark.createDataFrame([], "answer_id long")
 
@@ -30,22 +30,24 @@ def _marked(spark: SparkSession, path: str, batch: int) -> DataFrame:
 def ingest_stream(answers: DataFrame, split: Callable[[DataFrame], DataFrame], points_path: str, marks_path: str, checkpoint: str):
     """Start a query that turns unread answers into points, each answer once.
 
-    ``split`` gives ``answer_id, point_no, point_text, status`` of a batch. Repeats are dropped
-    within the batch and against the marks of earlier ones, so an answer is read whatever its date.
-    A batch writes its points, then its marks, under its own number and overwrites both on a replay,
-    so a rerun never duplicates.
+    ``split`` gives ``answer_id, point_no, point_text, status`` of a batch. Which answers this query has read is the
+    stream's own keyed state, so a batch looks up its own answers only, however many came before, and an answer is read
+    whatever its date. The marks of queries with other checkpoints are read beside it; they do not grow while this query
+    runs. A batch writes its points, then its marks, under its query's id and its own number and overwrites both on a
+    replay, so a rerun never duplicates.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["id"]).join(_marked(spark, marks_path, number).withColumnRenamed("answer_id", "id"), "id", "left_anti").persist()
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # stays the same for a checkpoint
+        fresh = batch.join(_marked_before(spark, marks_path, run).withColumnRenamed("answer_id", "id"), "id", "left_anti").persist()
         try:
             for df, path in ((split(fresh), points_path), (fresh.select(F.col("id").alias("answer_id")), marks_path)):
-                df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+                df.withColumn("run", F.lit(run)).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(path)
         finally:
             fresh.unpersist()
 
-    return waiting(answers).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return waiting(answers).dropDuplicates(["id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quiet_forms_stream(points: DataFrame, minutes: int = DEFAULTS.quiet_minutes, late: str = "1 hour") -> DataFrame:

@@ -93,20 +93,23 @@ def test_split_large_and_stats(cloud):
     assert {got[0], got[20], got[40]} == {"0.0", "0.1", "0.2"} and got[50] is None
     stats = report.cluster_size_stats(clustering.topic_keys(clustering.density_cluster(df.where("form_id = 0"), 5, 4, 0.05)), ["form_id"]).first()
     assert stats.topics == 3 and stats.n == 48
-    assert clustering.sweep_sizes(100) == [2, 3, 4, 5, 6, 8, 10]
+    sizes = df.sparkSession.createDataFrame([(100,), (1000,), (3,), (5,)], "n int").select(clustering.sweep_sizes(F.col("n"))).collect()
+    assert [r[0] for r in sizes] == [[2, 3, 4, 5, 6, 8, 10], [10, 20, 30, 40, 50, 60, 80, 100], [], []]
 
 
 def test_parameter_sweep(cloud):
     """Three groups of one form with a word each; rates and words against counts of the clusters themselves."""
     _, _, df = cloud
     points = df.where("form_id = 0").withColumn("point_text", F.concat(F.lit("shared "), F.element_at(F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta"))), (F.col("id") / 20).cast("int") + 1)))
-    got = {r.min_size: r for r in clustering.parameter_sweep(points, [4, 6], eps=0.05).collect()}
+    got = {r.min_size: r for r in clustering.parameter_sweep(points, [4, 6], 4, 0.05).collect()}
     for m, row in got.items():
-        own = clustering.density_cluster(points, m, m, 0.05).toPandas()
+        own = clustering.density_cluster(points, m, 4, 0.05).toPandas()
         assert row.n == len(own) and row.topics == own.label.max() + 1
         assert row.outlier_before == pytest.approx((own.label < 0).mean(), abs=1e-6) and row.outlier_rate <= row.outlier_before
         assert -1 <= row.npmi <= 1 and 0 < row.diversity <= 1
     assert sorted(got) == [4, 6]
+    none = clustering.parameter_sweep(points, [40], 4, 0.05).collect()
+    assert [(r.topics, r.outlier_before, r.outlier_rate, r.npmi) for r in none] == [(0, 1.0, 1.0, None)]
 
 
 def test_vectors(spark):
