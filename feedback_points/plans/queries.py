@@ -607,7 +607,7 @@ def io6_backup_rows(spark, d):
     return spark.read.schema("id long, sentiment_label string, violation_status string").json(path)
 
 
-@query(with_("points", "answers", "submissions") + "SELECT 'answers' AS name, count(*) AS n, sum(id) AS ids FROM answers UNION ALL SELECT 'points', count(*), sum(id) FROM points UNION ALL SELECT 'submissions', count(*), sum(id) FROM submissions")
+@query(with_("points", "answers", "submissions") + "SELECT 'answers' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM answers UNION ALL SELECT 'points', count(*), CAST(sum(id) AS BIGINT) FROM points UNION ALL SELECT 'submissions', count(*), CAST(sum(id) AS BIGINT) FROM submissions")
 def io3_read_tables(spark, d):
     """Tables of the survey model with their declared schemas."""
     path = stage_path(spark, "tables")
@@ -616,7 +616,7 @@ def io3_read_tables(spark, d):
         df.write.parquet(f"{path}/{name}.parquet")
     out = None
     for name, df in io.read_tables(spark, path, list(made)).items():
-        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum("id").cast("decimal(38,0)").alias("ids"))
+        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -717,7 +717,7 @@ def j6_similar_pairs(spark, d):
     """The index against the exact join: pairs, found pairs below the threshold, and whether 95 % or more are found."""
     v = S.vectors(spark, d)
     exact = vectors.radius_join(v, 0.35).select("form_id", "a", "b", F.lit(1).alias("true"))
-    found = neighbours.similar_pairs(v, 0.35, recall=0.98).select("form_id", "a", "b", F.lit(1).alias("got"))
+    found = neighbours.similar_pairs(v, 0.35, recall=0.9995).select("form_id", "a", "b", F.lit(1).alias("got"))
     both = exact.join(found, ["form_id", "a", "b"], "full").groupBy("form_id").agg(F.count("true").alias("pairs"), F.count(F.when(F.col("true").isNull(), 1)).alias("wrong"), F.count(F.when(F.col("true") == F.col("got"), 1)).alias("hit"))
     return both.select("form_id", "pairs", "wrong", (F.col("hit") >= 0.95 * F.col("pairs")).alias("found"))
 
