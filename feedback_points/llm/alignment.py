@@ -212,7 +212,7 @@ def _frequent(counts: DataFrame, limit: int) -> int:
 
 
 def score_links(aligned: DataFrame, limit: int = FREQUENT_PAIRS) -> DataFrame:
-    """``aligned`` (staged) with ``n_best``, links of the corpus's most frequent pairs of their A id, and ``count_sum``.
+    """``aligned`` (staged, with a number ``row`` of each row) with ``n_best``, links of the corpus's most frequent pairs of their A id, and ``count_sum``.
 
     The pairs of the most documents are sent to all tasks, so no key of the join that remains is held
     by more than a small part of the documents.
@@ -220,18 +220,18 @@ def score_links(aligned: DataFrame, limit: int = FREQUENT_PAIRS) -> DataFrame:
     counts = pair_counts(aligned)
     least = _frequent(counts, limit)
     often, rare = counts.where(F.col("docs") >= least), counts.where(F.col("docs") < least)
-    kept = [c for c in aligned.columns if c not in ("pairs", "times")]
-    numbered = aligned.withColumn("__row", F.monotonically_increasing_id())
-    links = numbered.select("__row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("__row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+    kept = [c for c in aligned.columns if c not in ("row", "pairs", "times")]
+    links = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     found = links.join(F.broadcast(often), "pair")
     if not rare.isEmpty():
         found = found.unionByName(links.join(F.broadcast(often.select("pair")), "pair", "left_anti").join(rare, "pair"))
-    sums = found.groupBy("__row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-    return numbered.select("__row", *kept).join(sums, "__row", "left").select(*kept, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")))
+    sums = found.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
+    return aligned.select("row", *kept).join(sums, "row", "left").select(*kept, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")))
 
 
 def alignment_digest(docs: DataFrame, byte_level: str, model: str) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
     aligned = align_tokens(docs, byte_level, model).withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
-    scored = score_links(stage(aligned, "aligned"))
+    # rows are numbered where they are written, so that both reads of the table see one numbering
+    scored = score_links(stage(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned"))
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
