@@ -93,6 +93,34 @@ def test_knn_graph_copies(spark, clustered):
     assert neighbours.knn_graph(frame(spark, np.zeros((3, 4))), 2).count() == 0 == neighbours.knn_graph(df.where("false"), 2).count()
 
 
+def test_knn_graph_of_unrelated_vectors(spark):
+    """Vectors without groups have few neighbours in common: the graph's recall is measured, and weak forms are done again."""
+    m = np.random.default_rng(11).normal(size=(1500, 48))
+    df = frame(spark, m, np.where(np.arange(1500) < 1200, 0, 1)).cache()
+    exact = vectors.knn_join(df, 5).select("form_id", "id", "neighbour")
+    hit = exact.join(neighbours.knn_graph(df, 5, width=8), ["form_id", "id", "neighbour"]).groupBy("form_id").count()
+    assert {r.form_id: r["count"] >= 0.95 * 5 * n for r, n in zip(hit.orderBy("form_id").collect(), (1200, 300), strict=True)} == {0: True, 1: True}
+
+
+def test_knn_graph_keeps_a_good_graph(spark, monkeypatch):
+    """Groups of near vectors in a large form come from the graph itself."""
+    rng = np.random.default_rng(12)
+    m = np.repeat(rng.normal(size=(150, 24)), 12, axis=0) + rng.normal(scale=0.28, size=(1800, 24))
+    df = frame(spark, m).cache()
+    whole = []
+    monkeypatch.setattr(neighbours, "knn_join", lambda rows, *a, **b: whole.append(rows.count()) or vectors.knn_join(rows, *a, **b))
+    got = neighbours.knn_graph(df, 5).select("form_id", "id", "neighbour").cache()
+    assert got.count() == 5 * 1800 and not whole
+    assert got.join(vectors.knn_join(df, 5), ["form_id", "id", "neighbour"]).count() >= 0.95 * 5 * 1800
+
+
+def test_nearest_ties(spark):
+    sims = np.array([[1.0, 0.5, 0.5, 0.5, 0.9], [0.5, 1.0, 0.2, 0.5, 0.5]])
+    row, other, _ = vectors.nearest(sims, np.array([7, 3]), np.array([7, 3, 1, 2, 9]), 3)
+    assert list(zip(row, other, strict=True)) == [(7, 9), (7, 1), (7, 2), (3, 2), (3, 7), (3, 9)]
+    assert len(vectors.nearest(sims[:, :2], np.array([7, 3]), np.array([7, 3]), 3)[0]) == 2
+
+
 def test_merge_by_index(spark, clustered):
     m, forms = clustered
     df = frame(spark, m, forms).withColumn("topic_key", F.when(F.col("id") % 3 == 0, (F.col("id") % 7).cast("string"))).withColumn("confidence", F.col("id") / 1000.0)
