@@ -2,7 +2,7 @@
 
 Core points have at least ``min_pts`` neighbours within ``eps`` (by cosine distance), connected core
 points form a group, a border point joins its nearest core point, small groups are noise (DBSCAN* of
-Campello et al. 2013). Pairs come from the blocked similarity join, groups from connected components.
+Campello et al. 2013). Pairs of blocks are multiplied by tasks that send counts and links, never all pairs; groups come from connected components.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from . import hierarchy
 from .components import connected_components
 from .neighbours import similar_pairs
 from .report import cluster_size_stats
-from .vectors import centroids, confidence, knn_join, min_cluster_size, radius_join, reassign_outliers
+from .vectors import centroids, confidence, knn_join, min_cluster_size, near_counts, near_links, plain_rows, radius_join, reassign_outliers
 from .words import class_tfidf, npmi_by_topic, topic_diversity
 
 
@@ -30,34 +30,38 @@ def density_cluster(points: DataFrame, min_size: int, min_pts: int | None = None
     """
     min_pts = min_pts or min_size
     base = stage(points.select(F.col(form).cast("long").alias("form_id"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("embedding")), "cluster-points")
-    pairs, _ = pair_graph(base, min_pts, eps)
-    return _clusters(base, pairs, min_size, min_pts)
+    rows = plain_rows(base, "form_id", "id", "embedding").join(form_limits(base, min_pts, eps).select("form_id", (1 - F.col("eps")).alias("limit")), "form_id")
+    core = stage(near_counts(rows).where(F.col("n") >= min_pts).select("form_id", F.col("id").alias("core")), "cores")
+    flagged = rows.join(core.select("form_id", F.col("core").alias("id"), F.lit(True).alias("__c")), ["form_id", "id"], "left")
+    found = stage(near_links(flagged.select(*rows.columns, F.coalesce("__c", F.lit(False)).alias("core"))), "links")
+    return _clusters(base, core.select("core"), found, min_size)
 
 
-def pair_graph(base: DataFrame, min_pts: int, eps: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The pairs within each form's own limit, and the limits (``form_id, eps``); both staged.
+def form_limits(base: DataFrame, min_pts: int, eps: float | None = None) -> DataFrame:
+    """Each form's own limit (``form_id, eps``), staged.
 
-    Without ``eps`` a form's limit is the median distance to the ``min_pts``-th neighbour; the median is exact up to
+    Without ``eps`` it is the median distance to the ``min_pts``-th neighbour; the median is exact up to
     10,000 points of a form, and within a ten-thousandth of ranks beyond.
     """
     if eps is not None:
-        limits = stage(base.select("form_id").distinct().withColumn("eps", F.lit(float(eps))), "limits")
-    else:
-        kth = knn_join(base, min_pts).where(F.col("place") == min_pts)
-        # euclidean distance d of unit vectors is a cosine distance of d*d/2
-        median = F.percentile_approx("distance", 0.5, 10_000)
-        limits = stage(kth.groupBy("form_id").agg((median * median / 2).alias("eps")), "limits")
+        return stage(base.select("form_id").distinct().withColumn("eps", F.lit(float(eps))), "limits")
+    kth = knn_join(base, min_pts).where(F.col("place") == min_pts)
+    # euclidean distance d of unit vectors is a cosine distance of d*d/2
+    median = F.percentile_approx("distance", 0.5, 10_000)
+    return stage(kth.groupBy("form_id").agg((median * median / 2).alias("eps")), "limits")
+
+
+def pair_graph(base: DataFrame, min_pts: int, eps: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs within each form's own limit (see :func:`form_limits`), and the limits; both staged."""
+    limits = form_limits(base, min_pts, eps)
     return stage(radius_join(base, limits=limits.select("form_id", (1 - F.col("eps")).alias("limit"))), "pairs"), limits
 
 
-def _clusters(base: DataFrame, pairs: DataFrame, min_size: int, min_pts: int) -> DataFrame:
-    both = pairs.select("form_id", "a", "b", "similarity").unionByName(pairs.select("form_id", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    core = stage(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("core")), "cores")
-    joined = pairs.join(core.withColumnRenamed("core", "a"), "a", "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi")
-    groups = connected_components(joined)
+def _clusters(base: DataFrame, core: DataFrame, found: DataFrame, min_size: int) -> DataFrame:
+    """Labels from the core points and what :func:`.vectors.near_links` found."""
+    groups = connected_components(found.where("similarity is null"), "id", "other")
     inner = core.join(groups, core.core == groups.id, "left").select(F.col("core").alias("id"), F.coalesce("component", "core").alias("component"))
-    border = both.join(core.withColumnRenamed("core", "b"), "b", "left_semi").join(core.withColumnRenamed("core", "a"), "a", "left_anti")
-    nearest = border.groupBy("a").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), F.col("b").alias("core"))).alias("m")).select(F.col("a").alias("id"), F.col("m.core").alias("near"))
+    nearest = found.where("similarity is not null").groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m")).select("id", F.col("m.other").alias("near"))
     outer = nearest.join(inner.withColumnRenamed("id", "near"), "near").select("id", "component")
     member = base.select("form_id", "id").join(inner.unionByName(outer), "id", "left")
     sized = member.where("component is not null").groupBy("form_id", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_size)
@@ -208,4 +212,4 @@ def growth_curve(prefixes: DataFrame, min_size: int, k: int = DEFAULTS.knn, eps:
     return out.drop("form_id")
 
 
-__all__ = ["centroids", "confidence", "density_cluster", "growth_curve", "knn_purity", "merge_near_duplicates", "min_cluster_size", "pair_graph", "parameter_sweep", "partition_cluster", "split_large_topics", "sweep_keys", "sweep_sizes", "topic_keys", "touched_topics"]
+__all__ = ["centroids", "confidence", "density_cluster", "form_limits", "growth_curve", "knn_purity", "merge_near_duplicates", "min_cluster_size", "pair_graph", "parameter_sweep", "partition_cluster", "split_large_topics", "sweep_keys", "sweep_sizes", "topic_keys", "touched_topics"]

@@ -121,6 +121,27 @@ def test_nearest_ties(spark):
     assert len(vectors.nearest(sims[:, :2], np.array([7, 3]), np.array([7, 3]), 3)[0]) == 2
 
 
+def test_density_cluster_writes_no_pairs(spark, monkeypatch):
+    """Points that are all near each other: tasks send a few rows a point and block, and blocks do not change labels."""
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.normal(size=16) + rng.normal(scale=0.05, size=(400, 16)), rng.normal(size=(3, 16))[[0] * 60 + [1] * 40] + rng.normal(scale=0.2, size=(100, 16)), rng.normal(size=(100, 16))])
+    df = frame(spark, m, np.arange(600) % 2).cache()
+    monkeypatch.setattr(clustering, "radius_join", None)
+    one = {r.id: r.label for r in clustering.density_cluster(df, 8, eps=0.2).collect()}
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    assert {r.id: r.label for r in clustering.density_cluster(df, 8, eps=0.2).collect()} == one
+    rows = df.select("form_id", "id", F.col("embedding").alias("v"), F.lit(0.8).alias("limit"))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.8) & (np.arange(600)[:, None] % 2 == np.arange(600) % 2) & ~np.eye(600, dtype=bool)
+    assert {r.id: r.n for r in vectors.near_counts(rows).collect()} == {i: n for i, n in enumerate(near.sum(1).tolist()) if n}
+    assert near.sum() > 60_000 and vectors.near_links(rows.withColumn("core", F.col("id") % 3 != 0)).count() <= 600 * vectors.BLOCKS
+
+
+def test_rows_are_sent_to_few_blocks(spark):
+    df = spark.range(20_000).select(F.lit(0).cast("long").alias("form_id"), "id", F.array(F.lit(1.0).cast("float")).alias("v"))
+    assert vectors._dealt(df, ["form_id"], None).count() == 20_000 * vectors.BLOCKS
+
+
 def test_merge_by_index(spark, clustered):
     m, forms = clustered
     df = frame(spark, m, forms).withColumn("topic_key", F.when(F.col("id") % 3 == 0, (F.col("id") % 7).cast("string"))).withColumn("confidence", F.col("id") / 1000.0)
