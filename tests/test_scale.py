@@ -142,6 +142,15 @@ def test_rows_are_sent_to_few_blocks(spark):
     assert vectors._dealt(df, ["form_id"], None).count() == 20_000 * vectors.BLOCKS
 
 
+def test_index_that_compares_more_than_all_pairs_is_not_used(spark, monkeypatch):
+    m = np.random.default_rng(5).normal(size=(300, 32))
+    df = frame(spark, np.concatenate([m, m[:5]])).cache()
+    monkeypatch.setattr(neighbours, "hashed", None)
+    got = {(r.a, r.b) for r in neighbours.similar_pairs(df, 0.35, recall=0.9995).collect()}
+    exact = {(r.a, r.b) for r in vectors.radius_join(frame(spark, m), 0.35).collect()}
+    assert got == exact | {(i, 300 + i) for i in range(5)} and exact
+
+
 def test_merge_by_index(spark, clustered):
     m, forms = clustered
     df = frame(spark, m, forms).withColumn("topic_key", F.when(F.col("id") % 3 == 0, (F.col("id") % 7).cast("string"))).withColumn("confidence", F.col("id") / 1000.0)
