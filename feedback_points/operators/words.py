@@ -21,6 +21,8 @@ from ..session import stage
 TERM = r"[a-z0-9_]{2,}"
 #: Terms that are sent to all tasks at most.
 MAX_WANTED = 500_000
+#: Counters of terms that a task holds; those of a million take some 300 MB of each worker.
+CAPACITY = 200_000
 #: Words of the coherence measure.
 TOKEN = r"[a-z][a-z'-]{1,}"
 
@@ -144,11 +146,12 @@ def _place(df: DataFrame, keys: tuple[str, ...], *order: Column | str) -> DataFr
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def top_words(docs: DataFrame, k: int, *keys: str, text: str = "text", stop: list[str] | None = None, keep: int = 2000, capacity: int = 1_000_000) -> DataFrame:
+def top_words(docs: DataFrame, k: int, *keys: str, text: str = "text", stop: list[str] | None = None, keep: int = 2000, capacity: int = CAPACITY) -> DataFrame:
     """The k most frequent terms of each key; ties in order of the alphabet.
 
     Tasks send bounded summaries; a second pass counts exactly those terms that can be among the first by the
-    summaries' bounds, and no others. Where the bounds do not settle it, summaries of more terms are asked for.
+    summaries' bounds, and no others. Where the bounds do not settle it, summaries of more terms are asked for, as long as a
+    task's counters stay within ``capacity``; beyond that all terms are counted by a shuffle.
     """
     stop = english_stop_words() if stop is None else stop
     while True:
@@ -160,7 +163,9 @@ def top_words(docs: DataFrame, k: int, *keys: str, text: str = "text", stop: lis
             counts = _exact(docs, keys, same_keys(bounds, judged.select(*keys, "least"), keys).where("high >= least"), text, stop)
             counts = term_counts(docs, *keys, text=text, stop=stop) if counts is None else counts
             return _place(counts, keys, F.desc("n"), "term").where(F.col("place") <= k)
-        keep, capacity = keep * 16, capacity * 2
+        keep *= 16
+        if keep > capacity:
+            return _place(term_counts(docs, *keys, text=text, stop=stop), keys, F.desc("n"), "term").where(F.col("place") <= k)
 
 
 def _left_keys(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -175,7 +180,7 @@ def _weight(n: Column, topic_terms: Column, average: Column, term_total: Column)
     return F.sqrt(n / topic_terms) * F.log1p(average / term_total)
 
 
-def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", stop: list[str] | None = None, form: str | None = None, keep: int = 2000, capacity: int = 1_000_000) -> DataFrame:
+def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", stop: list[str] | None = None, form: str | None = None, keep: int = 2000, capacity: int = CAPACITY) -> DataFrame:
     """The k terms that set each topic apart: square root of the term's share in the topic, times
     log(1 + average terms of a topic / occurrences of the term in all topics), within each form if one is named.
 
@@ -198,15 +203,16 @@ def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", st
         least = _place(ranked, keys, F.desc("low"), "term").where(F.col("place") == k).select(*keys, (F.col("low") - 2e-9).alias("least"))
         most = F.least(F.col("slack").cast("double"), F.col("average") / 4)
         judged = stage(_left_keys(sums, least, keys).withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("unlisted", F.sqrt(most / F.col("total")) * F.log1p(F.try_divide(F.col("average"), most))), "weight-least")
-        if judged.where("slack > 0 and (unlisted >= least or slack * 4 > average)").isEmpty():
-            counts = _exact(docs, keys, same_keys(ranked, judged.select(*keys, "least"), keys).where("high >= least"), text, stop)
+        settled = judged.where("slack > 0 and (unlisted >= least or slack * 4 > average)").isEmpty()
+        keep *= 16
+        if settled or keep > capacity:  # a task's counters stay within capacity: beyond it, all terms are counted by a shuffle
+            counts = _exact(docs, keys, same_keys(ranked, judged.select(*keys, "least"), keys).where("high >= least"), text, stop) if settled else None
             if counts is None:
                 counts = term_counts(docs, *keys, text=text, stop=stop)
             counts = stage(counts, "term-counts")
             scored = same_keys(same_keys(counts, sums, keys), counts.groupBy(*by, "term").agg(F.sum("n").alias("term_total")), (*by, "term"))
             scored = scored.select(*keys, "term", _weight(F.col("n"), F.col("total"), F.col("average"), F.col("term_total")).alias("weight"))
             return _place(scored, keys, F.desc(F.round("weight", 9)), "term").where(F.col("place") <= k)
-        keep, capacity = keep * 16, capacity * 2
 
 
 def keyword_fallback(own: DataFrame, parent: DataFrame, frequent: DataFrame, topic: str) -> DataFrame:

@@ -267,6 +267,15 @@ def test_class_tfidf_is_exact(texts, keep, capacity):
     assert words.class_tfidf(texts.where("false"), "t").count() == 0 == words.top_words(texts.where("false"), 3, "t").count()
 
 
+def test_counters_stay_within_capacity(spark, monkeypatch):
+    """Terms of one frequency settle nothing: they are counted by a shuffle, not in ever larger counters."""
+    df = spark.createDataFrame([(f"w{i % 40:02d} x{i % 37:02d}",) for i in range(400)], "text string")
+    asked, made = [], words._tallies
+    monkeypatch.setattr(words, "_tallies", lambda *a: asked.append(a[-1]) or made(*a))
+    got = [(r.term, r.n) for r in words.top_words(df, 3, stop=[], keep=2, capacity=8).orderBy("place").collect()]
+    assert got == [(f"x0{i}", 11) for i in range(3)] and asked == [8]
+
+
 def test_npmi_asks_for_pairs_of_a_topic_only(spark):
     """A thousand topics of ten words: the pairs that are counted are those of topics, whatever documents hold."""
     listed = spark.createDataFrame([(f"t{t}", f"word{chr(97 + t % 26)}{chr(97 + t // 26 % 26)}{chr(97 + t // 676)}{chr(97 + k)}", k) for t in range(1000) for k in range(10)], "t string, term string, place int")
