@@ -162,12 +162,17 @@ def parameter_sweep(points: DataFrame, sizes: list[int] | None = None, min_pts:
     tried = stage(tried.select("form_id", F.explode(F.col("sizes").cast("array<int>")).alias("min_size")), "sweep-sizes")
     keys = stage(sweep_keys(base, tried, min_pts, eps), "sweep-keys")
     before = keys.groupBy("form_id", "min_size").agg(F.round(F.avg(F.col("topic_key").isNull().cast("double")), 6).alias("outlier_before"))
-    # from here on a form at a size is a form of its own
+    # from here on a form at a size is a form of its own; texts stay apart, a row each whatever the number of sizes
     runs = stage(stage(tried, "runs").withColumn("run", F.monotonically_increasing_id()), "runs")
-    own = keys.join(runs, ["form_id", "min_size"]).join(base, ["form_id", "id"])
-    kept = stage(reassign_outliers(own.select(F.col("run").alias("form_id"), "id", "topic_key", "embedding", "text")).drop("rescued", "embedding"), "sweep-labels")
-    top = stage(class_tfidf(kept.where("topic_key is not null"), "topic_key", k, form="form_id"), "sweep-words")
-    coherence = npmi_by_topic(top, kept, "topic_key", k=k, form="form_id").groupBy("form_id").agg(F.avg("npmi").alias("npmi"))
+    own = keys.join(runs, ["form_id", "min_size"]).join(base.select("form_id", "id", "embedding"), ["form_id", "id"])
+    own = own.select(F.col("run").alias("form_id"), F.col("form_id").alias("own_form"), "id", "topic_key", "embedding")
+    kept = stage(reassign_outliers(own).drop("rescued", "embedding"), "sweep-labels")
+    topics = kept.where("topic_key is not null").groupBy(F.col("own_form").alias("form_id"), "id").agg(F.array_sort(F.collect_list(F.struct("form_id", "topic_key"))).alias("topics"))  # at most one a size
+    texts = base.select("form_id", "id", "text")
+    top = stage(class_tfidf(stage(texts.join(topics, ["form_id", "id"]).select("topics", "text"), "sweep-texts"), "topic_key", k, form="form_id", members="topics"), "sweep-words")
+    # all sizes of a form have the same texts, so their topics are looked up in them at once
+    named_top = top.withColumnRenamed("form_id", "run").join(runs, "run").select("form_id", F.struct("run", "topic_key").alias("topic"), "term", "place")
+    coherence = npmi_by_topic(named_top, texts, "topic", k=k, form="form_id").groupBy(F.col("topic.run").alias("form_id")).agg(F.avg("npmi").alias("npmi"))
     stats = cluster_size_stats(kept, ["form_id"]).join(coherence, "form_id", "left").join(topic_diversity(top, k, "form_id"), "form_id", "left")
     named = stats.withColumnRenamed("form_id", "run").join(runs, "run").join(before, ["form_id", "min_size"])
     return named.select("form_id", "min_size", "n", "topics", "outlier_before", "outlier_rate", "largest_share", "median_size", "npmi", "diversity")

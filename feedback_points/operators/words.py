@@ -45,38 +45,62 @@ def term_counts(docs: DataFrame, *keys: str, text: str = "text", stop: list[str]
     return docs.select(*keys, F.explode(ngrams(F.col(text), stop)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _member_counts(docs: DataFrame, keys: tuple[str, ...], members: str, text: str, stop: list[str]) -> DataFrame:
+    """:func:`term_counts` of rows that are in several groups: counted by their sets of groups first."""
+    by_set = term_counts(docs, members, text=text, stop=stop).select(F.explode(members).alias("m"), "term", "n")
+    return by_set.groupBy(*[F.col(f"m.{k}").alias(k) for k in keys], "term").agg(F.sum("n").alias("n"))
+
+
 def _terms(words: list[str], stop: frozenset[str]) -> list[str]:
     kept = [w for w in words if w not in stop] if stop else words
     return kept + [f"{a} {b}" for a, b in zip(kept[:-1], kept[1:], strict=True)]
 
 
-def _rows_of(docs: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
-    """Keys as one JSON text, and lower-cased text."""
-    return docs.where(F.col(text).isNotNull()).select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key"), F.lower(F.col(text)).alias("text"))
+def _rows_of(docs: DataFrame, keys: tuple[str, ...], text: str, members: str | None = None) -> DataFrame:
+    """Keys as JSON texts, one of each group that the row is in, and lower-cased text."""
+    as_json = lambda s: F.to_json(s, {"ignoreNullFields": "false"})
+    groups = F.transform(members, lambda m: as_json(F.struct(*[m[k].alias(k) for k in keys]))) if members else F.array(as_json(F.struct(*keys)))
+    return docs.where(F.col(text).isNotNull()).select(groups.alias("keys"), F.lower(F.col(text)).alias("text"))
+
 
+def _by_key(counts: dict[tuple, Counter]) -> Iterator[tuple[str, list[tuple], Counter]]:
+    """Each key, the sets of keys with it that rows have, and the sum of their counters; one sum is held at a time."""
+    sets: dict[str, list[tuple]] = {}
+    for keys in counts:
+        for key in set(keys):
+            sets.setdefault(key, []).append(keys)
+    for key, own in sets.items():
+        total = counts[own[0]]
+        if len(own) > 1:
+            total = Counter(total)
+            for keys in own[1:]:
+                total.update(counts[keys])
+        yield key, own, total
 
-def _with_keys(df: DataFrame, docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    schema = StructType([docs.schema[k] for k in keys])
+
+def _with_keys(df: DataFrame, docs: DataFrame, keys: tuple[str, ...], members: str | None = None) -> DataFrame:
+    schema = StructType([docs.schema[members].dataType.elementType[k] if members else docs.schema[k] for k in keys])
     return df.withColumn("__k", F.from_json("key", schema)).select("*", *(F.col("__k")[k].alias(k) for k in keys)).drop("__k", "key") if keys else df.drop("key")
 
 
-def _tallies(docs: DataFrame, keys: tuple[str, ...], text: str, stop: list[str], keep: int, capacity: int) -> DataFrame:
+def _tallies(docs: DataFrame, keys: tuple[str, ...], text: str, stop: list[str], keep: int, capacity: int, members: str | None = None) -> DataFrame:
     """Bounded summaries of the terms of each key, one a task (staged).
 
     ``term, n, gap``: a task's ``keep`` most frequent terms of a key; a row without a term has all terms' number and, as
     ``slack``, more than which no term that the task leaves out occurs there. A task holds ``capacity`` counters; when there
     are more, the lower half goes, and ``slack`` grows by the highest count lost. ``gap`` is by how much
-    less a listed term can be undercounted than one that is left out.
+    less a listed term can be undercounted than one that is left out. Rows of the same ``members`` (see
+    :func:`class_tfidf`) are counted together, and their counters added up for each key when the task ends.
     """
     stopped = frozenset(stop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        counts: dict[tuple, Counter] = {}
         error: Counter = Counter()
         total: Counter = Counter()
         held, find = 0, re.compile(TERM).findall
         for batch in batches:
-            for key, words in zip(batch.column(0).to_pylist(), map(find, batch.column(1).to_pylist()), strict=True):
+            for key, words in zip(map(tuple, batch.column(0).to_pylist()), map(find, batch.column(1).to_pylist()), strict=True):
                 terms = _terms(words, stopped)
                 total[key] += len(terms)
                 own = counts.setdefault(key, Counter())
@@ -91,20 +115,20 @@ def _tallies(docs: DataFrame, keys: tuple[str, ...], text: str, stop: list[str],
                             error[k] += ranked[cut][1]
                             counts[k] = Counter(dict(ranked[:cut]))
                     held = sum(map(len, counts.values()))
-        for key, own in counts.items():
+        for key, sets, own in _by_key(counts):
             ranked = own.most_common(keep + 1)
             rest = ranked[keep][1] if len(ranked) > keep else 0
             ranked = ranked[:keep]
             n = len(ranked)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * (n + 1)), pa.array([t for t, _ in ranked] + [None], pa.string()), pa.array([c for _, c in ranked] + [total[key]], pa.int64()), pa.array([rest] * n + [0], pa.int64()), pa.array([0] * n + [rest + error[key]], pa.int64())],
+                [pa.array([key] * (n + 1)), pa.array([t for t, _ in ranked] + [None], pa.string()), pa.array([c for _, c in ranked] + [sum(total[g] for g in sets)], pa.int64()), pa.array([rest] * n + [0], pa.int64()), pa.array([0] * n + [rest + sum(error[g] for g in sets)], pa.int64())],
                 ["key", "term", "n", "gap", "slack"],
             )
 
-    return stage(_with_keys(_rows_of(docs, keys, text).mapInArrow(run, "key string, term string, n long, gap long, slack long"), docs, keys), "term-tallies")
+    return stage(_with_keys(_rows_of(docs, keys, text, members).mapInArrow(run, "key string, term string, n long, gap long, slack long"), docs, keys, members), "term-tallies")
 
 
-def _exact(docs: DataFrame, keys: tuple[str, ...], wanted: DataFrame, text: str, stop: list[str]) -> DataFrame | None:
+def _exact(docs: DataFrame, keys: tuple[str, ...], wanted: DataFrame, text: str, stop: list[str], members: str | None = None) -> DataFrame | None:
     """Counts of the wanted terms (``term``) in each key, one row a task, key and term before the shuffle; None where they are
     too many to be sent to all tasks."""
     wanted = stage(wanted.select("term").distinct(), "wanted-terms")
@@ -113,15 +137,15 @@ def _exact(docs: DataFrame, keys: tuple[str, ...], wanted: DataFrame, text: str,
     listed, stopped = frozenset(r[0] for r in wanted.collect()), frozenset(stop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        counts: dict[tuple, Counter] = {}
         find = re.compile(TERM).findall
         for batch in batches:
-            for key, words in zip(batch.column(0).to_pylist(), map(find, batch.column(1).to_pylist()), strict=True):
+            for key, words in zip(map(tuple, batch.column(0).to_pylist()), map(find, batch.column(1).to_pylist()), strict=True):
                 counts.setdefault(key, Counter()).update(filter(listed.__contains__, _terms(words, stopped)))
-        for key, own in counts.items():
+        for key, _, own in _by_key(counts):
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["key", "term", "n"])
 
-    parts = _with_keys(_rows_of(docs, keys, text).mapInArrow(run, "key string, term string, n long"), docs, keys)
+    parts = _with_keys(_rows_of(docs, keys, text, members).mapInArrow(run, "key string, term string, n long"), docs, keys, members)
     return parts.groupBy(*keys, "term").agg(F.sum("n").alias("n"))
 
 
@@ -180,19 +204,22 @@ def _weight(n: Column, topic_terms: Column, average: Column, term_total: Column)
     return F.sqrt(n / topic_terms) * F.log1p(average / term_total)
 
 
-def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", stop: list[str] | None = None, form: str | None = None, keep: int = 2000, capacity: int = CAPACITY) -> DataFrame:
+def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", stop: list[str] | None = None, form: str | None = None, keep: int = 2000, capacity: int = CAPACITY, members: str | None = None) -> DataFrame:
     """The k terms that set each topic apart: square root of the term's share in the topic, times
     log(1 + average terms of a topic / occurrences of the term in all topics), within each form if one is named.
 
     Terms whose weight cannot be among the first k by the bounds of the tasks' summaries are not counted (see
     :func:`top_words`). A term that no summary lists occurs at most ``slack`` times in its topic; its weight grows with that
     number as long as that is below a quarter of the average, and is bounded by the greatest weight of all beyond.
+
+    With ``members``, an array column of structs with the topic (and form), a row is in each of these topics, and its text is
+    read once for all of them.
     """
     stop = english_stop_words() if stop is None else stop
     by = (form,) if form else ()
     keys = (*by, topic)
     while True:
-        bounds, sums = _bounds(_tallies(docs, keys, text, stop, keep, capacity), keys)
+        bounds, sums = _bounds(_tallies(docs, keys, text, stop, keep, capacity, members), keys)
         sums = stage(same_keys(sums.where("total > 0"), sums.where("total > 0").groupBy(*by).agg(F.avg("total").alias("average"), F.sum("slack").alias("all_slack")), by), "topic-terms")
         bounds = stage(bounds, "term-bounds")
         whole = bounds.groupBy(*by, "term").agg(F.sum("low").alias("all_low"), F.sum("high").alias("all_listed"), F.sum(F.lit(0)).alias("none"))
@@ -206,9 +233,9 @@ def class_tfidf(docs: DataFrame, topic: str, k: int = 10, text: str = "text", st
         settled = judged.where("slack > 0 and (unlisted >= least or slack * 4 > average)").isEmpty()
         keep *= 16
         if settled or keep > capacity:  # a task's counters stay within capacity: beyond it, all terms are counted by a shuffle
-            counts = _exact(docs, keys, same_keys(ranked, judged.select(*keys, "least"), keys).where("high >= least"), text, stop) if settled else None
+            counts = _exact(docs, keys, same_keys(ranked, judged.select(*keys, "least"), keys).where("high >= least"), text, stop, members) if settled else None
             if counts is None:
-                counts = term_counts(docs, *keys, text=text, stop=stop)
+                counts = _member_counts(docs, keys, members, text, stop) if members else term_counts(docs, *keys, text=text, stop=stop)
             counts = stage(counts, "term-counts")
             scored = same_keys(same_keys(counts, sums, keys), counts.groupBy(*by, "term").agg(F.sum("n").alias("term_total")), (*by, "term"))
             scored = scored.select(*keys, "term", _weight(F.col("n"), F.col("total"), F.col("average"), F.col("term_total")).alias("weight"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from feedback_points.operators import clustering, hierarchy, neighbours, queue, scoring, splitting, vectors, words
+from feedback_points.operators import clustering, components, hierarchy, neighbours, queue, scoring, splitting, vectors, words
 from feedback_points.plans import jobs
 from feedback_points.session import stage_path
 from feedback_points.sources import changes, io
@@ -451,3 +451,32 @@ def test_partition_cluster(spark):
     m = np.concatenate([c + rng.normal(scale=0.01, size=(20, 4)) for c in ([0, 0, 0, 9], [9, 0, 0, 0])])
     got = {r.id: r.label for r in clustering.partition_cluster(frame(spark, m), 2).collect()}
     assert len({got[i] for i in range(20)}) == 1 and {got[i] for i in range(20, 40)} == {1 - got[0]}
+
+
+# --- rounds of components, texts of several topics ------------------------------------------------
+
+
+def test_components_of_a_tree_take_few_rounds(spark, monkeypatch):
+    """A spanning tree with mixed numbers: labels that go from neighbour to neighbour need as many rounds as its paths are long."""
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(3000).tolist()
+    tree = [(ids[i], ids[max(i - int(rng.integers(1, 4)), i // 1000 * 1000)]) for i in range(3000)]
+    tables = []
+    real = components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: tables.append(name) or real(df, name))
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(tree, "a long, b long")).collect()}
+    want = {}
+    for part in (ids[:1000], ids[1000:2000], ids[2000:]):
+        want.update(dict.fromkeys(part, min(part)))
+    assert got == want and len(tables) <= 40
+
+
+@pytest.mark.parametrize(("keep", "capacity"), [(2000, 10**6), (30, 400)])
+def test_class_tfidf_of_members(texts, keep, capacity):
+    """Rows that are in several topics count in each, as if they were repeated."""
+    twice = texts.where("t is not null").withColumn("topics", F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lit(0).alias("f"), "t"), F.struct(F.lit(1).alias("f"), F.lit("z").alias("t")))).otherwise(F.array(F.struct(F.lit(1).alias("f"), "t"))))
+    plain = twice.select("text", F.explode("topics").alias("m")).select("text", "m.f", "m.t")
+    rows = lambda df: sorted((r.f, r.t, r.term, r.place, round(r.weight, 9)) for r in df.collect())
+    want = rows(words.class_tfidf(plain, "t", 6, stop=["w1"], form="f"))
+    assert {(f, t) for f, t, *_ in want} == {(0, "x"), (0, "y"), (1, "x"), (1, "y"), (1, "z")}
+    assert rows(words.class_tfidf(twice, "t", 6, stop=["w1"], form="f", members="topics", keep=keep, capacity=capacity)) == want
