@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULTS
 from ..session import stage
+from ..sources.io import numbered
 from . import hierarchy
 from .components import connected_components
 from .neighbours import similar_pairs
 from .report import cluster_size_stats
-from .vectors import centroids, confidence, knn_join, min_cluster_size, near_counts, near_links, plain_rows, radius_join, reassign_outliers
+from .vectors import centroids, confidence, core_points, knn_join, min_cluster_size, near_links, plain_rows, radius_join, reassign_outliers
 from .words import class_tfidf, npmi_by_topic, topic_diversity
 
 
@@ -31,7 +32,7 @@ def density_cluster(points: DataFrame, min_size: int, min_pts: int | None = None
     min_pts = min_pts or min_size
     base = stage(points.select(F.col(form).cast("long").alias("form_id"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("embedding")), "cluster-points")
     rows = plain_rows(base, "form_id", "id", "embedding").join(form_limits(base, min_pts, eps).select("form_id", (1 - F.col("eps")).alias("limit")), "form_id")
-    core = stage(near_counts(rows).where(F.col("n") >= min_pts).select("form_id", F.col("id").alias("core")), "cores")
+    core = core_points(rows, min_pts).select("form_id", F.col("id").alias("core"))
     flagged = rows.join(core.select("form_id", F.col("core").alias("id"), F.lit(True).alias("__c")), ["form_id", "id"], "left")
     found = stage(near_links(flagged.select(*rows.columns, F.coalesce("__c", F.lit(False)).alias("core"))), "links")
     return _clusters(base, core.select("core"), found, min_size)
@@ -196,25 +197,26 @@ def knn_purity(points: DataFrame, labels: DataFrame, k: int = DEFAULTS.knn) -> D
     """Per form the mean share of a point's k neighbours with its label, noise left out; null when
     a form has at most k + 1 clustered points."""
     kept = points.join(labels.where(F.col("label") >= 0).select("id", "label"), "id")
-    near = knn_join(kept, k)
+    n = kept.groupBy("form_id").agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("vectors"), (F.min("label") == F.max("label")).alias("one"))
+    near = knn_join(kept.join(n.where("not one").select("form_id"), "form_id", "left_semi"), k)  # where all have one label, so have all neighbours
     own = labels.select("id", "label")
     other = labels.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
     share = near.join(own, "id").join(other, "neighbour").groupBy("form_id", "id").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("share"))
-    n = kept.groupBy("form_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(share.groupBy("form_id").agg(F.avg("share").alias("purity")), "form_id", "left").select("form_id", F.when(F.col("n") > k + 1, F.col("purity")).alias("purity"))
+    purity = F.when(F.col("one") & (F.col("vectors") > 1), 1.0).otherwise(F.col("purity"))
+    return n.join(share.groupBy("form_id").agg(F.avg("share").alias("purity")), "form_id", "left").select("form_id", F.when(F.col("n") > k + 1, purity).alias("purity"))
 
 
 def growth_curve(prefixes: DataFrame, min_size: int, k: int = DEFAULTS.knn, eps: float | None = None) -> DataFrame:
     """Cluster statistics and purity of each prefix of ``labels.growth_prefixes``, as forms of their own."""
     staged = stage(prefixes, "prefixes")
     sizes = [r[0] for r in staged.select("fraction").distinct().orderBy("fraction").collect()]  # a handful
-    out = None
-    for f in sizes:
-        own = staged.where(F.col("fraction") == f).withColumn("form_id", F.lit(0).cast("long"))
-        labels = stage(density_cluster(own, min_size, eps=eps), "labels")
-        row = cluster_size_stats(topic_keys(labels), ["form_id"]).join(knn_purity(own, labels, k), "form_id", "left").withColumn("fraction", F.lit(f))
-        out = row if out is None else out.unionByName(row)
-    return out.drop("form_id")
+    fractions = F.array(*map(F.lit, sizes))
+    placed = staged.withColumn("form_id", F.array_position(fractions, F.col("fraction")) - 1)
+    # a point of each prefix is a point of its own, in the order of the ids
+    own = stage(numbered(placed.select("form_id", "id", "embedding"), "id", name="__row").select("form_id", F.col("__row").alias("id"), "embedding"), "growth-points")
+    labels = stage(density_cluster(own, min_size, eps=eps), "labels")
+    row = cluster_size_stats(topic_keys(labels), ["form_id"]).join(knn_purity(own, labels, k), "form_id", "left")
+    return row.withColumn("fraction", F.get(fractions, F.col("form_id").cast("int"))).drop("form_id")
 
 
 __all__ = ["centroids", "confidence", "density_cluster", "form_limits", "growth_curve", "knn_purity", "merge_near_duplicates", "min_cluster_size", "pair_graph", "parameter_sweep", "partition_cluster", "split_large_topics", "sweep_keys", "sweep_sizes", "topic_keys", "touched_topics"]

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from feedback_points.operators import clustering, components, hierarchy, neighbours, queue, scoring, splitting, vectors, words
+from feedback_points.operators import clustering, components, hierarchy, labels, neighbours, queue, scoring, splitting, vectors, words
 from feedback_points.plans import jobs
 from feedback_points.session import stage_path
 from feedback_points.sources import changes, io
@@ -137,6 +137,66 @@ def test_density_cluster_writes_no_pairs(spark, monkeypatch):
     assert near.sum() > 60_000 and vectors.near_links(rows.withColumn("core", F.col("id") % 3 != 0)).count() <= 600 * vectors.BLOCKS
 
 
+def test_closest_is_nearest(monkeypatch):
+    """Single precision and shares of the others leave the k nearest as they are, copies and repeated ids included."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(700, 16))
+    m[300:400], m[650:] = m[:1], m[100:150]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = rng.permutation(700)
+    ids[10] = ids[20]
+    for wide, high, tile in ((2048, 1024, 1 << 21), (600, 64, 4096), (50, 32, 256)):
+        for name, value in (("WIDE", wide), ("HIGH", high), ("TILE", tile)):
+            monkeypatch.setattr(vectors, name, value)
+        for own, others in ((slice(0, 700), slice(0, 700)), (slice(0, 350), slice(200, 700)), (slice(0, 9), slice(5, 8))):
+            sims = m[own] @ m[others].T
+            want = vectors.nearest(np.where(sims > 1 - 1e-12, 1, sims), ids[own], ids[others], 5)
+            got = [np.concatenate(c) for c in zip(*vectors.closest(m[own], m[others], ids[own], ids[others], 5), strict=True)]
+            assert all(np.array_equal(x, y) for x, y in zip(want[:2], got[:2], strict=True)) and np.allclose(want[2], got[2], atol=1e-7)
+
+
+def test_probes_settle_most_points(spark, monkeypatch):
+    """Points near enough probes are not compared with all; the labels are those of all pairs."""
+    rng = np.random.default_rng(6)
+    groups_ = [rng.normal(size=16) + rng.normal(scale=0.1, size=(n, 16)) for n in (300, 300, 60, 5)]
+    bridge = [x / np.linalg.norm(x) for x in (groups_[0].mean(0), groups_[1].mean(0))]
+    path = [t * bridge[0] + (1 - t) * bridge[1] for t in np.linspace(0, 1, 60)]
+    m = np.concatenate([*groups_, np.array(path), rng.normal(size=(40, 16))])
+    m = m[rng.permutation(len(m))]
+    df = frame(spark, m, np.arange(len(m)) % 2).cache()
+    for name, value in (("PROBES", 40), ("PROBED", 100), ("BLOCK", 64)):
+        monkeypatch.setattr(vectors, name, value)
+    asked = []
+    real = vectors.near_counts
+    monkeypatch.setattr(vectors, "near_counts", lambda rows, column: asked.append(rows.where(column).count()) or real(rows, column))
+    got = {r.id: r.label for r in clustering.density_cluster(df, 8, 4, eps=0.1).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {}
+    for form in (0, 1):
+        ids = np.flatnonzero(np.arange(len(m)) % 2 == form)
+        sims = unit[ids] @ unit[ids].T
+        near = (sims >= 0.9 - 1e-12) & ~np.eye(len(ids), dtype=bool)
+        core = near.sum(1) >= 4
+        label = np.arange(len(ids))
+        for _ in range(len(ids)):
+            label[core] = [label[near[i] & core].min(initial=label[i]) for i in np.flatnonzero(core)]
+        label[~core] = [label[np.where(near[i] & core, sims[i], -1).argmax()] if (near[i] & core).any() else -1 for i in np.flatnonzero(~core)]
+        large = [x for x in np.unique(label) if x >= 0 and (label == x).sum() >= 8]
+        firsts = sorted(large, key=lambda x: np.flatnonzero(label == x).min())
+        want |= {int(i): firsts.index(x) if x in large else -1 for i, x in zip(ids, label, strict=True)}
+    assert got == want and len(set(want.values())) > 2
+    assert len(asked) == 1 and 0 < asked[0] < 0.5 * len(m)
+
+
+def test_growth_curve_of_one_topic_compares_no_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = frame(spark, rng.normal(size=8) + rng.normal(scale=0.05, size=(400, 8)))
+    compared, real = [], clustering.knn_join
+    monkeypatch.setattr(clustering, "knn_join", lambda rows, *a, **b: compared.append(rows.count()) or real(rows, *a, **b))
+    got = sorted(tuple(r) for r in clustering.growth_curve(labels.growth_prefixes(df.drop("form_id"), (0.5, 1.0)), 8, eps=0.3).select("fraction", "n", "topics", "purity").collect())
+    assert got == [(0.5, 200, 1, 1.0), (1.0, 400, 1, 1.0)] and sum(compared) == 0
+
+
 def test_rows_are_sent_to_few_blocks(spark):
     df = spark.range(20_000).select(F.lit(0).cast("long").alias("form_id"), "id", F.array(F.lit(1.0).cast("float")).alias("v"))
     assert vectors._dealt(df, ["form_id"], None).count() == 20_000 * vectors.BLOCKS
