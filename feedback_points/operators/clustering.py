@@ -140,6 +140,8 @@ def split_large_topics(assignments: DataFrame, min_size: int, min_pts: int | Non
     return out.withColumn("__parts", parts).withColumn("__rest", rest).withColumn("topic_key", key).select(*assignments.columns)
 
 
+#: Points whose place among sets of topics is broadcast.
+PLACES = 1_000_000
 #: Shares of the points that a sweep tries as least sizes of a group.
 SWEEP_RATIOS = (0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1)
 
@@ -170,7 +172,7 @@ def parameter_sweep(points: DataFrame, sizes: list[int] | None = None, min_pts:
     kept = stage(reassign_outliers(own).drop("rescued", "embedding"), "sweep-labels")
     topics = kept.where("topic_key is not null").groupBy(F.col("own_form").alias("form_id"), "id").agg(F.array_sort(F.collect_list(F.struct("form_id", "topic_key"))).alias("topics"))  # at most one a size
     texts = base.select("form_id", "id", "text")
-    top = stage(class_tfidf(stage(texts.join(topics, ["form_id", "id"]).select("topics", "text"), "sweep-texts"), "topic_key", k, form="form_id", members="topics"), "sweep-words")
+    top = stage(class_tfidf(_with_topics(texts, topics), "topic_key", k, form="form_id", members="topics"), "sweep-words")
     # all sizes of a form have the same texts, so their topics are looked up in them at once
     named_top = top.withColumnRenamed("form_id", "run").join(runs, "run").select("form_id", F.struct("run", "topic_key").alias("topic"), "term", "place")
     coherence = npmi_by_topic(named_top, texts, "topic", k=k, form="form_id").groupBy(F.col("topic.run").alias("form_id")).agg(F.avg("npmi").alias("npmi"))
@@ -179,6 +181,16 @@ def parameter_sweep(points: DataFrame, sizes: list[int] | None = None, min_pts:
     return named.select("form_id", "min_size", "n", "topics", "outlier_before", "outlier_rate", "largest_share", "median_size", "npmi", "diversity")
 
 
+def _with_topics(texts: DataFrame, topics: DataFrame) -> DataFrame:
+    """``topics, text`` of the texts that have topics. Up to ``PLACES`` of them, texts are not written again: points have few different
+    sets of topics, and the number of its set is broadcast for each."""
+    sets = stage(stage(topics.select("topics").distinct(), "topic-sets").withColumn("set_no", F.monotonically_increasing_id()), "topic-sets")
+    places = stage(topics.join(sets, "topics").select("form_id", "id", "set_no"), "topic-places")
+    if places.count() > PLACES:
+        return stage(texts.join(topics, ["form_id", "id"]).select("topics", "text"), "sweep-texts")
+    return texts.join(F.broadcast(places), ["form_id", "id"]).join(F.broadcast(sets), "set_no").select("topics", "text")
+
+
 def sweep_keys(base: DataFrame, tried: DataFrame, min_pts: int, eps: float | None = None) -> DataFrame:
     """``form_id, min_size, id, topic_key`` of all points at each tried size (``form_id, min_size``); noise has no key."""
     pairs, limits = pair_graph(base.select("form_id", "id", "embedding"), min_pts, eps)

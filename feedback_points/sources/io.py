@@ -10,6 +10,9 @@ from ..params import DEFAULTS
 from ..schema import TABLES
 from ..session import stage
 
+#: Bits that tell which ids are looked for.
+ID_BITS = 1 << 27
+
 # Option weights of the demographic fields.
 DEMOGRAPHICS = {
     "Program of study": [("Computer Science", 45), ("Information Technology", 30), ("Data Science", 15), ("International Program", 10)],
@@ -54,6 +57,22 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> Dat
     return shifted.withColumn(name, (F.col(name) + F.col("__shift")).cast("long")).drop("__range", "__shift")
 
 
+def rows_with(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose key is in ``ids`` (one column of whole numbers, which both have), without shuffling the others: for wide rows.
+
+    A bit tells whether any id has a hash; the bits, 16 MB at most, are broadcast, in rows of 4 kB. What has the bit by
+    chance is left out where the rows are joined.
+    """
+    (key,) = ids.columns
+    place = F.pmod(F.xxhash64(key), F.lit(ID_BITS).cast("long")) + 1
+    marked = ids.select(place.alias("p")).where(F.col(key).isNotNull()).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(stage(marked, "id-marks")), "__bucket")
+    return met.where(held).select(*rows.columns)
+
+
 def load_wave(rows: DataFrame, order: str, form_id: int, offset: int, limit: int, start: str, end: str, seed: int = DEFAULTS.seed, column: str = "raw_text") -> dict[str, DataFrame]:
     """Rows ``offset`` to ``offset + limit`` as submissions, text answers and option answers.
 

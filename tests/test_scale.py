@@ -202,6 +202,37 @@ def test_rows_are_sent_to_few_blocks(spark):
     assert vectors._dealt(df, ["form_id"], None).count() == 20_000 * vectors.BLOCKS
 
 
+def test_forms_share_their_blocks(spark):
+    """The vectors of several forms are sent to fewer blocks each; one large form among small ones keeps its own."""
+    rows = lambda form, n: spark.range(n).select(F.lit(form).cast("long").alias("form_id"), (F.col("id") + 100_000 * form).alias("id"), F.array(F.lit(1.0).cast("float")).alias("v"))
+    five = rows(0, 20_000).unionByName(rows(1, 20_000)).unionByName(rows(2, 20_000)).unionByName(rows(3, 20_000)).unionByName(rows(4, 20_000))
+    assert vectors._dealt(five, ["form_id"], None).count() == 100_000 * vectors.BLOCKS / 2
+    assert vectors._dealt(rows(0, 20_000).unionByName(rows(1, 500)), ["form_id"], None).count() == 20_000 * vectors.BLOCKS + 500
+
+
+def test_rows_with_ids_alone_are_shuffled(spark):
+    rows = spark.range(50_000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("id"), F.lit("text").alias("text"))
+    ids = spark.range(0, 60_000, 10).select(F.when(F.col("id") % 100 != 0, F.col("id")).alias("id"))
+    got = [r.id for r in io.rows_with(rows, ids).collect()]
+    want = {i for i in range(0, 50_000, 10) if i % 100}
+    assert want <= set(got) and len(got) == len(set(got)) < len(want) + 50
+    assert io.rows_with(rows, ids.where("false")).count() == 0
+
+
+def test_sweep_writes_texts_once(spark, monkeypatch):
+    """The words of topics are those of texts that are written again for them."""
+    rng = np.random.default_rng(7)
+    m = np.concatenate([rng.normal(size=8) + rng.normal(scale=0.05, size=(30, 8)) for _ in range(3)])
+    df = frame(spark, m, np.arange(90) % 2).withColumn("point_text", F.concat_ws(" ", F.concat(F.lit("word"), (F.col("id") / 30).cast("int")), F.concat(F.lit("other"), F.col("id") % 4)))
+    written, real = [], clustering.stage
+    monkeypatch.setattr(clustering, "stage", lambda x, name: written.append(name) or real(x, name))
+    run = lambda: sorted(tuple(r) for r in clustering.parameter_sweep(df, [4, 6], 4, 0.05).collect())
+    few = run()
+    assert "sweep-texts" not in written and all(r[3] == 3 for r in few)
+    monkeypatch.setattr(clustering, "PLACES", 0)
+    assert run() == few and "sweep-texts" in written
+
+
 def test_index_that_compares_more_than_all_pairs_is_not_used(spark, monkeypatch):
     m = np.random.default_rng(5).normal(size=(300, 32))
     df = frame(spark, np.concatenate([m, m[:5]])).cache()
